@@ -79,3 +79,51 @@ def q_conform_schema(spark, sf):
     assert dict(df.dtypes)["households_surveyed"] == "double"
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.count("district_name").alias("named_rows"),
                   F.sum("households_surveyed").alias("households_total"))
+
+
+# ---- step 2: centers and the distance join ------------------------------------------------------------------------
+
+from deserta.plans import distances as DS  # noqa: E402
+
+
+def centers(spark: SparkSession, sf: str):
+    return DS.district_centers(FX.address_directory(spark, sf))
+
+
+def distance_table(spark: SparkSession, sf: str):
+    return DS.facility_district_distances(FX.facilities(spark, sf), centers(spark, sf))
+
+
+_DIST_SQL = f"""
+SELECT f.unique_id, f.name, f.address_city, f."address_stateOrRegion",
+  f.latitude AS facility_latitude, f.longitude AS facility_longitude,
+  c.district, c.statename, c.center_latitude, c.center_longitude,
+  {S.haversine_sql('f.latitude', 'f.longitude', 'c.center_latitude', 'c.center_longitude', '6371.0088')}
+    AS distance_kilometers,
+  c.office_count
+FROM ({S.facilities_sql()}) f CROSS JOIN ({S.district_centers_sql()}) c
+WHERE f.latitude IS NOT NULL AND f.longitude IS NOT NULL
+  AND {S.haversine_sql('f.latitude', 'f.longitude', 'c.center_latitude', 'c.center_longitude', '6371.0088')} <= 160"""
+
+
+@register("valid_coordinates", f"""
+SELECT district, statename, latitude_num, longitude_num FROM (
+  SELECT district, statename,
+    CASE WHEN latitude IS NULL OR latitude = 'NA' THEN NULL ELSE try_cast(latitude AS double) END AS latitude_num,
+    CASE WHEN longitude IS NULL OR longitude = 'NA' THEN NULL ELSE try_cast(longitude AS double) END AS longitude_num
+  FROM ({S.address_directory_sql()}) a) v
+WHERE latitude_num IS NOT NULL AND longitude_num IS NOT NULL""", doubles=("latitude_num", "longitude_num"))
+def q_valid_coordinates(spark, sf):
+    return DS.valid_coordinates(FX.address_directory(spark, sf)).select(
+        "district", "statename", "latitude_num", "longitude_num")
+
+
+@register("district_centers", S.district_centers_sql(), doubles=("center_latitude", "center_longitude"))
+def q_district_centers(spark, sf):
+    return centers(spark, sf)
+
+
+@register("facility_district_distances", _DIST_SQL, doubles=(
+    "facility_latitude", "facility_longitude", "center_latitude", "center_longitude", "distance_kilometers"))
+def q_facility_district_distances(spark, sf):
+    return distance_table(spark, sf)
