@@ -127,3 +127,78 @@ def q_district_centers(spark, sf):
     "facility_latitude", "facility_longitude", "center_latitude", "center_longitude", "distance_kilometers"))
 def q_facility_district_distances(spark, sf):
     return distance_table(spark, sf)
+
+
+# ---- step 3: capability assessment --------------------------------------------------------------------------------
+
+from deserta.functions import capability as CAP  # noqa: E402
+from deserta.operators import assess as AS  # noqa: E402
+from deserta.plans import capability as CP  # noqa: E402
+
+
+def capability_table(spark: SparkSession, sf: str):
+    return CP.facility_capability(FX.facilities(spark, sf))
+
+
+def _prompt_sql() -> str:
+    rules = CAP.PROMPT_RULES.replace("'", "''")
+    parts = [f"'{rules}'"]
+    for label, col, default in CAP.PROMPT_FIELDS:
+        parts += [f"'\n{label}: '", f"coalesce({col}, '{default}')"]
+    return f"SELECT unique_id, concat({', '.join(parts)}) AS assessment_prompt FROM ({S.facility_texts_sql()}) t"
+
+
+_FLAT = ["data_confidence", "data_confidence_reason"] + [
+    f"{p}_{x}" for _, p in CAP.CATEGORIES for x in ("capability", "confidence", "evidence", "limitation")]
+
+
+@register("assessment_prompt", _prompt_sql())
+def q_assessment_prompt(spark, sf):
+    return AS.assess_facilities(FX.facilities(spark, sf)).select("unique_id", "assessment_prompt")
+
+
+@register("facility_capability",
+          f"SELECT unique_id, name, latitude, longitude, {', '.join(_FLAT)} FROM ({S.expected_capability_sql()}) e",
+          doubles=("latitude", "longitude"))
+def q_facility_capability(spark, sf):
+    return capability_table(spark, sf).select("unique_id", "name", "latitude", "longitude", *_FLAT)
+
+
+@register("overall_capability",
+          f"SELECT unique_id, {S.overall_capability_sql()} AS overall_capability FROM ({S.expected_capability_sql()}) e")
+def q_overall_capability(spark, sf):
+    return capability_table(spark, sf).select("unique_id", CAP.overall_capability().alias("overall_capability"))
+
+
+def _category_view_sql() -> str:
+    short = {"maternal_neonatal": "maternal", "cancer_screening": "cancer"}
+    e = S.expected_capability_sql()
+    parts = [f"SELECT unique_id, 'overall' AS category, {S.overall_capability_sql()} AS category_capability, "
+             f"data_confidence AS category_confidence, data_confidence_reason AS category_evidence FROM ({e}) e"]
+    for _, p in CAP.CATEGORIES:
+        parts.append(f"SELECT unique_id, '{short.get(p, p)}', {p}_capability, {p}_confidence, {p}_evidence "
+                     f"FROM ({e}) e")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("category_view", _category_view_sql())
+def q_category_view(spark, sf):
+    return AS.category_view(capability_table(spark, sf))
+
+
+def _violations_sql() -> str:
+    cls = [S.capability_class_sql("p_partkey", j) for j in range(5)]
+    base = f"(SELECT cast(p_partkey AS varchar) AS unique_id, p_partkey, {', '.join(f'{c} AS c{j}' for j, c in enumerate(cls))} FROM part)"
+    ok = "p_partkey%79<>0"
+    parts = [f"SELECT unique_id, 'malformed_json' AS violation FROM {base} f WHERE p_partkey%79=0"]
+    for j, (key, _) in enumerate(CAP.CATEGORIES):
+        parts.append(f"SELECT unique_id, 'bad_enum:{key}.capability' FROM {base} f "
+                     f"WHERE {ok} AND p_partkey%97=0 AND c{j}='capable'")
+    parts.append(f"SELECT unique_id, 'missing:cancer_screening.limitation' FROM {base} f WHERE {ok} AND p_partkey%89=0")
+    parts.append(f"SELECT unique_id, 'extra_key:note' FROM {base} f WHERE {ok} AND p_partkey%83=0")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("assessment_violations", _violations_sql())
+def q_assessment_violations(spark, sf):
+    return AS.assessment_violations(FX.corrupt_assessments(AS.assess_facilities(FX.facilities(spark, sf))))

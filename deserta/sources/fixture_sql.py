@@ -184,3 +184,57 @@ SELECT {cols}, {impact} + 7 AS estimated_population_impact FROM {src} WHERE s_su
 def haversine_sql(lat1: str, lon1: str, lat2: str, lon2: str, radius: str = "6371") -> str:
     return (f"2 * {radius} * asin(least(1, sqrt(power(sin(radians(({lat1} - {lat2}) / 2)), 2) "
             f"+ cos(radians({lat2})) * cos(radians({lat1})) * power(sin(radians(({lon1} - {lon2}) / 2)), 2))))")
+
+
+_TERMS = ("obstetric", "diabetes", "hypertension", "nutrition", "cancer screening")
+
+
+def facility_texts_sql() -> str:
+    """unique_id, name and the five free-text fields of the facility fixture."""
+    cls = [capability_class_sql("p_partkey", j) for j in range(5)]
+    lim = ", ".join(f"CASE WHEN {cls[j]} = 'limited' THEN 'basic {_TERMS[j]} screening' END" for j in range(5))
+    spec = ", ".join(f"CASE WHEN {cls[j]} = 'capable' THEN '{_TERMS[j]}' END" for j in range(5))
+    proc = ", ".join(f"CASE WHEN {cls[j]} = 'capable' THEN '{_TERMS[j]} treatment' END" for j in range(5))
+    notc = ", ".join(f"CASE WHEN {cls[j]} = 'not_capable' THEN 'no {_TERMS[j]} services' END" for j in range(5))
+    return f"""
+SELECT cast(p_partkey AS varchar) AS unique_id, p_name AS name, p_partkey,
+  concat_ws('; ', p_name || ' clinic', {lim}) AS description,
+  concat_ws(', ', p_type, {spec}) AS specialties,
+  CASE WHEN p_partkey%4=0 THEN NULL ELSE p_brand || ' equipment' END AS equipment,
+  nullif(concat_ws(', ', {proc}), '') AS procedure,
+  nullif(concat_ws('; ', {notc}), '') AS capability
+FROM part"""
+
+
+def expected_capability_sql() -> str:
+    """What the rule assessor must report for the fixture texts, stated from the formula."""
+    cols = []
+    for j, s in enumerate(_SERVICES):
+        c = capability_class_sql("p_partkey", j)
+        cols += [
+            f"{c} AS {s}_capability",
+            f"CASE {c} WHEN 'capable' THEN 'medium' WHEN 'not_capable' THEN 'medium' ELSE 'low' END AS {s}_confidence",
+            f"CASE {c} WHEN 'capable' THEN 'specialties; procedure' WHEN 'limited' THEN 'description' ELSE '' END"
+            f" AS {s}_evidence",
+            f"CASE {c} WHEN 'capable' THEN '' WHEN 'limited' THEN 'documented in one field only' "
+            f"WHEN 'not_capable' THEN 'service stated as not offered' ELSE 'no documentation for this service' END"
+            f" AS {s}_limitation",
+        ]
+    any_cap = " OR ".join(f"{capability_class_sql('p_partkey', j)} = 'capable'" for j in range(5))
+    any_not = " OR ".join(f"{capability_class_sql('p_partkey', j)} = 'not_capable'" for j in range(5))
+    n = f"(2 + CASE WHEN p_partkey%4<>0 THEN 1 ELSE 0 END + CASE WHEN {any_cap} THEN 1 ELSE 0 END " \
+        f"+ CASE WHEN {any_not} THEN 1 ELSE 0 END)"
+    return f"""
+SELECT cast(p_partkey AS varchar) AS unique_id, p_name AS name, p_partkey,
+  CASE WHEN p_partkey%41 <> 0 THEN 8+(p_partkey*91%2800)/{D100} END AS latitude,
+  CASE WHEN p_partkey%41 <> 0 THEN 68+(p_partkey*173%2900)/{D100} END AS longitude,
+  CASE WHEN {n} >= 4 THEN 'high' ELSE 'medium' END AS data_confidence,
+  cast({n} AS varchar) || ' of 5 descriptive fields documented' AS data_confidence_reason,
+  {', '.join(cols)}
+FROM part"""
+
+
+def overall_capability_sql(prefix: str = "") -> str:
+    cs = [f"{prefix}{s}_capability" for s in _SERVICES]
+    parts = [f"WHEN {' OR '.join(f'{c} = {v!r}' for c in cs)} THEN {v!r}" for v in ("capable", "limited", "not_capable")]
+    return "CASE " + " ".join(parts) + " ELSE 'unknown' END"

@@ -170,3 +170,20 @@ def master_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = base.select(*row, impact.alias("estimated_population_impact"))
     dup = base.filter(s % 10 == 0).select(*row, (impact + 7).alias("estimated_population_impact"))
     return first.unionByName(dup)
+
+
+def corrupt_assessments(assessed: DataFrame) -> DataFrame:
+    """Damage some assessment documents so the closed-schema audit has something to find.
+
+    p % 97 = 0: capability 'capable' -> 'fully_capable'; p % 89 = 0: last category loses its limitation;
+    p % 83 = 0: an extra top-level key; p % 79 = 0: truncated (malformed) document. Applied in that order.
+    """
+    p = F.col("unique_id").cast("long")
+    a = F.col("assessment")
+    a = F.when(p % 97 == 0, F.regexp_replace(a, '"capable"', '"fully_capable"')).otherwise(a)
+    a = F.when(p % 89 == 0, F.regexp_replace(a, ',"limitation":"[^"]*"}}$', "}}")).otherwise(a)
+    a = F.when(p % 83 == 0, F.concat(F.expr("substring(assessment, 1, length(assessment) - 1)"),
+                                     F.lit(',"note":"x"}'))).otherwise(a)
+    return assessed.withColumn("assessment", a).withColumn(
+        "assessment", F.when(p % 79 == 0, F.expr("substring(assessment, 1, length(assessment) - 1)"))
+        .otherwise(F.col("assessment")))
