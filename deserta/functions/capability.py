@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deserta.functions.cleaning import null_default
@@ -58,37 +60,37 @@ def assessment_prompt() -> Column:
     return F.concat(*parts)
 
 
-def _padded_lower(col: str) -> Column:
-    return F.concat(F.lit(" "), F.lower(F.coalesce(F.col(col), F.lit(""))))
+def _pattern(terms) -> str:
+    return "(" + "|".join(re.escape(t) for t in terms) + ")"
 
 
-def field_mentions(col: str, category: str) -> Column:
-    text = _padded_lower(col)
-    out = F.lit(False)
-    for t in CATEGORY_TERMS[category]:
-        out = out | text.contains(t)
-    return out
+def text_flags(df: DataFrame) -> DataFrame:
+    """Per (category, field): ``_m_<cat>_<field>`` (mentions a keyword) and ``_n_<cat>_<field>`` (negates one).
+    One regex per flag over the lower-cased field, computed once and reused by the assessment expressions."""
+    cols = []
+    for f in TEXT_FIELDS:
+        text = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(f), F.lit(""))))
+        for cat, terms in CATEGORY_TERMS.items():
+            cols.append(text.rlike(_pattern(terms)).alias(f"_m_{cat}_{f}"))
+            cols.append(text.rlike(" (" + "|".join(NEGATIONS) + ") " + _pattern(terms)).alias(f"_n_{cat}_{f}"))
+    return df.select("*", *cols)
 
 
-def field_negates(col: str, category: str) -> Column:
-    text = _padded_lower(col)
-    out = F.lit(False)
-    for t in CATEGORY_TERMS[category]:
-        for n in NEGATIONS:
-            out = out | text.contains(f" {n} {t}")
-    return out
+def flag_columns() -> list[str]:
+    return [f"_{x}_{cat}_{f}" for f in TEXT_FIELDS for cat in CATEGORY_TERMS for x in ("m", "n")]
 
 
 def rule_assessment(category: str) -> Column:
-    """C2 (rule form) for one category: struct(capability, confidence, evidence, limitation).
+    """C2 (rule form) for one category over the flags of ``text_flags``:
+    struct(capability, confidence, evidence, limitation).
 
     A field supports the category when it mentions a keyword without negating it. Two or more supporting fields
     -> capable, one -> limited, none but an explicit negation -> not_capable, else unknown.
     """
-    support = [field_mentions(f, category) & ~field_negates(f, category) for f in TEXT_FIELDS]
+    support = [F.col(f"_m_{category}_{f}") & ~F.col(f"_n_{category}_{f}") for f in TEXT_FIELDS]
     negated = F.lit(False)
     for f in TEXT_FIELDS:
-        negated = negated | field_negates(f, category)
+        negated = negated | F.col(f"_n_{category}_{f}")
     n = sum((s.cast("int") for s in support), F.lit(0))
     capability = (F.when(n >= 2, F.lit("capable")).when(n == 1, F.lit("limited"))
                   .when(negated, F.lit("not_capable")).otherwise(F.lit("unknown")))

@@ -35,7 +35,7 @@ def assess_facilities(facilities: DataFrame, assessor: Callable[[pd.Series], pd.
         level, reason = C.rule_data_confidence()
         doc = F.struct(level.alias("data_confidence"), reason.alias("data_confidence_reason"),
                        *[C.rule_assessment(key).alias(key) for key, _ in C.CATEGORIES])
-        return with_prompt.withColumn("assessment", F.to_json(doc))
+        return C.text_flags(with_prompt).withColumn("assessment", F.to_json(doc)).drop(*C.flag_columns())
 
     out_schema = StructType(with_prompt.schema.fields + [StructField("assessment", StringType())])
 

@@ -63,11 +63,14 @@ def cap_cells(lat: Column, lon: Column, radius_km: float, earth_radius_km: float
 def within_distance_join(points: DataFrame, point_lat: str, point_lon: str,
                          centers: DataFrame, center_lat: str, center_lon: str,
                          radius_km: float, earth_radius_km: float = SERVING_RADIUS_KM,
-                         cell_deg: float | None = None, distance_col: str = "distance_kilometers") -> DataFrame:
+                         cell_deg: float | None = None, distance_col: str = "distance_kilometers",
+                         keys: list[str] | None = None) -> DataFrame:
     """All (point, center) pairs with great-circle distance <= ``radius_km``; both inputs keep their columns.
 
+    ``keys``: extra equi-join columns present on both sides (e.g. a service), added to the cell key.
     Rows with a NULL coordinate on either side never match (they are filtered before the join).
     """
+    keys = list(keys or [])
     cell, ncols = grid_spec(radius_km, earth_radius_km, cell_deg)
     pts = points.filter(F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull())
     pi, pj = point_cell(F.col(point_lat), F.col(point_lon), cell, ncols)
@@ -78,7 +81,7 @@ def within_distance_join(points: DataFrame, point_lat: str, point_lon: str,
            .withColumn("_ci", F.col("_cell.i")).withColumn("_cj", F.col("_cell.j")).drop("_cell"))
     dist = haversine_km(point_lat, point_lon, center_lat, center_lon, earth_radius_km)
     return (
-        pts.join(ctr, ["_ci", "_cj"])
+        pts.join(ctr, ["_ci", "_cj"] + keys)
         .withColumn(distance_col, dist)
         .filter(F.col(distance_col) <= radius_km)
         .drop("_ci", "_cj")

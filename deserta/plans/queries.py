@@ -202,3 +202,115 @@ def _violations_sql() -> str:
 @register("assessment_violations", _violations_sql())
 def q_assessment_violations(spark, sf):
     return AS.assessment_violations(FX.corrupt_assessments(AS.assess_facilities(FX.facilities(spark, sf))))
+
+
+# ---- step 4: serving tables, kNN and the district join --------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from deserta.plans import serving as SV  # noqa: E402
+
+
+def serving_inputs(spark: SparkSession, sf: str) -> dict:
+    """The two gold tables (distance links, capability), materialised once like the reference's views."""
+    from deserta.sources.tables import checkpoint_table
+
+    dist = checkpoint_table(distance_table(spark, sf))
+    cap = checkpoint_table(capability_table(spark, sf))
+    geo = SV.district_geo(dist)
+    loc = SV.facility_locations(dist)
+    return {"dist": dist, "cap": cap, "geo": geo, "loc": loc}
+
+
+def knn_long(spark: SparkSession, sf: str, parts: dict | None = None):
+    p = parts or serving_inputs(spark, sf)
+    return SV.knn_capable_long(p["geo"], SV.attach_capability(p["loc"], p["cap"]))
+
+
+def serving_join(spark: SparkSession, sf: str, limit: int | None = None):
+    p = serving_inputs(spark, sf)
+    kl = knn_long(spark, sf, p)
+    master = SV.master_view(FX.master_inputs(spark, sf), p["dist"], p["cap"])
+    return SV.district_serving_join(indicators(spark, sf, "supplier"), p["geo"], master,
+                                    SV.capable_facilities(p["geo"], kl), limit=limit)
+
+
+def _names(df, col):
+    return F.array_join(F.transform(col, lambda x: x["name"]), "|")
+
+
+_CLOSEST = tuple(SV.CLOSEST_COLUMNS.values())
+_LIST_NAMES = tuple(f"{c}_names" for c in SV.FACILITY_LIST_COLUMNS.values())
+
+
+@register("district_geo", S.geo_sql(), doubles=("latitude", "longitude"))
+def q_district_geo(spark, sf):
+    return SV.district_geo(distance_table(spark, sf))
+
+
+@register("facility_locations", S.locations_sql(), doubles=("facility_latitude", "facility_longitude"))
+def q_facility_locations(spark, sf):
+    return SV.facility_locations(distance_table(spark, sf))
+
+
+@register("capable_services", "SELECT unique_id, service FROM (" + S.capable_services_sql() + ") s")
+def q_capable_services(spark, sf):
+    p = serving_inputs(spark, sf)
+    return SV.capable_services(SV.attach_capability(p["loc"], p["cap"])).select("unique_id", "service")
+
+
+@register("master_view", S.master_view_sql(), doubles=(
+    "overall_availability_score", "estimated_population_impact", *_CLOSEST))
+def q_master_view(spark, sf):
+    p = serving_inputs(spark, sf)
+    return SV.master_view(FX.master_inputs(spark, sf), p["dist"], p["cap"])
+
+
+@register("one_row_per_district", S.master_dedup_sql(), doubles=(
+    "overall_availability_score", "estimated_population_impact", *_CLOSEST))
+def q_one_row_per_district(spark, sf):
+    p = serving_inputs(spark, sf)
+    return SV.one_row_per_district(SV.master_view(FX.master_inputs(spark, sf), p["dist"], p["cap"]))
+
+
+@register("knn_capable_facilities", S.knn_sql(), doubles=("distance_kilometers",))
+def q_knn_capable_facilities(spark, sf):
+    return knn_long(spark, sf).select("district_key", "state_key", "service", "unique_id", "name",
+                                      "distance_kilometers", "rank")
+
+
+@register("ordered_topk_lists", "SELECT district_key, state_key, "
+          + ", ".join(f"{c}_names" for c in SV.FACILITY_LIST_COLUMNS.values()) + ", "
+          + ", ".join(_CLOSEST) + " FROM (" + S.capable_wide_sql() + ") w", doubles=_CLOSEST)
+def q_ordered_topk_lists(spark, sf):
+    p = serving_inputs(spark, sf)
+    cf = SV.capable_facilities(p["geo"], knn_long(spark, sf, p))
+    return cf.select("district_key", "state_key",
+                     *[_names(cf, F.col(c)).alias(f"{c}_names") for c in SV.FACILITY_LIST_COLUMNS.values()],
+                     *_CLOSEST)
+
+
+def _serving_scalar(df):
+    cols = [c for c in df.columns if c not in SV.FACILITY_LIST_COLUMNS.values()]
+    return df.select(*cols, *[_names(df, F.col(c)).alias(f"{c}_names") for c in SV.FACILITY_LIST_COLUMNS.values()])
+
+
+_SERVING_DOUBLES = _IND_DOUBLES + ("latitude", "longitude", *_CLOSEST, "overall_availability_score",
+                                   "estimated_population_impact")
+
+
+@register("district_serving_join", "SELECT * EXCLUDE (listed_min_km) FROM (" + S.serving_join_sql() + ") j",
+          doubles=_SERVING_DOUBLES)
+def q_district_serving_join(spark, sf):
+    return _serving_scalar(serving_join(spark, sf))
+
+
+@register("planning_page", "SELECT * EXCLUDE (listed_min_km) FROM (" + S.serving_join_sql()
+          + ") j ORDER BY state_ut, district_name LIMIT 500", doubles=_SERVING_DOUBLES)
+def q_planning_page(spark, sf):
+    return _serving_scalar(serving_join(spark, sf, limit=500))
+
+
+@register("row_count", "SELECT cast(count(*) AS integer) AS row_count FROM (" + S.indicators_sql("supplier") + ") i")
+def q_row_count(spark, sf):
+    return indicators(spark, sf, "supplier").agg(F.count(F.lit(1)).cast("int").alias("row_count"))

@@ -238,3 +238,124 @@ def overall_capability_sql(prefix: str = "") -> str:
     cs = [f"{prefix}{s}_capability" for s in _SERVICES]
     parts = [f"WHEN {' OR '.join(f'{c} = {v!r}' for c in cs)} THEN {v!r}" for v in ("capable", "limited", "not_capable")]
     return "CASE " + " ".join(parts) + " ELSE 'unknown' END"
+
+
+# ---- serving-layer oracle pieces ------------------------------------------------------------------------------------
+
+def distances_sql() -> str:
+    hv = haversine_sql('f.latitude', 'f.longitude', 'c.center_latitude', 'c.center_longitude', '6371.0088')
+    return f"""
+SELECT f.unique_id, f.name, f.address_city, f."address_stateOrRegion",
+  f.latitude AS facility_latitude, f.longitude AS facility_longitude,
+  c.district, c.statename, c.center_latitude, c.center_longitude, {hv} AS distance_kilometers, c.office_count
+FROM ({facilities_sql()}) f CROSS JOIN ({district_centers_sql()}) c
+WHERE f.latitude IS NOT NULL AND f.longitude IS NOT NULL AND {hv} <= 160"""
+
+
+def geo_sql() -> str:
+    return f"""
+SELECT upper(trim(district)) AS district_key, upper(trim(statename)) AS state_key,
+  avg(center_latitude) AS latitude, avg(center_longitude) AS longitude, cast(count(*) AS integer) AS facility_links
+FROM ({distances_sql()}) d
+WHERE center_latitude IS NOT NULL AND center_longitude IS NOT NULL
+GROUP BY upper(trim(district)), upper(trim(statename))"""
+
+
+def locations_sql() -> str:
+    return f"""
+SELECT unique_id, min(name) AS name, min(address_city) AS address_city,
+  min("address_stateOrRegion") AS "address_stateOrRegion",
+  min(facility_latitude) AS facility_latitude, min(facility_longitude) AS facility_longitude
+FROM ({distances_sql()}) d GROUP BY unique_id"""
+
+
+_SVC_COL = {"maternal": "maternal_neonatal_capability", "diabetes": "diabetes_capability",
+            "hypertension": "hypertension_capability", "nutrition": "nutrition_capability",
+            "cancer": "cancer_screening_capability"}
+SERVICES_ORDER = ("overall", "maternal", "diabetes", "hypertension", "nutrition", "cancer")
+
+
+def capable_services_sql() -> str:
+    cond = " ".join(f"WHEN '{s}' THEN c.{col} = 'capable'" for s, col in _SVC_COL.items())
+    vals = ", ".join(f"('{s}')" for s in SERVICES_ORDER)
+    return f"""
+SELECT l.unique_id, l.name, l.facility_latitude, l.facility_longitude, s.service
+FROM ({locations_sql()}) l LEFT JOIN ({expected_capability_sql()}) c ON c.unique_id = l.unique_id,
+  (VALUES {vals}) s(service)
+WHERE CASE s.service WHEN 'overall' THEN {overall_capability_sql('c.')} = 'capable' {cond} END"""
+
+
+def knn_sql(k: int = 3) -> str:
+    hv = haversine_sql("s.facility_latitude", "s.facility_longitude", "g.latitude", "g.longitude", "6371")
+    return f"""
+SELECT * FROM (
+  SELECT g.district_key, g.state_key, s.service, s.unique_id, s.name, {hv} AS distance_kilometers,
+    cast(row_number() OVER (PARTITION BY g.district_key, g.state_key, s.service
+                            ORDER BY {hv}, s.unique_id) AS integer) AS rank
+  FROM ({geo_sql()}) g CROSS JOIN ({capable_services_sql()}) s
+) r WHERE rank <= {k}"""
+
+
+_CLOSEST = {s: f"closest_{s}_facility_km" for s in SERVICES_ORDER[1:]}
+_LISTS = {"overall": "capable_facilities", **{s: f"{s}_capable_facilities" for s in SERVICES_ORDER[1:]}}
+
+
+def capable_wide_sql() -> str:
+    names = ", ".join(
+        f"coalesce(string_agg(k.name, '|' ORDER BY k.rank) FILTER (WHERE k.service = '{s}'), '') AS {_LISTS[s]}_names"
+        for s in SERVICES_ORDER)
+    closest = ", ".join(f"min(k.distance_kilometers) FILTER (WHERE k.service = '{s}' AND k.rank = 1) AS {c}"
+                        for s, c in _CLOSEST.items())
+    return f"""
+SELECT g.district_key, g.state_key, {names}, {closest},
+  min(k.distance_kilometers) FILTER (WHERE k.service = 'overall') AS listed_min_km
+FROM ({geo_sql()}) g LEFT JOIN ({knn_sql()}) k ON k.district_key = g.district_key AND k.state_key = g.state_key
+GROUP BY g.district_key, g.state_key"""
+
+
+def master_view_sql() -> str:
+    counts = """cast(count(*) AS integer) AS total_facilities,
+  cast(count(*) FILTER (WHERE distance_kilometers <= 30) AS integer) AS facilities_within_30km,
+  cast(count(*) FILTER (WHERE distance_kilometers <= 60) AS integer) AS facilities_within_60km"""
+    closest = ", ".join(f"min(CASE WHEN c.{col} = 'capable' THEN d.distance_kilometers END) AS {_CLOSEST[s]}"
+                        for s, col in _SVC_COL.items())
+    return f"""
+SELECT m.*, x.total_facilities, x.facilities_within_30km, x.facilities_within_60km,
+  {', '.join(f'x.{c}' for c in _CLOSEST.values())}
+FROM ({master_inputs_sql()}) m LEFT JOIN (
+  SELECT upper(trim(d.district)) AS dk, upper(trim(d.statename)) AS sk, {counts}, {closest}
+  FROM ({distances_sql()}) d LEFT JOIN ({expected_capability_sql()}) c ON c.unique_id = d.unique_id
+  GROUP BY upper(trim(d.district)), upper(trim(d.statename))
+) x ON upper(trim(m.district_name)) = x.dk AND upper(trim(m.state_ut)) = x.sk"""
+
+
+MASTER_COLUMNS = ("total_facilities", "facilities_within_30km", "facilities_within_60km", *_CLOSEST.values(),
+                  "overall_availability_score", "overall_availability_category", "intervention_priority",
+                  "estimated_population_impact")
+
+
+def master_dedup_sql() -> str:
+    order = ", ".join(f"{c} ASC NULLS FIRST" for c in MASTER_COLUMNS)
+    return f"""
+SELECT district_key, state_key, {', '.join(MASTER_COLUMNS)} FROM (
+  SELECT upper(trim(district_name)) AS district_key, upper(trim(state_ut)) AS state_key, *,
+    row_number() OVER (PARTITION BY upper(trim(district_name)), upper(trim(state_ut)) ORDER BY {order}) AS rn
+  FROM ({master_view_sql()}) mv
+) t WHERE rn = 1"""
+
+
+def serving_join_sql() -> str:
+    """J3 over the supplier-keyed indicators, list columns as '|'-joined names, plus helper column listed_min_km."""
+    from deserta.plans.indicators import INDICATOR_COLUMNS
+
+    ind_cols = ", ".join(f"i.{c}" for c in INDICATOR_COLUMNS)
+    closest = ", ".join(f"coalesce(cf.{c}, m.{c}) AS {c}" for c in _CLOSEST.values())
+    lists = ", ".join(f"coalesce(cf.{c}_names, '') AS {c}_names" for c in _LISTS.values())
+    return f"""
+SELECT {ind_cols}, g.latitude, g.longitude, g.facility_links, m.total_facilities, m.facilities_within_30km,
+  m.facilities_within_60km, {closest}, m.overall_availability_score, m.overall_availability_category,
+  m.intervention_priority, m.estimated_population_impact, {lists}, cf.listed_min_km
+FROM ({indicators_sql('supplier')}) i
+LEFT JOIN ({geo_sql()}) g ON upper(trim(i.district_name)) = g.district_key AND upper(trim(i.state_ut)) = g.state_key
+LEFT JOIN ({master_dedup_sql()}) m ON upper(trim(i.district_name)) = m.district_key AND upper(trim(i.state_ut)) = m.state_key
+LEFT JOIN ({capable_wide_sql()}) cf ON upper(trim(i.district_name)) = cf.district_key AND upper(trim(i.state_ut)) = cf.state_key"""

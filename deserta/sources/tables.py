@@ -71,3 +71,12 @@ def planning_json(df: DataFrame) -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def checkpoint_table(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` into the session's checkpoint folder (``spark.checkpoint.dir``, a shared path on a
+    cluster) and return a DataFrame reading it: cuts the lineage so a lost executor recomputes from the files."""
+    from deserta.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
