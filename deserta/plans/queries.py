@@ -314,3 +314,24 @@ def q_planning_page(spark, sf):
 @register("row_count", "SELECT cast(count(*) AS integer) AS row_count FROM (" + S.indicators_sql("supplier") + ") i")
 def q_row_count(spark, sf):
     return indicators(spark, sf, "supplier").agg(F.count(F.lit(1)).cast("int").alias("row_count"))
+
+
+# ---- step 5: planning priorities (flagship) -------------------------------------------------------------------------
+
+from deserta.plans import planning as PL  # noqa: E402
+
+
+def planning(spark: SparkSession, sf: str, limit: int | None = None):
+    return PL.planning_priorities(serving_join(spark, sf, limit=limit))
+
+
+@register("planning_priorities", S.planning_sql(), doubles=_SERVING_DOUBLES)
+def q_planning_priorities(spark, sf):
+    return _serving_scalar(planning(spark, sf))
+
+
+@register("planning_tier_counts", "SELECT planning_priority_tier, count(*) AS districts, "
+          "min(planning_priority_score) AS min_score, max(planning_priority_score) AS max_score FROM ("
+          + S.planning_sql() + ") p GROUP BY planning_priority_tier")
+def q_planning_tier_counts(spark, sf):
+    return PL.tier_counts(planning(spark, sf))

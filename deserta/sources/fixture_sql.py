@@ -359,3 +359,102 @@ FROM ({indicators_sql('supplier')}) i
 LEFT JOIN ({geo_sql()}) g ON upper(trim(i.district_name)) = g.district_key AND upper(trim(i.state_ut)) = g.state_key
 LEFT JOIN ({master_dedup_sql()}) m ON upper(trim(i.district_name)) = m.district_key AND upper(trim(i.state_ut)) = m.state_key
 LEFT JOIN ({capable_wide_sql()}) cf ON upper(trim(i.district_name)) = cf.district_key AND upper(trim(i.state_ut)) = cf.state_key"""
+
+
+def _jtrim(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _fixed1(c: str) -> str:
+    return f"printf('%.1f', floor(coalesce({c}, 0) * {D10} + 0.5) / {D10})"
+
+
+def planning_sql() -> str:
+    """P1-P14 over the serving join, stated directly from the rules."""
+    from deserta.functions import planning as P
+
+    fields = P.RISK_FIELDS
+    w = {f: f"CASE {_jtrim(f)} WHEN 'High Risk' THEN 3 WHEN 'Medium Risk' THEN 2 WHEN 'Low Risk' THEN 1 ELSE 0 END"
+         for f, _, _ in fields}
+    closest = [d for _, _, d in fields if d]
+    p3o = f"least({', '.join(closest)}, listed_min_km)"
+
+    def adj(f, d):
+        dd = d or "p3o"
+        return (f"CASE WHEN w_{f} = 0 THEN 0 WHEN {dd} IS NULL THEN w_{f} WHEN {dd} <= 10 THEN least(w_{f}, 1) "
+                f"WHEN {dd} <= 25 THEN greatest(1, w_{f} - 1) ELSE w_{f} END")
+
+    score = " + ".join(adj(f, d) for f, _, d in fields)
+    pen = "CASE WHEN p4 IS NULL THEN 2 WHEN p4 > 100 THEN 3 WHEN p4 > 60 THEN 2 WHEN p4 > 25 THEN 1 ELSE 0 END"
+    drivers = "list_filter([" + ", ".join(
+        f"CASE WHEN {_jtrim(f)} = 'High Risk' THEN '{label}' END" for f, label, _ in fields) + "], lambda x: x IS NOT NULL)"
+
+    def pct(c):
+        return f"({_fixed1(c)} || '%')"
+
+    def near(c, head):
+        return f"CASE WHEN coalesce({c}, 0) > 0 THEN '{head}' || {_fixed1(c)} || ' km away' ELSE '' END"
+
+    nd = " and the closest capable facility about "
+    flag = (f"lower(CASE WHEN coalesce({_jtrim('maternal_neonatal_csection_access_flag')}, '') <> '' "
+            f"THEN {_jtrim('maternal_neonatal_csection_access_flag')} ELSE 'no C-section signal' END)")
+    texts = {
+        "maternal_neonatal_risk": f"'maternal access shows ' || {pct('maternal_neonatal_institutional_birth_pct')} || "
+                                  f"' institutional births and ' || {pct('maternal_neonatal_skilled_birth_pct')} || "
+                                  f"' skilled attendance; C-section signal is ' || {flag}",
+        "diabetes_care_risk": f"'diabetes burden is elevated, with ' || {pct('diabetes_care_high_blood_sugar_pct')} || "
+                              f"' reporting high blood sugar' || {near('closest_diabetes_facility_km', nd)}",
+        "hypertension_care_risk": f"'hypertension burden is elevated, with ' || {pct('hypertension_care_high_bp_pct')}"
+                                  f" || ' reporting high blood pressure' || "
+                                  f"{near('closest_hypertension_facility_km', nd)}",
+        "nutrition_services_risk": f"'nutrition need is elevated, with ' || {pct('nutrition_services_underweight_pct')}"
+                                   f" || ' underweight' || {near('closest_nutrition_facility_km', nd)}",
+        "cancer_screening_risk": f"'cancer screening is very low: ' || {pct('cancer_screening_cervical_pct')} || "
+                                 f"' cervical, ' || {pct('cancer_screening_breast_pct')} || ' breast, and ' || "
+                                 f"{pct('cancer_screening_oral_pct')} || ' oral screening' || "
+                                 f"{near('closest_cancer_facility_km', '; closest capable facility about ')}",
+    }
+
+    def level_list(level):
+        return "list_filter([" + ", ".join(
+            f"CASE WHEN {_jtrim(f)} = '{level}' THEN {t} END" for f, t in texts.items()) + "], lambda x: x IS NOT NULL)"
+
+    cat = (f"lower(CASE WHEN coalesce({_jtrim('overall_availability_category')}, '') <> '' "
+           f"THEN {_jtrim('overall_availability_category')} ELSE 'availability unknown' END)")
+    no_gap = (f"'No high-risk service driver is flagged; current availability is ' || {cat} || ' with ' || "
+              f"format('{{:,}}', cast(coalesce(facilities_within_30km, 0) AS bigint)) || ' facilities within 30 km.'")
+    impact = "coalesce(estimated_population_impact, 0)"
+    affected = (f"cast(floor(CASE WHEN {impact} <> 0 THEN {impact} ELSE coalesce(households_surveyed, 0) "
+                f"+ coalesce(women_15_49_interviewed, 0) END + 0.5) AS bigint)")
+    return f"""
+WITH j AS ({serving_join_sql()}),
+b AS (
+  SELECT *, {', '.join(f'{w[f]} AS w_{f}' for f, _, _ in fields)}, {p3o} AS p3o,
+    coalesce(listed_min_km, {p3o}) AS p4, {drivers} AS drivers, {affected} AS affected_population_proxy,
+    {level_list('High Risk')} AS gaps_high, {level_list('Medium Risk')} AS gaps_medium
+  FROM j
+),
+c AS (SELECT *, cast(({score}) + {pen} AS integer) AS planning_priority_score FROM b)
+SELECT * EXCLUDE (listed_min_km, p3o, p4, drivers, gaps_high, gaps_medium,
+                  {', '.join(f'w_{f}' for f, _, _ in fields)}, district_name, state_ut),
+  {_jtrim('district_name')} AS district_name, {_jtrim('state_ut')} AS state_ut,
+  CASE WHEN planning_priority_score >= 14 THEN 'Urgent' WHEN planning_priority_score >= 11 THEN 'High'
+       WHEN planning_priority_score >= 8 THEN CASE WHEN p4 IS NOT NULL AND p4 > 100 THEN 'High' ELSE 'Watch' END
+       WHEN p4 IS NULL OR p4 > 60 THEN 'Watch' ELSE 'Monitor' END AS planning_priority_tier,
+  coalesce(drivers[1], 'No high-risk driver') AS primary_risk_driver,
+  cast(len(drivers) AS integer) AS risk_driver_count,
+  CASE WHEN coalesce({_jtrim('intervention_priority')}, '') = 'Low Priority'
+         THEN 'Monitor current access and preserve baseline service capacity'
+       WHEN {_jtrim('cancer_screening_risk')} = 'High Risk' THEN 'Expand cancer screening outreach and referral follow-up'
+       WHEN {_jtrim('hypertension_care_risk')} = 'High Risk' OR {_jtrim('diabetes_care_risk')} = 'High Risk'
+         THEN 'Strengthen NCD screening, medication access, and follow-up'
+       WHEN {_jtrim('nutrition_services_risk')} = 'High Risk' THEN 'Target nutrition services and community outreach'
+       WHEN {_jtrim('maternal_neonatal_risk')} = 'High Risk'
+         THEN 'Improve maternal referral readiness and skilled attendance coverage'
+       ELSE 'Monitor indicators and sustain existing access capacity' END AS recommended_intervention,
+  cast(least(100, floor(cast(affected_population_proxy AS double) / 2000 * 70
+       + least(coalesce(cast(total_facilities AS double), 0), 300) / {D10} + 0.5)) AS bigint) AS data_confidence_score,
+  CASE WHEN len(gaps_high) > 0 THEN 'Top service gaps: ' || array_to_string(gaps_high[1:3], '; ') || '.'
+       WHEN len(gaps_medium) > 0 THEN 'Top service gaps: ' || array_to_string(gaps_medium[1:3], '; ') || '.'
+       ELSE {no_gap} END AS service_gap_summary
+FROM c"""
