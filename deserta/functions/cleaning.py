@@ -79,23 +79,23 @@ def null_default(col, default: str) -> Column:
 # ---- D9 display labels -------------------------------------------------------------------------------------------
 
 def snake_label(col) -> Column:
-    """``snake_case`` -> words with a capital first letter each; NULL/blank -> 'Unknown'."""
+    """``snake_case`` -> parts with an upper-cased first letter joined by spaces (rest kept); NULL/'' -> 'Unknown'."""
     c = _c(col)
-    words = F.initcap(F.lower(F.regexp_replace(c, "_", " ")))
-    return F.when(c.isNull() | (F.trim(c) == ""), F.lit("Unknown")).otherwise(words)
+    parts = F.transform(F.split(c, "_"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30)))
+    return F.when(c.isNull() | (c == ""), F.lit("Unknown")).otherwise(F.array_join(parts, " "))
 
 
 def short_label(col, max_len: int = 28, keep: int = 25) -> Column:
-    """Collapse whitespace, trim; longer than ``max_len`` -> first ``keep`` chars + '...'."""
+    """Collapse whitespace runs to one space and trim; longer than ``max_len`` -> first ``keep`` chars + '...'."""
     text = F.trim(F.regexp_replace(F.coalesce(_c(col), F.lit("")), r"\s+", " "))
-    return F.when(F.length(text) > max_len, F.concat(F.rtrim(F.substring(text, 1, keep)), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) > max_len, F.concat(F.substring(text, 1, keep), F.lit("..."))).otherwise(text)
 
 
 def list_preview(col, n: int = 3, max_chars: int = 180) -> Column:
-    """Preview of a text field: a JSON string list shows its first ``n`` items joined by ', ';
-    plain text is cut to ``max_chars`` characters with '...' appended."""
-    c = F.trim(F.coalesce(_c(col), F.lit("")))
+    """Preview of a text field: a JSON list shows its first ``n`` items joined by ', '; other text is cut to
+    ``max_chars`` characters with '...' appended; NULL or '' -> ''."""
+    c = F.coalesce(_c(col), F.lit(""))
     as_list = F.from_json(c, "array<string>")
-    listed = F.array_join(F.slice(F.filter(as_list, lambda s: F.trim(s) != ""), 1, n), ", ")
+    listed = F.array_join(F.slice(as_list, 1, n), ", ")
     plain = F.when(F.length(c) > max_chars, F.concat(F.substring(c, 1, max_chars), F.lit("..."))).otherwise(c)
-    return F.when(c.startswith("[") & as_list.isNotNull(), listed).otherwise(plain)
+    return F.when(F.trim(c).startswith("[") & as_list.isNotNull(), listed).otherwise(plain)

@@ -335,3 +335,157 @@ def q_planning_priorities(spark, sf):
           + S.planning_sql() + ") p GROUP BY planning_priority_tier")
 def q_planning_tier_counts(spark, sf):
     return PL.tier_counts(planning(spark, sf))
+
+
+# ---- step 6: nearest facilities (T1) and the console views ---------------------------------------------------------
+
+from deserta.plans import console as CO  # noqa: E402
+from deserta.functions import cleaning as CL  # noqa: E402
+
+
+def nearest(spark: SparkSession, sf: str):
+    p = serving_inputs(spark, sf)
+    return SV.nearest_facilities(p["geo"], p["loc"], p["cap"], knn_long(spark, sf, p))
+
+
+_NEAREST_DOUBLES = ("facility_latitude", "facility_longitude", "center_latitude", "center_longitude",
+                    "distance_kilometers")
+
+
+@register("nearest_facilities", S.nearest_sql(), doubles=_NEAREST_DOUBLES)
+def q_nearest_facilities(spark, sf):
+    return nearest(spark, sf)
+
+
+@register("spatial_thin", S.thin_sql(), doubles=("distance_kilometers",))
+def q_spatial_thin(spark, sf):
+    return CO.thin_nearest(nearest(spark, sf)).select(*SV.KEYS, "category", "unique_id", "distance_kilometers")
+
+
+_PLAN = "(" + S.planning_sql() + ") p"
+
+
+@register("scope_filter", f"SELECT * FROM {_PLAN} WHERE trim(state_ut) = 'NATION_3'", doubles=_SERVING_DOUBLES)
+def q_scope_filter(spark, sf):
+    return _serving_scalar(CO.scope_filter(planning(spark, sf), state="NATION_3"))
+
+
+def _w(c):
+    return f"CASE {c} WHEN 'High Risk' THEN 3 WHEN 'Medium Risk' THEN 2 WHEN 'Low Risk' THEN 1 ELSE 0 END"
+
+
+_TIER_RANK_SQL = ("CASE planning_priority_tier WHEN 'Urgent' THEN 4 WHEN 'High' THEN 3 WHEN 'Watch' THEN 2 "
+                  "WHEN 'Monitor' THEN 1 ELSE 0 END")
+
+
+@register("top_interventions", f"""SELECT * FROM {_PLAN}
+ORDER BY {_w('cancer_screening_risk')} DESC, {_TIER_RANK_SQL} DESC, planning_priority_score DESC, state_ut, district_name
+LIMIT 10""", doubles=_SERVING_DOUBLES)
+def q_top_interventions(spark, sf):
+    return _serving_scalar(CO.top_interventions(planning(spark, sf), "cancer", 10))
+
+
+@register("kpi_summary", f"""SELECT count(*) FILTER (WHERE planning_priority_tier = 'Urgent') AS urgent_count,
+  count(*) FILTER (WHERE planning_priority_tier IN ('Urgent', 'High')) AS high_or_urgent_count,
+  cast(coalesce(sum(affected_population_proxy), 0) AS bigint) AS affected_proxy FROM {_PLAN}""")
+def q_kpi_summary(spark, sf):
+    return CO.kpi_summary(planning(spark, sf))
+
+
+@register("distinct_states", f"SELECT DISTINCT trim(state_ut) AS state FROM {_PLAN} ORDER BY state")
+def q_distinct_states(spark, sf):
+    return CO.distinct_states(planning(spark, sf))
+
+
+_MAP_COLS = ("key", "district", "state", "intervention_priority_label", "intervention_level", "planning_tier",
+             "population", "priority_score", "risk_weight", "primary_risk_driver", "capable_facilities_label",
+             "is_reported")
+
+
+@register("map_properties", f"""SELECT state_ut || ':' || district_name AS key, district_name AS district,
+  state_ut AS state, coalesce(intervention_priority, planning_priority_tier) AS intervention_priority_label,
+  CASE WHEN planning_priority_tier IN ('Urgent', 'High', 'Watch') THEN planning_priority_tier ELSE 'Low' END
+    AS intervention_level,
+  planning_priority_tier AS planning_tier,
+  coalesce(estimated_population_impact, cast(affected_population_proxy AS double)) AS population,
+  planning_priority_score AS priority_score, {_w('maternal_neonatal_risk')} AS risk_weight, primary_risk_driver,
+  'Nearest maternal capable facilities' AS capable_facilities_label, true AS is_reported,
+  maternal_capable_facilities_names AS list_names
+FROM {_PLAN} WHERE latitude IS NOT NULL AND longitude IS NOT NULL""", doubles=("population",))
+def q_map_properties(spark, sf):
+    mp = CO.map_properties(planning(spark, sf), "maternal")
+    return mp.select(*_MAP_COLS, F.array_join(F.transform("capable_facilities_list", lambda x: x["name"]), "|")
+                     .alias("list_names"))
+
+
+@register("district_point_features", f"""SELECT state_ut || ':' || district_name AS key, 'Point' AS geometry_type,
+  longitude AS lon, latitude AS lat, planning_priority_tier AS tier
+FROM {_PLAN} WHERE latitude IS NOT NULL AND longitude IS NOT NULL""", doubles=("lon", "lat"))
+def q_district_point_features(spark, sf):
+    f = CO.district_point_features(CO.map_properties(planning(spark, sf), "overall"))
+    j = F.col("feature")
+    return f.select("key", F.get_json_object(j, "$.geometry.type").alias("geometry_type"),
+                    F.get_json_object(j, "$.geometry.coordinates[0]").cast("double").alias("lon"),
+                    F.get_json_object(j, "$.geometry.coordinates[1]").cast("double").alias("lat"),
+                    F.get_json_object(j, "$.properties.planning_tier").alias("tier"))
+
+
+def _label_sql(c):
+    return (f"CASE WHEN {c} IS NULL OR {c} = '' THEN 'Unknown' ELSE array_to_string(list_transform("
+            f"string_split({c}, '_'), lambda p: upper(p[1:1]) || p[2:]), ' ') END")
+
+
+def _short_sql(c):
+    t = f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
+    return f"CASE WHEN length({t}) > 28 THEN {t}[1:25] || '...' ELSE {t} END"
+
+
+def _preview_sql(c, n=3):
+    v = f"coalesce({c}, '')"
+    return (f"CASE WHEN starts_with(trim({v}), '[') AND json_valid({v}) "
+            f"THEN array_to_string(json_extract_string({v}, '$[*]')[1:{n}], ', ') "
+            f"WHEN length({v}) > 180 THEN {v}[1:180] || '...' ELSE {v} END")
+
+
+@register("display_labels", f"""SELECT t.unique_id, {_label_sql('c.maternal_neonatal_capability')} AS capability_label,
+  {_label_sql('c.data_confidence')} AS confidence_label, {_short_sql('t.name')} AS label_name,
+  {_preview_sql('t.specialties')} AS specialties_preview, {_preview_sql('t.procedure', 2)} AS procedure_preview
+FROM ({S.facility_texts_sql()}) t JOIN ({S.expected_capability_sql()}) c ON c.unique_id = t.unique_id""")
+def q_display_labels(spark, sf):
+    cap = capability_table(spark, sf)
+    return cap.select("unique_id", CL.snake_label("maternal_neonatal_capability").alias("capability_label"),
+                      CL.snake_label("data_confidence").alias("confidence_label"),
+                      CL.short_label("name").alias("label_name"),
+                      CL.list_preview("specialties").alias("specialties_preview"),
+                      CL.list_preview("procedure", 2).alias("procedure_preview"))
+
+
+@register("facility_features", f"""SELECT district_key, state_key, category, unique_id,
+  'LineString' AS line_type, printf('%.1f', floor(distance_kilometers * 10 + 0.5) / 10) || ' km' AS distance_label,
+  {_short_sql('name')} AS label_name, (center_longitude + facility_longitude) / 2 AS label_lon
+FROM ({S.nearest_sql()}) n
+WHERE (district_key, state_key, category, unique_id) IN (SELECT (district_key, state_key, category, unique_id) FROM ({S.thin_sql()}) t)""",
+          doubles=("label_lon",))
+def q_facility_features(spark, sf):
+    ff = CO.facility_features(CO.thin_nearest(nearest(spark, sf)))
+    return ff.select(*SV.KEYS, "category", "unique_id",
+                     F.get_json_object("line_feature", "$.geometry.type").alias("line_type"),
+                     F.get_json_object("point_feature", "$.properties.distanceLabel").alias("distance_label"),
+                     F.get_json_object("point_feature", "$.properties.labelName").alias("label_name"),
+                     F.get_json_object("label_feature", "$.geometry.coordinates[0]").cast("double").alias("label_lon"))
+
+
+@register("map_bounds", f"""SELECT district_key, state_key, category, min(lon) AS min_longitude, min(lat) AS min_latitude,
+  max(lon) AS max_longitude, max(lat) AS max_latitude FROM (
+  SELECT n.district_key, n.state_key, n.category, n.facility_longitude AS lon, n.facility_latitude AS lat
+  FROM ({S.nearest_sql()}) n
+  WHERE (n.district_key, n.state_key, n.category, n.unique_id) IN
+        (SELECT (district_key, state_key, category, unique_id) FROM ({S.thin_sql()}) t)
+  UNION ALL
+  SELECT DISTINCT n.district_key, n.state_key, n.category, n.center_longitude, n.center_latitude
+  FROM ({S.nearest_sql()}) n) b
+GROUP BY district_key, state_key, category""", doubles=("min_longitude", "min_latitude", "max_longitude", "max_latitude"))
+def q_map_bounds(spark, sf):
+    p = serving_inputs(spark, sf)
+    n = SV.nearest_facilities(p["geo"], p["loc"], p["cap"], knn_long(spark, sf, p))
+    return CO.map_bounds(CO.thin_nearest(n), p["geo"])

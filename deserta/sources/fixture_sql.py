@@ -458,3 +458,72 @@ SELECT * EXCLUDE (listed_min_km, p3o, p4, drivers, gaps_high, gaps_medium,
        WHEN len(gaps_medium) > 0 THEN 'Top service gaps: ' || array_to_string(gaps_medium[1:3], '; ') || '.'
        ELSE {no_gap} END AS service_gap_summary
 FROM c"""
+
+
+def nearest_sql(k: int = 3) -> str:
+    """T1 for all districts and categories, with the any-capability fallback for 'overall'."""
+    hv = haversine_sql("l.facility_latitude", "l.facility_longitude", "g.latitude", "g.longitude", "6371")
+    cat_case = {
+        "capability": "CASE r.category " + " ".join(f"WHEN '{s}' THEN c.{col}" for s, col in _SVC_COL.items())
+                      + f" ELSE {overall_capability_sql('c.')} END",
+        "confidence": "CASE r.category " + " ".join(
+            f"WHEN '{s}' THEN c.{col.replace('_capability', '_confidence')}" for s, col in _SVC_COL.items())
+            + " ELSE c.data_confidence END",
+        "evidence": "CASE r.category " + " ".join(
+            f"WHEN '{s}' THEN c.{col.replace('_capability', '_evidence')}" for s, col in _SVC_COL.items())
+            + " ELSE c.data_confidence_reason END",
+    }
+    return f"""
+WITH g AS ({geo_sql()}), loc AS ({locations_sql()}), knn AS ({knn_sql(k)}),
+fb AS (
+  SELECT * FROM (
+    SELECT g.district_key, g.state_key, 'overall' AS category, l.unique_id, {hv} AS distance_kilometers,
+      cast(row_number() OVER (PARTITION BY g.district_key, g.state_key ORDER BY {hv}, l.unique_id) AS integer) AS rank
+    FROM g CROSS JOIN loc l
+    WHERE NOT EXISTS (SELECT 1 FROM knn WHERE knn.district_key = g.district_key AND knn.state_key = g.state_key
+                      AND knn.service = 'overall')
+  ) x WHERE rank <= {k}),
+r AS (
+  SELECT district_key, state_key, service AS category, rank, unique_id, distance_kilometers, true AS matched_capability
+  FROM knn
+  UNION ALL
+  SELECT district_key, state_key, category, rank, unique_id, distance_kilometers, false FROM fb)
+SELECT r.district_key, r.state_key, r.category, r.rank, r.unique_id, l.name, l.address_city,
+  l."address_stateOrRegion", l.facility_latitude, l.facility_longitude, g.latitude AS center_latitude,
+  g.longitude AS center_longitude, r.distance_kilometers, 'calculated_from_coordinates' AS distance_source,
+  {cat_case['capability']} AS category_capability, {cat_case['confidence']} AS category_confidence,
+  {cat_case['evidence']} AS category_evidence, t.description, t.specialties, t.equipment, t.procedure, t.capability,
+  c.data_confidence, c.data_confidence_reason, r.matched_capability
+FROM r JOIN loc l ON l.unique_id = r.unique_id
+  JOIN g ON g.district_key = r.district_key AND g.state_key = r.state_key
+  LEFT JOIN ({expected_capability_sql()}) c ON c.unique_id = r.unique_id
+  LEFT JOIN ({facility_texts_sql()}) t ON t.unique_id = r.unique_id"""
+
+
+def thin_sql(min_km: float = 3.0) -> str:
+    """G2 for lists of at most three: rank 1 always kept; rank 2 kept when >= min_km from rank 1; rank 3 kept
+    when >= min_km from rank 1 and from rank 2 if rank 2 was kept."""
+    def d(a, b):
+        return haversine_sql(f"{a}.facility_latitude", f"{a}.facility_longitude",
+                             f"{b}.facility_latitude", f"{b}.facility_longitude", "6371")
+    return f"""
+WITH n AS ({nearest_sql()}),
+o AS (SELECT *, row_number() OVER (PARTITION BY district_key, state_key, category
+                                   ORDER BY distance_kilometers, unique_id) AS pos FROM n),
+w AS (
+  SELECT a.*, b.facility_latitude AS b_lat, b.facility_longitude AS b_lon,
+         c.facility_latitude AS c_lat, c.facility_longitude AS c_lon
+  FROM o a
+  LEFT JOIN o b ON b.district_key = a.district_key AND b.state_key = a.state_key AND b.category = a.category AND b.pos = 1
+  LEFT JOIN o c ON c.district_key = a.district_key AND c.state_key = a.state_key AND c.category = a.category AND c.pos = 2
+),
+k AS (
+  SELECT *,
+    CASE WHEN pos = 1 THEN true
+         WHEN pos = 2 THEN {haversine_sql('facility_latitude', 'facility_longitude', 'b_lat', 'b_lon', '6371')} >= {min_km}
+         ELSE {haversine_sql('facility_latitude', 'facility_longitude', 'b_lat', 'b_lon', '6371')} >= {min_km}
+              AND ({haversine_sql('c_lat', 'c_lon', 'b_lat', 'b_lon', '6371')} < {min_km}
+                   OR {haversine_sql('facility_latitude', 'facility_longitude', 'c_lat', 'c_lon', '6371')} >= {min_km})
+    END AS kept
+  FROM w)
+SELECT district_key, state_key, category, unique_id, distance_kilometers FROM k WHERE kept"""
