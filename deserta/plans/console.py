@@ -183,3 +183,54 @@ def map_bounds(thinned: DataFrame, geo: DataFrame) -> DataFrame:
     return (pts.unionByName(centers).groupBy(*KEYS, "category")
             .agg(F.min("lon").alias("min_longitude"), F.min("lat").alias("min_latitude"),
                  F.max("lon").alias("max_longitude"), F.max("lat").alias("max_latitude")))
+
+
+def map_rank_key(category: str = "overall") -> Column:
+    """Sort key of the map rows (the T2 order): smaller sorts first."""
+    field = CATEGORY_FIELDS.get(category, CATEGORY_FIELDS["overall"])
+    return F.struct((-_weight(field)).alias("w"), (-tier_rank()).alias("t"),
+                    (-F.col("planning_priority_score")).alias("s"), F.col("state_ut"), F.col("district_name"))
+
+
+def boundary_matches(boundaries: DataFrame, planning: DataFrame, category: str = "overall",
+                     cell_deg: float = 1.0) -> DataFrame:
+    """J7 over the map rows: (feature_index, key) per boundary that gets a district."""
+    from deserta.operators.polygon import point_in_polygon_join
+
+    pts = planning.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()) \
+        .withColumn("key", F.concat_ws(":", F.col("state_ut"), F.col("district_name")))
+    return point_in_polygon_join(boundaries, pts, "key", map_rank_key(category), cell_deg)
+
+
+def boundary_properties(boundaries: DataFrame, planning: DataFrame, category: str = "overall",
+                        cell_deg: float = 1.0) -> DataFrame:
+    """Every boundary with its district's map properties, or the 'Unreported' defaults when none matched."""
+    props = map_properties(planning, category).drop("longitude", "latitude", "capable_facilities_list")
+    matched = boundary_matches(boundaries, planning, category, cell_deg).join(props, "key")
+    b = boundaries.select("feature_index", "NAME_1", "NAME_2")
+    j = b.join(matched, "feature_index", "left")
+    reported = F.col("key").isNotNull()
+
+    def pick(col: str, default) -> Column:
+        return F.when(reported, F.col(col)).otherwise(default)
+
+    district = F.coalesce(F.col("NAME_2"), F.lit("Unreported district"))
+    state = F.coalesce(F.col("NAME_1"), F.lit("Unreported state"))
+    return j.select(
+        "feature_index",
+        pick("key", F.lit("")).alias("key"),
+        pick("district", district).alias("district"),
+        pick("state", state).alias("state"),
+        pick("intervention_priority_label", F.lit("Unreported")).alias("intervention_priority_label"),
+        pick("intervention_level", F.lit("Unreported")).alias("intervention_level"),
+        pick("planning_tier", F.lit("Monitor")).alias("planning_tier"),
+        pick("population", F.lit(0.0)).alias("population"),
+        pick("priority_score", F.lit(0)).alias("priority_score"),
+        pick("risk_weight", F.lit(0)).alias("risk_weight"),
+        pick("primary_risk_driver", F.lit("No district indicator record")).alias("primary_risk_driver"),
+        pick("capable_facilities_json", F.lit("[]")).alias("capable_facilities_json"),
+        pick("capable_facilities_label", F.lit(LIST_LABELS["overall"])).alias("capable_facilities_label"),
+        reported.alias("is_reported"),
+        F.coalesce(F.col("NAME_2"), pick("district", F.lit("Unreported district"))).alias("boundary_district"),
+        F.coalesce(F.col("NAME_1"), pick("state", F.lit("Unreported state"))).alias("boundary_state"),
+    )

@@ -489,3 +489,29 @@ def q_map_bounds(spark, sf):
     p = serving_inputs(spark, sf)
     n = SV.nearest_facilities(p["geo"], p["loc"], p["cap"], knn_long(spark, sf, p))
     return CO.map_bounds(CO.thin_nearest(n), p["geo"])
+
+
+# ---- step 7: boundary polygons ---------------------------------------------------------------------------------------
+
+@register("point_in_polygon_join", S.boundary_match_sql())
+def q_point_in_polygon_join(spark, sf):
+    return CO.boundary_matches(FX.boundaries(spark, sf), planning(spark, sf))
+
+
+@register("unreported_boundaries", f"""
+WITH m AS ({S.boundary_match_sql()}), p AS ({S.planning_sql()})
+SELECT b.feature_index, coalesce(m.key, '') AS key,
+  CASE WHEN m.key IS NULL THEN coalesce(b.NAME_2, 'Unreported district') ELSE p.district_name END AS district,
+  CASE WHEN m.key IS NULL THEN coalesce(b.NAME_1, 'Unreported state') ELSE p.state_ut END AS state,
+  CASE WHEN m.key IS NULL THEN 'Unreported' WHEN p.planning_priority_tier IN ('Urgent', 'High', 'Watch')
+       THEN p.planning_priority_tier ELSE 'Low' END AS intervention_level,
+  CASE WHEN m.key IS NULL THEN 'No district indicator record' ELSE p.primary_risk_driver END AS primary_risk_driver,
+  m.key IS NOT NULL AS is_reported,
+  coalesce(b.NAME_2, CASE WHEN m.key IS NULL THEN 'Unreported district' ELSE p.district_name END) AS boundary_district,
+  coalesce(b.NAME_1, CASE WHEN m.key IS NULL THEN 'Unreported state' ELSE p.state_ut END) AS boundary_state
+FROM ({S.boundaries_sql()}) b LEFT JOIN m ON m.feature_index = b.feature_index
+  LEFT JOIN p ON m.key = p.state_ut || ':' || p.district_name""")
+def q_unreported_boundaries(spark, sf):
+    return CO.boundary_properties(FX.boundaries(spark, sf), planning(spark, sf)).select(
+        "feature_index", "key", "district", "state", "intervention_level", "primary_risk_driver", "is_reported",
+        "boundary_district", "boundary_state")

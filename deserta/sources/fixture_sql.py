@@ -527,3 +527,33 @@ k AS (
     END AS kept
   FROM w)
 SELECT district_key, state_key, category, unique_id, distance_kilometers FROM k WHERE kept"""
+
+
+def boundaries_sql() -> str:
+    return f"""
+SELECT s AS feature_index, CASE WHEN s%7=0 THEN NULL ELSE district END AS NAME_2, statename AS NAME_1,
+  center_longitude AS blon, center_latitude + CASE WHEN s%5=0 THEN 5 ELSE 0 END AS blat, s
+FROM (SELECT *, cast(regexp_extract(district, '([0-9]+)$', 1) AS bigint) AS s FROM ({district_centers_sql()}) c) x"""
+
+
+def _in_square(lon, lat, clon, clat, half):
+    return f"({lon} > {clon} - {half} AND {lon} < {clon} + {half} AND {lat} > {clat} - {half} AND {lat} < {clat} + {half})"
+
+
+def boundary_match_sql() -> str:
+    w = "CASE overall_care_desert_risk WHEN 'High Risk' THEN 3 WHEN 'Medium Risk' THEN 2 WHEN 'Low Risk' THEN 1 ELSE 0 END"
+    t = ("CASE planning_priority_tier WHEN 'Urgent' THEN 4 WHEN 'High' THEN 3 WHEN 'Watch' THEN 2 "
+         "WHEN 'Monitor' THEN 1 ELSE 0 END")
+    inside = (f"(({_in_square('p.longitude', 'p.latitude', 'b.blon', 'b.blat', 0.3)} AND NOT (b.s%4=0 AND "
+              f"{_in_square('p.longitude', 'p.latitude', 'b.blon', 'b.blat', 0.1)})) OR (b.s%3=0 AND "
+              f"{_in_square('p.longitude', 'p.latitude', 'b.blon + 20', 'b.blat', 0.3)}))")
+    return f"""
+WITH p AS (SELECT state_ut || ':' || district_name AS key, longitude, latitude, {w} AS w, {t} AS t,
+                  planning_priority_score AS sc, state_ut, district_name
+           FROM ({planning_sql()}) q WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+b AS ({boundaries_sql()}),
+cand AS (SELECT b.feature_index, p.* FROM b JOIN p ON {inside}),
+firstb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY feature_index) AS r FROM cand) x WHERE r = 1),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_index
+                        ORDER BY w DESC, t DESC, sc DESC, state_ut, district_name) AS r2 FROM firstb) y WHERE r2 = 1)
+SELECT feature_index, key FROM best"""
