@@ -515,3 +515,100 @@ def q_unreported_boundaries(spark, sf):
     return CO.boundary_properties(FX.boundaries(spark, sf), planning(spark, sf)).select(
         "feature_index", "key", "district", "state", "intervention_level", "primary_risk_driver", "is_reported",
         "boundary_district", "boundary_state")
+
+
+# ---- step 8: older console -------------------------------------------------------------------------------------------
+
+from deserta.plans import legacy as LG  # noqa: E402
+
+
+def legacy_rows(spark: SparkSession, sf: str):
+    return LG.priority_join_v1(indicators(spark, sf, "supplier"), FX.master_inputs(spark, sf))
+
+
+def legacy_points(spark: SparkSession, sf: str, category: str = "overall"):
+    geo = SV.district_geo(distance_table(spark, sf))
+    return LG.legacy_points(legacy_rows(spark, sf), category, geo)
+
+
+def clusters(spark: SparkSession, sf: str):
+    return LG.weighted_cluster_rollup(LG.cluster_cells(legacy_points(spark, sf)))
+
+
+_LEGACY_POINT_DOUBLES = ("latitude", "longitude", "households", "women", "severity", "confidence", "population_impact")
+_CLUSTER_DOUBLES = ("latitude", "longitude", "households", "women", "severity", "confidence", "population_impact")
+
+
+@register("priority_join_v1", S.legacy_rows_sql(), doubles=_IND_DOUBLES + ("estimated_population_impact",))
+def q_priority_join_v1(spark, sf):
+    return legacy_rows(spark, sf)
+
+
+@register("state_centroid_lookup", f"""SELECT r.district_name, r.state_ut,
+  coalesce(c.centroid_latitude, cast(22.9734 AS double)) AS centroid_latitude,
+  coalesce(c.centroid_longitude, cast(78.6569 AS double)) AS centroid_longitude
+FROM ({S.legacy_rows_sql()}) r LEFT JOIN ({S.centroids_sql()}) c ON c.state_lc = lower(trim(r.state_ut))""",
+          doubles=("centroid_latitude", "centroid_longitude"))
+def q_state_centroid_lookup(spark, sf):
+    return LG.state_centroid_lookup(legacy_rows(spark, sf)).select("district_name", "state_ut", "centroid_latitude",
+                                                                   "centroid_longitude")
+
+
+@register("legacy_signals", S.legacy_points_sql(), doubles=_LEGACY_POINT_DOUBLES)
+def q_legacy_signals(spark, sf):
+    return legacy_points(spark, sf)
+
+
+def _scores_sql():
+    _, fields = LG.LEGACY_CATEGORIES["maternal"]
+    parts = [f"SELECT {S._jtrim('district_name')} || '||' || {S._jtrim('state_ut')} AS id, {i} AS position, "
+             f"'{label}' AS label, cast({f} AS double) AS value FROM ({S.legacy_rows_sql()}) r"
+             for i, (f, label) in enumerate(fields)]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("legacy_scores", _scores_sql(), doubles=("value",))
+def q_legacy_scores(spark, sf):
+    return LG.legacy_scores(legacy_rows(spark, sf), "maternal")
+
+
+@register("not_data_poor", f"SELECT id FROM ({S.legacy_points_sql()}) p WHERE NOT data_poor")
+def q_not_data_poor(spark, sf):
+    return LG.not_data_poor(legacy_points(spark, sf)).select("id")
+
+
+@register("cluster_cells", f"SELECT id, x, y, cluster_key FROM ({S.cluster_cells_sql()}) c", doubles=("x", "y"))
+def q_cluster_cells(spark, sf):
+    return LG.cluster_cells(legacy_points(spark, sf)).select("id", "x", "y", "cluster_key")
+
+
+@register("weighted_cluster_rollup", S.cluster_rollup_sql(), doubles=_CLUSTER_DOUBLES)
+def q_weighted_cluster_rollup(spark, sf):
+    return clusters(spark, sf)
+
+
+@register("priority_band_counts", f"""SELECT count(*) FILTER (WHERE priority_rank >= 3) AS high,
+  count(*) FILTER (WHERE priority_rank = 2) AS moderate, count(*) FILTER (WHERE priority_rank = 1) AS adequate,
+  count(*) FILTER (WHERE priority_rank <= 0) AS data_poor FROM ({S.cluster_rollup_sql()}) c""")
+def q_priority_band_counts(spark, sf):
+    return LG.priority_band_counts(clusters(spark, sf))
+
+
+def _high_counts_sql():
+    parts = []
+    for cat, (field, _) in LG.LEGACY_CATEGORIES.items():
+        v = f"lower(coalesce({S._jtrim(field)}, ''))"
+        parts.append(f"SELECT '{cat}' AS category, count(*) FILTER (WHERE contains({v}, 'high')) AS high_count "
+                     f"FROM ({S.legacy_rows_sql()}) r")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("category_high_counts", _high_counts_sql())
+def q_category_high_counts(spark, sf):
+    return LG.category_high_counts(legacy_rows(spark, sf))
+
+
+@register("ranked_clusters", f"""SELECT * FROM ({S.cluster_rollup_sql()}) c WHERE NOT data_poor
+ORDER BY priority_rank DESC, population_impact DESC, cluster_key LIMIT 12""", doubles=_CLUSTER_DOUBLES)
+def q_ranked_clusters(spark, sf):
+    return LG.ranked_clusters(clusters(spark, sf))

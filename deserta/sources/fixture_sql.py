@@ -557,3 +557,93 @@ firstb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_index
                         ORDER BY w DESC, t DESC, sc DESC, state_ut, district_name) AS r2 FROM firstb) y WHERE r2 = 1)
 SELECT feature_index, key FROM best"""
+
+
+# ---- legacy console oracle pieces ------------------------------------------------------------------------------------
+
+def legacy_rows_sql() -> str:
+    from deserta.plans.indicators import INDICATOR_COLUMNS
+
+    cols = ", ".join(f"i.{c}" for c in INDICATOR_COLUMNS)
+    return f"""
+SELECT {cols}, m.intervention_priority, m.estimated_population_impact
+FROM ({indicators_sql('supplier')}) i JOIN ({master_inputs_sql()}) m
+  ON trim(i.district_name) = trim(m.district_name) AND trim(i.state_ut) = trim(m.state_ut)
+WHERE i.overall_care_desert_risk IS NOT NULL"""
+
+
+def centroids_sql() -> str:
+    from deserta.plans.legacy import STATE_CENTROIDS
+
+    vals = ", ".join(f"('{k}', cast({v[0]!r} AS double), cast({v[1]!r} AS double))" for k, v in STATE_CENTROIDS.items())
+    return f"SELECT * FROM (VALUES {vals}) t(state_lc, centroid_latitude, centroid_longitude)"
+
+
+def legacy_points_sql(risk_field: str = "overall_care_desert_risk") -> str:
+    from deserta.plans.legacy import DEFAULT_CENTROID
+
+    def js(c):
+        return f"coalesce({_jtrim(f'cast({c} AS varchar)')}, '')"
+
+    h = "coalesce(cast(r.households_surveyed AS double), 0)"
+    risk = f"CASE WHEN {js('r.' + risk_field)} <> '' THEN {js('r.' + risk_field)} ELSE 'Unknown' END"
+    prio = f"CASE WHEN {js('r.intervention_priority')} <> '' THEN {js('r.intervention_priority')} ELSE 'Unknown Priority' END"
+    return f"""
+SELECT id, district, state, latitude, longitude, households, women, risk_label,
+  CASE WHEN contains(lower(risk_label), 'high') THEN cast(0.92 AS double)
+       WHEN contains(lower(risk_label), 'medium') OR contains(lower(risk_label), 'moderate') THEN cast(0.58 AS double)
+       WHEN contains(lower(risk_label), 'low') THEN cast(0.22 AS double) ELSE cast(0.4 AS double) END AS severity,
+  least(cast(1 AS double), greatest(cast(0.18 AS double), log10(greatest(cast(10 AS double), households)) / 5))
+    AS confidence,
+  households < 500 AS data_poor, intervention_priority,
+  CASE WHEN contains(lower(intervention_priority), 'critical') THEN 3 WHEN contains(lower(intervention_priority), 'high')
+       THEN 2 WHEN contains(lower(intervention_priority), 'low') THEN 1 ELSE 0 END AS priority_rank,
+  population_impact
+FROM (
+  SELECT {js('r.district_name')} || '||' || {js('r.state_ut')} AS id,
+    CASE WHEN {js('r.district_name')} <> '' THEN {js('r.district_name')} ELSE 'Unknown district' END AS district,
+    CASE WHEN {js('r.state_ut')} <> '' THEN {js('r.state_ut')} ELSE 'Unknown state' END AS state,
+    coalesce(g.latitude, c.centroid_latitude, cast({DEFAULT_CENTROID[0]!r} AS double)) AS latitude,
+    coalesce(g.longitude, c.centroid_longitude, cast({DEFAULT_CENTROID[1]!r} AS double)) AS longitude,
+    {h} AS households, coalesce(cast(r.women_15_49_interviewed AS double), 0) AS women,
+    {risk} AS risk_label, {prio} AS intervention_priority,
+    coalesce(cast(r.estimated_population_impact AS double), 0) AS population_impact
+  FROM ({legacy_rows_sql()}) r
+  LEFT JOIN ({centroids_sql()}) c ON c.state_lc = lower({js('r.state_ut')})
+  LEFT JOIN ({geo_sql()}) g ON g.district_key = upper(trim(r.district_name)) AND g.state_key = upper(trim(r.state_ut))
+) x"""
+
+
+def cluster_cells_sql(zoom: float = 4.0, cell_px: float = 64.0) -> str:
+    import math
+
+    world = 512.0 * (2.0 ** zoom)
+    four_pi = repr(4 * math.pi)
+    s = "sin(radians(greatest(cast(-85.05113 AS double), least(cast(85.05113 AS double), latitude))))"
+    return f"""
+SELECT *, cast(cast(floor(x / {cell_px!r}) AS bigint) AS varchar) || ':' || cast(cast(floor(y / {cell_px!r}) AS bigint) AS varchar)
+  AS cluster_key
+FROM (SELECT *, (longitude + 180) / 360 * {world!r} AS x,
+        (0.5 - ln((1 + {s}) / (1 - {s})) / {four_pi}) * {world!r} AS y
+      FROM ({legacy_points_sql()}) p) q"""
+
+
+def cluster_rollup_sql() -> str:
+    return f"""
+SELECT cluster_key, rep.id AS representative_id,
+  CASE WHEN member_count = 1 THEN rep.district ELSE cast(member_count AS varchar) || ' districts' END AS district,
+  CASE WHEN member_count = 1 THEN rep.state ELSE cast(state_count AS varchar) || ' states' END AS state,
+  wlat / w AS latitude, wlon / w AS longitude, households, women,
+  CASE WHEN member_count = 1 THEN rep.risk ELSE 'Aggregated care desert signal' END AS risk_label,
+  severity, confidence, data_poor,
+  CASE WHEN pr.r > 0 THEN pr.p ELSE 'Unknown Priority' END AS intervention_priority, pr.r AS priority_rank,
+  population_impact, member_count
+FROM (
+  SELECT cluster_key, sum(population_impact) AS population_impact, sum(households) AS households,
+    sum(women) AS women, sum(greatest(population_impact, 1)) AS w,
+    sum(longitude * greatest(population_impact, 1)) AS wlon, sum(latitude * greatest(population_impact, 1)) AS wlat,
+    max(struct_pack(r := priority_rank, p := intervention_priority)) AS pr, max(severity) AS severity,
+    avg(confidence) AS confidence, bool_and(data_poor) AS data_poor, count(*) AS member_count,
+    count(DISTINCT state) AS state_count,
+    max(struct_pack(i := population_impact, id := id, district := district, state := state, risk := risk_label)) AS rep
+  FROM ({cluster_cells_sql()}) c GROUP BY cluster_key) a"""
