@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from deserta.operators.polygon import wrap_polygon
 
@@ -22,7 +22,7 @@ _FEATURE = StructType([
 
 def scan_geojson(spark: SparkSession, path: str, fmt: str = "collection") -> DataFrame:
     if fmt == "collection":
-        doc = spark.read.schema(StructType([StructField("features", "array<string>")])).option("multiLine", True) \
+        doc = spark.read.schema(StructType([StructField("features", ArrayType(StringType()))])).option("multiLine", True) \
             .json(path)
         feats = doc.select(F.posexplode("features").alias("feature_index", "_f")) \
             .select("feature_index", F.from_json("_f", _FEATURE).alias("f"))
