@@ -83,17 +83,17 @@ def planning_distance() -> Column:
     return F.coalesce(listed_nearest_km(), closest_km("overall_care_desert_risk"))
 
 
-def access_adjusted_weight(field: str) -> Column:
-    """P5: a near capable facility lowers the weight of a risk."""
-    base = risk_weight(field)
-    d = closest_km(field)
+def access_adjusted_weight(field: str, base: Column | None = None, d: Column | None = None) -> Column:
+    """P5: a near capable facility lowers the weight of a risk. ``base``/``d`` may be precomputed columns."""
+    base = risk_weight(field) if base is None else base
+    d = closest_km(field) if d is None else d
     return (F.when(base == 0, F.lit(0)).when(d.isNull(), base).when(d <= 10, F.least(base, F.lit(1)))
             .when(d <= 25, F.greatest(F.lit(1), base - 1)).otherwise(base))
 
 
-def distance_penalty() -> Column:
+def distance_penalty(d: Column | None = None) -> Column:
     """P6."""
-    d = planning_distance()
+    d = planning_distance() if d is None else d
     return (F.when(d.isNull(), F.lit(2)).when(d > 100, F.lit(3)).when(d > 60, F.lit(2)).when(d > 25, F.lit(1))
             .otherwise(F.lit(0)))
 
@@ -103,9 +103,9 @@ def planning_priority_score() -> Column:
     return sum((access_adjusted_weight(f) for f, _, _ in RISK_FIELDS), F.lit(0)) + distance_penalty()
 
 
-def planning_priority_tier(score_col="planning_priority_score") -> Column:
+def planning_priority_tier(score_col="planning_priority_score", d: Column | None = None) -> Column:
     """P8."""
-    s, d = _c(score_col), planning_distance()
+    s, d = _c(score_col), (planning_distance() if d is None else d)
     return (F.when(s >= 14, F.lit("Urgent")).when(s >= 11, F.lit("High"))
             .when(s >= 8, F.when(d.isNotNull() & (d > 100), F.lit("High")).otherwise(F.lit("Watch")))
             .when(d.isNull() | (d > 60), F.lit("Watch")).otherwise(F.lit("Monitor")))

@@ -64,11 +64,13 @@ def within_distance_join(points: DataFrame, point_lat: str, point_lon: str,
                          centers: DataFrame, center_lat: str, center_lon: str,
                          radius_km: float, earth_radius_km: float = SERVING_RADIUS_KM,
                          cell_deg: float | None = None, distance_col: str = "distance_kilometers",
-                         keys: list[str] | None = None) -> DataFrame:
+                         keys: list[str] | None = None, salt_buckets: int = 1) -> DataFrame:
     """All (point, center) pairs with great-circle distance <= ``radius_km``; both inputs keep their columns.
 
     ``keys``: extra equi-join columns present on both sides (e.g. a service), added to the cell key.
-    Rows with a NULL coordinate on either side never match (they are filtered before the join).
+    ``salt_buckets``: when > 1, points are spread over that many buckets by a hash of their coordinates and each
+    exploded center row is replicated into every bucket, so one dense cell is split across tasks even where AQE
+    skew handling is off. Rows with a NULL coordinate on either side never match (they are filtered first).
     """
     keys = list(keys or [])
     cell, ncols = grid_spec(radius_km, earth_radius_km, cell_deg)
@@ -79,10 +81,14 @@ def within_distance_join(points: DataFrame, point_lat: str, point_lon: str,
     ctr = (ctr.withColumn("_cell", F.explode(cap_cells(F.col(center_lat), F.col(center_lon), radius_km,
                                                        earth_radius_km, cell, ncols)))
            .withColumn("_ci", F.col("_cell.i")).withColumn("_cj", F.col("_cell.j")).drop("_cell"))
+    if salt_buckets > 1:
+        pts = pts.withColumn("_salt", F.pmod(F.xxhash64(point_lat, point_lon), F.lit(salt_buckets)))
+        ctr = ctr.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt_buckets - 1).cast("long"))))
+        keys = keys + ["_salt"]
     dist = haversine_km(point_lat, point_lon, center_lat, center_lon, earth_radius_km)
     return (
         pts.join(ctr, ["_ci", "_cj"] + keys)
         .withColumn(distance_col, dist)
         .filter(F.col(distance_col) <= radius_km)
-        .drop("_ci", "_cj")
+        .drop("_ci", "_cj", "_salt")
     )

@@ -63,6 +63,10 @@ def knn_join(centers: DataFrame, center_keys: list[str], center_lat: str, center
     part = center_keys + gkeys
     half_globe = math.pi * earth_radius_km
     ctr = centers.select(*part, center_lat, center_lon)
+    if ctr.isEmpty():
+        empty = within_distance_join(points, point_lat, point_lon, ctr, center_lat, center_lon, radius_km=1.0,
+                                     earth_radius_km=earth_radius_km, distance_col=distance_col, keys=gkeys)
+        return empty.withColumn(rank_col, F.lit(0)).drop(center_lat, center_lon).limit(0)
     pts = points.filter(F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull()).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:

@@ -232,3 +232,17 @@ def test_indicator_stream_matches_batch(spark):
     batch = Q.indicators(spark, SF001)
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch).count() == 0
+
+
+def test_salted_grid_join_same_pairs(spark):
+    from deserta.plans import queries as Q
+    from deserta.plans.distances import facility_points
+    from deserta.operators.distance_join import within_distance_join
+    from deserta.sources import fixtures as FX
+
+    pts, ctr = facility_points(FX.facilities(spark, SF001)), Q.centers(spark, SF001)
+    a = within_distance_join(pts, "facility_latitude", "facility_longitude", ctr, "center_latitude",
+                             "center_longitude", 160.0).select("unique_id", "district")
+    b = within_distance_join(pts, "facility_latitude", "facility_longitude", ctr, "center_latitude",
+                             "center_longitude", 160.0, salt_buckets=4).select("unique_id", "district")
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
