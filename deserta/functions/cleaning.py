@@ -51,16 +51,31 @@ def finite_or_null(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x)
 
 
+def coerce_number_sql(name: str, default: float | None = 0.0) -> str:
+    """SQL text of ``coerce_number`` for a column name."""
+    parsed = f"try_cast(trim(cast(`{name}` AS STRING)) AS DOUBLE)"
+    finite = f"CASE WHEN isnan({parsed}) OR abs({parsed}) = double('inf') THEN NULL ELSE {parsed} END"
+    return finite if default is None else f"coalesce({finite}, CAST({float(default)!r} AS DOUBLE))"
+
+
 def coerce_number(col, default: float | None = 0.0) -> Column:
-    """Finite number from a number-or-string cell; blank, malformed, NaN and +-inf give ``default``."""
-    c = _c(col)
-    parsed = finite_or_null(F.trim(c.cast("string")).try_cast("double"))
+    """Finite number from a number-or-string cell; blank, malformed, NaN and +-inf give ``default``.
+    For a column name the expression is built from SQL text in one call."""
+    if isinstance(col, str):
+        return F.expr(coerce_number_sql(col, default))
+    parsed = finite_or_null(F.trim(col.cast("string")).try_cast("double"))
     return F.coalesce(parsed, F.lit(default).cast("double")) if default is not None else parsed
 
 
+def coerce_string_sql(name: str) -> str:
+    return f"coalesce(regexp_replace(cast(`{name}` AS STRING), '^\\\\s+|\\\\s+$', ''), '')"
+
+
 def coerce_string(col) -> Column:
     """Trimmed text (all whitespace) or ''."""
-    return F.coalesce(normalize_key(_c(col).cast("string"), "js"), F.lit(""))
+    if isinstance(col, str):
+        return F.expr(coerce_string_sql(col))
+    return F.coalesce(normalize_key(col.cast("string"), "js"), F.lit(""))
 
 
 def coordinate(col) -> Column:

@@ -154,6 +154,9 @@ def data_confidence_score(pop_col="affected_population_proxy") -> Column:
 
 def _fixed1(col) -> Column:
     """One-decimal text of a number (missing -> 0.0), rounded half up on the binary value."""
+    if isinstance(col, str):
+        from deserta.functions.cleaning import coerce_number_sql
+        return F.expr(f"format_string('%.1f', floor({coerce_number_sql(col)} * 10D + 0.5D) / 10D)")
     v = coerce_number(col)
     return F.format_string("%.1f", F.floor(v * 10.0 + 0.5) / 10.0)
 
@@ -179,32 +182,47 @@ def _fill(template: str, parts: dict[str, Column]) -> Column:
     return F.concat(*out)
 
 
+_GAP_PARTS = {
+    "inst": lambda: _pct("maternal_neonatal_institutional_birth_pct"),
+    "skilled": lambda: _pct("maternal_neonatal_skilled_birth_pct"),
+    "flag": lambda: F.lower(F.when(coerce_string("maternal_neonatal_csection_access_flag") != "",
+                                   coerce_string("maternal_neonatal_csection_access_flag"))
+                            .otherwise(F.lit(NO_FLAG_TEXT))),
+    "sugar": lambda: _pct("diabetes_care_high_blood_sugar_pct"),
+    "bp": lambda: _pct("hypertension_care_high_bp_pct"),
+    "under": lambda: _pct("nutrition_services_underweight_pct"),
+    "cerv": lambda: _pct("cancer_screening_cervical_pct"),
+    "breast": lambda: _pct("cancer_screening_breast_pct"),
+    "oral": lambda: _pct("cancer_screening_oral_pct"),
+}
+
+
 def gap_text(field: str) -> Column:
-    parts = {
-        "inst": _pct("maternal_neonatal_institutional_birth_pct"),
-        "skilled": _pct("maternal_neonatal_skilled_birth_pct"),
-        "flag": F.lower(F.when(coerce_string("maternal_neonatal_csection_access_flag") != "",
-                               coerce_string("maternal_neonatal_csection_access_flag"))
-                        .otherwise(F.lit(NO_FLAG_TEXT))),
-        "sugar": _pct("diabetes_care_high_blood_sugar_pct"),
-        "bp": _pct("hypertension_care_high_bp_pct"),
-        "under": _pct("nutrition_services_underweight_pct"),
-        "cerv": _pct("cancer_screening_cervical_pct"),
-        "breast": _pct("cancer_screening_breast_pct"),
-        "oral": _pct("cancer_screening_oral_pct"),
-    }
+    """The gap sentence of one service field (placeholders are built only when the template uses them)."""
     dist = dict((f, d) for f, _, d in RISK_FIELDS)[field]
-    parts["near"] = _near(dist, NEAR_TEXT) if dist else F.lit("")
-    parts["near_cancer"] = _near(dist, NEAR_CANCER_TEXT) if dist else F.lit("")
-    return _fill(GAP_TEMPLATES[field], parts)
+    template = GAP_TEMPLATES[field]
+    parts = {}
+    for name, build in _GAP_PARTS.items():
+        if "{" + name + "}" in template:
+            parts[name] = build()
+    if "{near}" in template:
+        parts["near"] = _near(dist, NEAR_TEXT)
+    if "{near_cancer}" in template:
+        parts["near_cancer"] = _near(dist, NEAR_CANCER_TEXT)
+    return _fill(template, parts)
+
+
+GAP_FIELDS = tuple(f for f, _, d in RISK_FIELDS if d)
 
 
-def service_gap_summary() -> Column:
-    """Up to three gap sentences for High services (else Medium), or an availability sentence."""
-    services = [f for f, _, d in RISK_FIELDS if d]
+def service_gap_summary(gap_cols: dict[str, str] | None = None) -> Column:
+    """Up to three gap sentences for High services (else Medium), or an availability sentence.
+    ``gap_cols``: field -> name of a column already holding ``gap_text(field)`` (computed once per row)."""
+    texts_by_field = {f: (F.col(gap_cols[f]) if gap_cols else gap_text(f)) for f in GAP_FIELDS}
+    levels = {f: coerce_string(f) for f in GAP_FIELDS}
 
     def texts(level: str) -> Column:
-        return F.filter(F.array(*[F.when(coerce_string(f) == level, gap_text(f)) for f in services]),
+        return F.filter(F.array(*[F.when(levels[f] == level, texts_by_field[f]) for f in GAP_FIELDS]),
                         lambda x: x.isNotNull())
 
     high = texts("High Risk")

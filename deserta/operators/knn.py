@@ -22,10 +22,9 @@ from deserta.operators.distance_join import within_distance_join
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    from deserta.session import ensure_checkpoint_dir
+    from deserta.sources.tables import checkpoint_table
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return checkpoint_table(df, "knn")
 
 
 def density_radius_km(points: DataFrame, lat: str, lon: str, k: int, group_col: str | None,

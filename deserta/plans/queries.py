@@ -215,8 +215,8 @@ def serving_inputs(spark: SparkSession, sf: str) -> dict:
     """The two gold tables (distance links, capability), materialised once like the reference's views."""
     from deserta.sources.tables import checkpoint_table
 
-    dist = checkpoint_table(distance_table(spark, sf))
-    cap = checkpoint_table(capability_table(spark, sf))
+    dist = checkpoint_table(distance_table(spark, sf), "facility_district_distances")
+    cap = checkpoint_table(capability_table(spark, sf), "facility_capability")
     geo = SV.district_geo(dist)
     loc = SV.facility_locations(dist)
     return {"dist": dist, "cap": cap, "geo": geo, "loc": loc}

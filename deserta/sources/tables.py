@@ -73,10 +73,20 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def checkpoint_table(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the session's checkpoint folder (``spark.checkpoint.dir``, a shared path on a
-    cluster) and return a DataFrame reading it: cuts the lineage so a lost executor recomputes from the files."""
+def checkpoint_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Materialise ``df`` as a parquet table under the session's checkpoint folder (``spark.checkpoint.dir``, a
+    shared path on a cluster) and return a DataFrame reading it back.
+
+    Cuts the lineage (a lost executor recomputes from the files, not the sources), computes ``df`` exactly once
+    (an RDD checkpoint would run the plan a second time to write it), and later readers get column pruning and
+    filter pushdown from the parquet scan.
+    """
+    import uuid
+
     from deserta.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
