@@ -61,62 +61,71 @@ def assessment_prompt() -> Column:
 
 
 def _pattern(terms) -> str:
-    return "(" + "|".join(re.escape(t) for t in terms) + ")"
+    for t in terms:  # keywords are plain words: no regex metacharacters, no quotes
+        assert re.fullmatch(r"[a-z0-9 -]+", t), t
+    return "(" + "|".join(terms) + ")"
 
 
-def text_flags(df: DataFrame) -> DataFrame:
-    """Per (category, field): ``_m_<cat>_<field>`` (mentions a keyword) and ``_n_<cat>_<field>`` (negates one).
-    One regex per flag over the lower-cased field, computed once and reused by the assessment expressions."""
-    cols = []
+def text_flag_sql() -> list[str]:
+    """Per (category, field): ``_m_<cat>_<field>`` (mentions a keyword) and ``_n_<cat>_<field>`` (negates one),
+    as SQL select items: one regex per flag over the lower-cased field."""
+    out = []
     for f in TEXT_FIELDS:
-        text = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(f), F.lit(""))))
+        text = f"concat(' ', lower(coalesce(`{f}`, '')))"
         for cat, terms in CATEGORY_TERMS.items():
-            cols.append(text.rlike(_pattern(terms)).alias(f"_m_{cat}_{f}"))
-            cols.append(text.rlike(" (" + "|".join(NEGATIONS) + ") " + _pattern(terms)).alias(f"_n_{cat}_{f}"))
-    return df.select("*", *cols)
+            out.append(f"{text} rlike '{_pattern(terms)}' AS _m_{cat}_{f}")
+            out.append(f"{text} rlike ' ({'|'.join(NEGATIONS)}) {_pattern(terms)}' AS _n_{cat}_{f}")
+    return out
 
 
 def flag_columns() -> list[str]:
     return [f"_{x}_{cat}_{f}" for f in TEXT_FIELDS for cat in CATEGORY_TERMS for x in ("m", "n")]
 
 
-def rule_assessment(category: str) -> Column:
-    """C2 (rule form) for one category over the flags of ``text_flags``:
-    struct(capability, confidence, evidence, limitation).
+def support_count_sql() -> list[str]:
+    """Per category: ``_s_<cat>`` fields supporting it (mention without negation) and ``_x_<cat>`` any negation."""
+    out = []
+    for cat in CATEGORY_TERMS:
+        n = " + ".join(f"CASE WHEN _m_{cat}_{f} AND NOT _n_{cat}_{f} THEN 1 ELSE 0 END" for f in TEXT_FIELDS)
+        out.append(f"({n}) AS _s_{cat}")
+        out.append("(" + " OR ".join(f"_n_{cat}_{f}" for f in TEXT_FIELDS) + f") AS _x_{cat}")
+    return out
+
+
+def rule_assessment_sql(category: str) -> str:
+    """C2 (rule form) for one category: named_struct(capability, confidence, evidence, limitation).
 
     A field supports the category when it mentions a keyword without negating it. Two or more supporting fields
     -> capable, one -> limited, none but an explicit negation -> not_capable, else unknown.
     """
-    support = [F.col(f"_m_{category}_{f}") & ~F.col(f"_n_{category}_{f}") for f in TEXT_FIELDS]
-    negated = F.lit(False)
-    for f in TEXT_FIELDS:
-        negated = negated | F.col(f"_n_{category}_{f}")
-    n = sum((s.cast("int") for s in support), F.lit(0))
-    capability = (F.when(n >= 2, F.lit("capable")).when(n == 1, F.lit("limited"))
-                  .when(negated, F.lit("not_capable")).otherwise(F.lit("unknown")))
-    confidence = (F.when(n >= 3, F.lit("high")).when(n == 2, F.lit("medium")).when(n == 1, F.lit("low"))
-                  .when(negated, F.lit("medium")).otherwise(F.lit("low")))
-    evidence = F.filter(F.array(*[F.when(s, F.lit(f)) for f, s in zip(TEXT_FIELDS, support)]),
-                        lambda x: x.isNotNull())
-    limitation = (F.when(n >= 2, F.lit("")).when(n == 1, F.lit("documented in one field only"))
-                  .when(negated, F.lit("service stated as not offered"))
-                  .otherwise(F.lit("no documentation for this service")))
-    return F.struct(capability.alias("capability"), confidence.alias("confidence"),
-                    evidence.alias("evidence"), limitation.alias("limitation"))
-
-
-def documented_field_count() -> Column:
-    return sum(
-        (F.when(F.trim(F.coalesce(F.col(f), F.lit(""))) != "", 1).otherwise(0) for f in TEXT_FIELDS), F.lit(0))
-
-
-def rule_data_confidence() -> tuple[Column, Column]:
-    n = documented_field_count()
-    level = F.when(n >= 4, F.lit("high")).when(n >= 2, F.lit("medium")).otherwise(F.lit("low"))
-    reason = F.concat(n.cast("string"), F.lit(" of 5 descriptive fields documented"))
+    n, neg = f"_s_{category}", f"_x_{category}"
+    capability = (f"CASE WHEN {n} >= 2 THEN 'capable' WHEN {n} = 1 THEN 'limited' WHEN {neg} THEN 'not_capable' "
+                  "ELSE 'unknown' END")
+    confidence = (f"CASE WHEN {n} >= 3 THEN 'high' WHEN {n} = 2 THEN 'medium' WHEN {n} = 1 THEN 'low' "
+                  f"WHEN {neg} THEN 'medium' ELSE 'low' END")
+    evidence = ("filter(array(" + ", ".join(
+        f"CASE WHEN _m_{category}_{f} AND NOT _n_{category}_{f} THEN '{f}' END" for f in TEXT_FIELDS)
+        + "), x -> x IS NOT NULL)")
+    limitation = (f"CASE WHEN {n} >= 2 THEN '' WHEN {n} = 1 THEN 'documented in one field only' "
+                  f"WHEN {neg} THEN 'service stated as not offered' ELSE 'no documentation for this service' END")
+    return (f"named_struct('capability', {capability}, 'confidence', {confidence}, 'evidence', {evidence}, "
+            f"'limitation', {limitation})")
+
+
+def rule_data_confidence_sql() -> tuple[str, str]:
+    n = "(" + " + ".join(f"CASE WHEN trim(coalesce(`{f}`, '')) != '' THEN 1 ELSE 0 END" for f in TEXT_FIELDS) + ")"
+    level = f"CASE WHEN {n} >= 4 THEN 'high' WHEN {n} >= 2 THEN 'medium' ELSE 'low' END"
+    reason = f"concat(cast({n} AS string), ' of 5 descriptive fields documented')"
     return level, reason
 
 
+def rule_assessment_json_sql() -> str:
+    """The whole assessment document as JSON text (C2 rule form)."""
+    level, reason = rule_data_confidence_sql()
+    cats = ", ".join(f"'{key}', {rule_assessment_sql(key)}" for key, _ in CATEGORIES)
+    return f"to_json(named_struct('data_confidence', {level}, 'data_confidence_reason', {reason}, {cats}))"
+
+
 def overall_capability(*cols) -> Column:
     """C4: best of the five category capabilities, capable > limited > not_capable > unknown."""
     cs = [F.col(c) if isinstance(c, str) else c for c in (cols or [f"{p}_capability" for _, p in CATEGORIES])]

@@ -32,10 +32,9 @@ def assess_facilities(facilities: DataFrame, assessor: Callable[[pd.Series], pd.
     """
     with_prompt = facilities.withColumn("assessment_prompt", C.assessment_prompt())
     if assessor is None:
-        level, reason = C.rule_data_confidence()
-        doc = F.struct(level.alias("data_confidence"), reason.alias("data_confidence_reason"),
-                       *[C.rule_assessment(key).alias(key) for key, _ in C.CATEGORIES])
-        return C.text_flags(with_prompt).withColumn("assessment", F.to_json(doc)).drop(*C.flag_columns())
+        cols = with_prompt.columns
+        flagged = with_prompt.selectExpr("*", *C.text_flag_sql()).selectExpr("*", *C.support_count_sql())
+        return flagged.selectExpr(*[f"`{c}`" for c in cols], f"{C.rule_assessment_json_sql()} AS assessment")
 
     out_schema = StructType(with_prompt.schema.fields + [StructField("assessment", StringType())])
 

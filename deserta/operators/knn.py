@@ -4,8 +4,10 @@ Round i runs the grid distance join at radius ``r_i = r0 * 2^i`` keyed by (cell,
 (center, group) by (distance, tie-break) and keeps the first k (Spark plans a partial WindowGroupLimit before the
 shuffle, so a hot group ships at most k rows per map partition). A group with k hits inside ``r_i`` is complete: any
 point outside the cap is farther than its k-th hit. Only the incomplete (center, group) pairs go on to the next
-round. Once the radius reaches half the earth's circumference the cap covers the globe, so the last round is
-exact for whatever remains (groups with fewer than k points in total). The rounds are few (log2(20000 km / r0)),
+round at ``growth`` times the radius (a group with fewer than k hits inside r has, at uniform density, fewer than
+growth^2 * k candidates inside the next radius, so candidates stay bounded). Once the radius reaches half the
+earth's circumference the cap covers the globe, so the last round is exact for whatever remains (groups with fewer
+than k points in total). The rounds are few (log_growth(20000 km / r0)),
 each is a Spark job over the shrinking residue, and the residue is checkpointed to cut lineage.
 """
 
@@ -49,7 +51,7 @@ def knn_join(centers: DataFrame, center_keys: list[str], center_lat: str, center
              points: DataFrame, point_lat: str, point_lon: str, k: int = 3,
              group_col: str | None = None, tie_break: str = "unique_id",
              earth_radius_km: float = SERVING_RADIUS_KM, r0_km: float | None = None,
-             distance_col: str = "distance_kilometers", rank_col: str = "rank") -> DataFrame:
+             distance_col: str = "distance_kilometers", rank_col: str = "rank", growth: float = 4.0) -> DataFrame:
     """For every center (and group, when ``group_col`` is given on both sides) the ``k`` nearest points.
 
     ``centers``: one row per center key (and group). ``points``: the candidates, with ``group_col`` when grouped.
@@ -85,10 +87,12 @@ def knn_join(centers: DataFrame, center_keys: list[str], center_lat: str, center
                 break
             complete = top.filter(F.col(rank_col) == k).select(*part)
             done.append(top.join(complete, part, "left_semi"))
+            # Incomplete groups: those of ``remaining`` without a k-th hit. Materialised so the next round reads a
+            # small file instead of re-deriving it through every earlier round.
             remaining = _checkpoint(remaining.join(complete, part, "left_anti"))
             if remaining.isEmpty():
                 break
-            radius *= 2.0
+            radius *= growth
     finally:
         pts.unpersist()
     out = done[0]

@@ -40,35 +40,24 @@ def _survey_base(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
 
 def survey(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFrame:
     """Raw district survey rows keyed by customer (risk queries) or supplier (planning queries)."""
-    k = F.col("k")
-
-    def every7(value: float, otherwise: Column) -> Column:
-        return F.when(k % 7 == 0, F.lit(value)).otherwise(otherwise)
-
-    x = ((k * 31 % 1000) / D10).cast("decimal(5,1)").cast("string")
-    anc_text = (
-        F.when(k % 17 == 0, F.lit("*"))
-        .when(k % 11 == 0, F.concat(F.lit("("), x, F.lit(")")))
-        .when(k % 13 == 0, F.concat(F.lit(" "), x, F.lit(" ")))
-        .otherwise(x)
-    )
-    return _survey_base(spark, sf_dir, base).select(
-        F.when(k % 3 == 0, F.concat(F.lit("  "), F.col("name"), F.lit(" "))).otherwise(F.col("name"))
-        .alias("district_name"),
-        F.col("n_name").alias("state_ut"),
-        (300 + k * 97 % 900).alias("households_surveyed"),
-        (350 + k * 89 % 1000).alias("women_15_49_interviewed"),
-        every7(95.0, 50 + (k * 37 % 500) / D10).alias(R.INSTITUTIONAL),
-        every7(18.0, F.when(k % 31 == 0, F.lit(None).cast("double")).otherwise((k * 13 % 400) / D10)).alias(R.CSECTION),
-        anc_text.alias("mothers_who_had_at_least_4_anc_visits_lb5y_pct"),
-        every7(93.0, F.when(k % 29 == 0, F.lit(None).cast("double")).otherwise(45 + (k * 41 % 500) / D10)).alias(R.SKILLED),
-        F.when(k % 14 == 0, F.lit(None).cast("double")).when(k % 7 == 0, F.lit(8.0))
-        .when(k % 23 == 0, F.lit(None).cast("double")).otherwise(5 + (k * 7 % 200) / D10).alias(R.BLOOD_SUGAR),
-        every7(12.0, 10 + (k * 11 % 200) / D10).alias(R.HIGH_BP),
-        every7(15.0, 10 + (k * 17 % 250) / D10).alias(R.UNDERWEIGHT),
-        every7(60.0, (k * 19 % 700) / D10).alias(R.CERVICAL),
-        every7(60.0, (k * 23 % 700) / D10).alias(R.BREAST),
-        every7(60.0, (k * 29 % 700) / D10).alias(R.ORAL),
+    x = "cast(cast((k * 31 % 1000) / 10D AS decimal(5,1)) AS string)"
+    return _survey_base(spark, sf_dir, base).selectExpr(
+        "CASE WHEN k % 3 = 0 THEN concat('  ', name, ' ') ELSE name END AS district_name",
+        "n_name AS state_ut",
+        "300 + k * 97 % 900 AS households_surveyed",
+        "350 + k * 89 % 1000 AS women_15_49_interviewed",
+        f"CASE WHEN k % 7 = 0 THEN 95D ELSE 50 + (k * 37 % 500) / 10D END AS {R.INSTITUTIONAL}",
+        f"CASE WHEN k % 7 = 0 THEN 18D WHEN k % 31 = 0 THEN NULL ELSE (k * 13 % 400) / 10D END AS {R.CSECTION}",
+        f"CASE WHEN k % 17 = 0 THEN '*' WHEN k % 11 = 0 THEN concat('(', {x}, ')') "
+        f"WHEN k % 13 = 0 THEN concat(' ', {x}, ' ') ELSE {x} END AS mothers_who_had_at_least_4_anc_visits_lb5y_pct",
+        f"CASE WHEN k % 7 = 0 THEN 93D WHEN k % 29 = 0 THEN NULL ELSE 45 + (k * 41 % 500) / 10D END AS {R.SKILLED}",
+        f"CASE WHEN k % 14 = 0 THEN NULL WHEN k % 7 = 0 THEN 8D WHEN k % 23 = 0 THEN NULL "
+        f"ELSE 5 + (k * 7 % 200) / 10D END AS {R.BLOOD_SUGAR}",
+        f"CASE WHEN k % 7 = 0 THEN 12D ELSE 10 + (k * 11 % 200) / 10D END AS {R.HIGH_BP}",
+        f"CASE WHEN k % 7 = 0 THEN 15D ELSE 10 + (k * 17 % 250) / 10D END AS {R.UNDERWEIGHT}",
+        f"CASE WHEN k % 7 = 0 THEN 60D ELSE (k * 19 % 700) / 10D END AS {R.CERVICAL}",
+        f"CASE WHEN k % 7 = 0 THEN 60D ELSE (k * 23 % 700) / 10D END AS {R.BREAST}",
+        f"CASE WHEN k % 7 = 0 THEN 60D ELSE (k * 29 % 700) / 10D END AS {R.ORAL}",
     )
 
 
@@ -77,20 +66,17 @@ def address_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = scan_parquet(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     sup = scan_parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nat = scan_parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    m = F.col("l_orderkey") + F.col("l_linenumber")
-    lat_text = (8 + (F.col("l_suppkey") * 37 % 280) / D10 + (F.col("l_partkey") % 21 - 10) / D100) \
-        .cast("decimal(9,4)").cast("string")
-    lon_text = (68 + (F.col("l_suppkey") * 53 % 290) / D10 + (F.col("l_orderkey") % 21 - 10) / D100) \
-        .cast("decimal(9,4)").cast("string")
+    m = "(l_orderkey + l_linenumber)"
+    lat = "cast(cast(8 + (l_suppkey * 37 % 280) / 10D + (l_partkey % 21 - 10) / 100D AS decimal(9,4)) AS string)"
+    lon = "cast(cast(68 + (l_suppkey * 53 % 290) / 10D + (l_orderkey % 21 - 10) / 100D AS decimal(9,4)) AS string)"
     return (
         li.join(sup, li.l_suppkey == sup.s_suppkey)
         .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.upper("s_name").alias("district"),
-            F.upper("n_name").alias("statename"),
-            F.when(m % 29 == 0, F.lit("NA")).when(m % 31 == 0, F.lit(None).cast("string"))
-            .when(m % 37 == 0, F.lit("bad")).otherwise(lat_text).alias("latitude"),
-            lon_text.alias("longitude"),
+        .selectExpr(
+            "upper(s_name) AS district", "upper(n_name) AS statename",
+            f"CASE WHEN {m} % 29 = 0 THEN 'NA' WHEN {m} % 31 = 0 THEN NULL WHEN {m} % 37 = 0 THEN 'bad' "
+            f"ELSE {lat} END AS latitude",
+            f"{lon} AS longitude",
         )
     )
 
@@ -110,35 +96,34 @@ def _joined(parts: list[Column], sep: str) -> Column:
     return F.when(text == "", F.lit(None).cast("string")).otherwise(text)
 
 
+def capability_class_sql(p: str, j: int) -> str:
+    r = f"(({p}) * {CAPABILITY_MULTIPLIERS[j]} + {j}) % 17"
+    return (f"CASE WHEN {r} <= 1 THEN 'capable' WHEN {r} <= 5 THEN 'limited' "
+            f"WHEN {r} <= 7 THEN 'not_capable' ELSE 'unknown' END")
+
+
 def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facility directory from ``part``. The free-text fields mention each service as its capability class
     dictates (two fields when capable, one when limited, an explicit 'no ...' when not capable), so the rule
     assessor can be checked against the formula."""
-    p = F.col("p_partkey")
-    located = p % 41 != 0
-    cls = [capability_class(p, j) for j in range(5)]
+    cls = [capability_class_sql("p_partkey", j) for j in range(5)]
     term = SERVICE_TEXT_TERMS
 
-    def when_cls(j: int, value: str, text: Column) -> Column:
-        return F.when(cls[j] == value, text)
-
-    return scan_parquet(spark, sf_dir, "part").select(
-        p.cast("string").alias("unique_id"),
-        F.col("p_name").alias("name"),
-        F.col("p_brand").alias("address_city"),
-        F.concat(F.lit("NATION_"), (p % 25).cast("string")).alias("address_stateOrRegion"),
-        F.when(located, 8 + (p * 91 % 2800) / D100).alias("latitude"),
-        F.when(located, 68 + (p * 173 % 2900) / D100).alias("longitude"),
-        F.concat_ws("; ", F.concat(F.col("p_name"), F.lit(" clinic")),
-                    *[when_cls(j, "limited", F.lit(f"basic {term[j]} screening")) for j in range(5)])
-        .alias("description"),
-        F.concat_ws(", ", F.col("p_type"), *[when_cls(j, "capable", F.lit(term[j])) for j in range(5)])
-        .alias("specialties"),
-        F.when(p % 4 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.col("p_brand"), F.lit(" equipment")))
-        .alias("equipment"),
-        _joined([when_cls(j, "capable", F.lit(f"{term[j]} treatment")) for j in range(5)], ", ").alias("procedure"),
-        _joined([when_cls(j, "not_capable", F.lit(f"no {term[j]} services")) for j in range(5)], "; ")
-        .alias("capability"),
+    def when_cls(value: str, text) -> str:
+        return ", ".join(f"CASE WHEN {cls[j]} = '{value}' THEN '{text(term[j])}' END" for j in range(5))
+
+    located = "p_partkey % 41 != 0"
+    return scan_parquet(spark, sf_dir, "part").selectExpr(
+        "cast(p_partkey AS string) AS unique_id", "p_name AS name", "p_brand AS address_city",
+        "concat('NATION_', cast(p_partkey % 25 AS string)) AS address_stateOrRegion",
+        f"CASE WHEN {located} THEN 8 + (p_partkey * 91 % 2800) / 100D END AS latitude",
+        f"CASE WHEN {located} THEN 68 + (p_partkey * 173 % 2900) / 100D END AS longitude",
+        f"concat_ws('; ', concat(p_name, ' clinic'), {when_cls('limited', lambda t: f'basic {t} screening')}) "
+        "AS description",
+        f"concat_ws(', ', p_type, {when_cls('capable', lambda t: t)}) AS specialties",
+        "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat(p_brand, ' equipment') END AS equipment",
+        f"nullif(concat_ws(', ', {when_cls('capable', lambda t: f'{t} treatment')}), '') AS procedure",
+        f"nullif(concat_ws('; ', {when_cls('not_capable', lambda t: f'no {t} services')}), '') AS capability",
     )
 
 
