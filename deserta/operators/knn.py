@@ -8,7 +8,7 @@ round at ``growth`` times the radius (a group with fewer than k hits inside r ha
 growth^2 * k candidates inside the next radius, so candidates stay bounded). Once the radius reaches half the
 earth's circumference the cap covers the globe, so the last round is exact for whatever remains (groups with fewer
 than k points in total). The rounds are few (log_growth(20000 km / r0)),
-each is a Spark job over the shrinking residue, and the residue is checkpointed to cut lineage.
+each is a Spark job over the shrinking residue, and each round's top-k is written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -87,9 +87,9 @@ def knn_join(centers: DataFrame, center_keys: list[str], center_lat: str, center
                 break
             complete = top.filter(F.col(rank_col) == k).select(*part)
             done.append(top.join(complete, part, "left_semi"))
-            # Incomplete groups: those of ``remaining`` without a k-th hit. Materialised so the next round reads a
-            # small file instead of re-deriving it through every earlier round.
-            remaining = _checkpoint(remaining.join(complete, part, "left_anti"))
+            # Incomplete groups: those of ``remaining`` without a k-th hit. Both inputs are file-backed (the
+            # previous residue and this round's written top-k), so the lineage stays one step per round.
+            remaining = remaining.join(complete, part, "left_anti")
             if remaining.isEmpty():
                 break
             radius *= growth

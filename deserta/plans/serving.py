@@ -74,7 +74,8 @@ def capable_services(located: DataFrame) -> DataFrame:
     return located.withColumn("service", F.explode(F.filter(F.array(*flags), lambda x: x.isNotNull())))
 
 
-def knn_capable_long(geo: DataFrame, located_capability: DataFrame, k: int = 3, r0_km: float = 100.0) -> DataFrame:
+def knn_capable_long(geo: DataFrame, located_capability: DataFrame, k: int = 3,
+                     r0_km: float | None = None) -> DataFrame:
     """J6 (long form): k nearest capable facilities per (district, service), ranked 1..k."""
     pts = capable_services(located_capability).select("unique_id", "name", "facility_latitude",
                                                       "facility_longitude", "service")
@@ -164,7 +165,7 @@ DETAIL_COLUMNS = ("description", "specialties", "equipment", "procedure", "capab
 
 
 def nearest_facilities(geo: DataFrame, locations: DataFrame, capability: DataFrame, knn_long: DataFrame,
-                       k: int = 3, r0_km: float = 100.0) -> DataFrame:
+                       k: int = 3, r0_km: float | None = None) -> DataFrame:
     """T1 for every district and category at once: the k nearest capable facilities with detail columns.
 
     For category 'overall' with no capable facility at all, the k nearest facilities of any capability are
