@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -244,12 +242,3 @@ def clean_facility_list(list_col, k: int = 3) -> Column:
                   & coerce_number(x["distance_kilometers"], None).isNotNull())
     return F.slice(ok, 1, k)
 
-
-def log10_confidence(households) -> Column:
-    """P17 confidence: clamp(log10(max(10, households)) / 5, 0.18, 1)."""
-    h = coerce_number(households)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.18), F.log10(F.greatest(F.lit(10.0), h)) / 5.0))
-
-
-def mercator_world(zoom: float) -> float:
-    return 512.0 * math.pow(2.0, zoom)

@@ -81,19 +81,6 @@ def address_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def capability_class(p: Column, j: int) -> Column:
-    """Documented capability of service ``j`` for facility key ``p``."""
-    r = (p * CAPABILITY_MULTIPLIERS[j] + j) % 17
-    return (
-        F.when(r <= 1, F.lit("capable")).when(r <= 5, F.lit("limited"))
-        .when(r <= 7, F.lit("not_capable")).otherwise(F.lit("unknown"))
-    )
-
-
-def _joined(parts: list[Column], sep: str) -> Column:
-    # concat_ws skips NULLs; an empty result becomes NULL so the assessor sees a missing field.
-    text = F.concat_ws(sep, *parts)
-    return F.when(text == "", F.lit(None).cast("string")).otherwise(text)
 
 
 def capability_class_sql(p: str, j: int) -> str:
@@ -127,15 +114,6 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def capability_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The capability classes straight from the formula (what the assessor must recover)."""
-    p = F.col("p_partkey")
-    return scan_parquet(spark, sf_dir, "part").select(
-        p.cast("string").alias("unique_id"),
-        F.element_at(F.array(*[F.lit(c) for c in CONFIDENCE_LABELS]), (p % 3 + 1).cast("int")).alias("data_confidence"),
-        *[capability_class(p, j).alias(f"{SERVICES[j]}_capability") for j in range(5)],
-    )
-
 
 def master_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Master-view input columns that have no published formula; every 10th supplier appears twice."""
