@@ -246,3 +246,17 @@ def test_salted_grid_join_same_pairs(spark):
     b = within_distance_join(pts, "facility_latitude", "facility_longitude", ctr, "center_latitude",
                              "center_longitude", 160.0, salt_buckets=4).select("unique_id", "district")
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_refresh_tables_round_trip(spark):
+    from deserta.plans import queries as Q
+    from deserta.plans.refresh import refresh_tables
+    from deserta.sources import fixtures as FX
+
+    root = tempfile.mkdtemp(prefix="deserta-refresh-")
+    served = refresh_tables(FX.survey(spark, SF001, "supplier"), FX.address_directory(spark, SF001),
+                            FX.facilities(spark, SF001), FX.master_inputs(spark, SF001), root)
+    assert set(served) == {"care_desert_indicators", "facility_district_distances", "facility_locations",
+                           "healthcare_master_view", "facility_capability"}
+    assert spark.table("facility_district_distances").count() == Q.distance_table(spark, SF001).count()
+    assert served["care_desert_indicators"].exceptAll(Q.indicators(spark, SF001, "supplier")).count() == 0
