@@ -63,17 +63,3 @@ def facility_district_distances(facilities: DataFrame, centers: DataFrame, radiu
         radius_km=radius_km, earth_radius_km=earth_radius_km, cell_deg=cell_deg,
     ).select(*DISTANCE_COLUMNS)
     return out.orderBy("unique_id", "distance_kilometers") if ordered else out
-
-
-def facility_district_distances_cross(facilities: DataFrame, centers: DataFrame, radius_km: float = DISTANCE_CAP_KM,
-                                      earth_radius_km: float = ETL_RADIUS_KM) -> DataFrame:
-    """The reference's cross-join form, kept only as a test oracle and benchmark baseline for the grid join."""
-    from deserta.functions.geo import haversine_km
-
-    return (
-        facility_points(facilities).crossJoin(centers)
-        .withColumn("distance_kilometers", haversine_km("facility_latitude", "facility_longitude",
-                                                         "center_latitude", "center_longitude", earth_radius_km))
-        .filter(F.col("distance_kilometers") <= radius_km)
-        .select(*DISTANCE_COLUMNS)
-    )

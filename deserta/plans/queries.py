@@ -94,16 +94,7 @@ def distance_table(spark: SparkSession, sf: str):
     return DS.facility_district_distances(FX.facilities(spark, sf), centers(spark, sf))
 
 
-_DIST_SQL = f"""
-SELECT f.unique_id, f.name, f.address_city, f."address_stateOrRegion",
-  f.latitude AS facility_latitude, f.longitude AS facility_longitude,
-  c.district, c.statename, c.center_latitude, c.center_longitude,
-  {S.haversine_sql('f.latitude', 'f.longitude', 'c.center_latitude', 'c.center_longitude', '6371.0088')}
-    AS distance_kilometers,
-  c.office_count
-FROM ({S.facilities_sql()}) f CROSS JOIN ({S.district_centers_sql()}) c
-WHERE f.latitude IS NOT NULL AND f.longitude IS NOT NULL
-  AND {S.haversine_sql('f.latitude', 'f.longitude', 'c.center_latitude', 'c.center_longitude', '6371.0088')} <= 160"""
+_DIST_SQL = S.distances_sql()
 
 
 @register("valid_coordinates", f"""
