@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deserta.functions import risk as R
-from deserta.sources.tables import scan_parquet
+from deserta.sources.tables import scan_parquet, spread_partitions
 
 D10, D100 = 10.0, 100.0
 
@@ -64,6 +64,7 @@ def survey(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFram
 def address_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Post-office-like address rows: one per line item, with NULL / 'NA' / malformed latitudes."""
     li = scan_parquet(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    li = spread_partitions(li)
     sup = scan_parquet(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     nat = scan_parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     m = "(l_orderkey + l_linenumber)"
@@ -100,7 +101,7 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ", ".join(f"CASE WHEN {cls[j]} = '{value}' THEN '{text(term[j])}' END" for j in range(5))
 
     located = "p_partkey % 41 != 0"
-    return scan_parquet(spark, sf_dir, "part").selectExpr(
+    return scan_parquet(spark, sf_dir, "part", spread=True).selectExpr(
         "cast(p_partkey AS string) AS unique_id", "p_name AS name", "p_brand AS address_city",
         "concat('NATION_', cast(p_partkey % 25 AS string)) AS address_stateOrRegion",
         f"CASE WHEN {located} THEN 8 + (p_partkey * 91 % 2800) / 100D END AS latitude",

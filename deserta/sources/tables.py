@@ -15,9 +15,18 @@ TESTDATA_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                    "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def scan_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """S1 for files: one parquet table under ``sf_dir``."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def scan_parquet(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """S1 for files: one parquet table under ``sf_dir``. ``spread``: see ``spread_partitions``."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread_partitions(df) if spread else df
+
+
+def spread_partitions(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the default parallelism when the scan yields fewer splits than that (a file
+    with a single row group is read by one task). CPU-heavy per-row work downstream then uses every core. Inputs
+    that already split widely are returned unchanged, so large tables pay no extra shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def scan_table(spark: SparkSession, name: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:
