@@ -11,7 +11,6 @@ from dataclasses import dataclass, field
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 SCALE = 1000000.0
@@ -35,13 +34,12 @@ def register(name: str, sql: str | None, doubles=()):
 
 
 def round_doubles(df: DataFrame) -> DataFrame:
-    cols = []
+    """Round every double column to 6 decimals (one projection built from SQL text)."""
+    items = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, DoubleType):
-            cols.append((F.floor(F.col(f.name) * SCALE + 0.5) / SCALE).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
+        q = f"`{f.name}`"
+        items.append(f"floor({q} * {SCALE}D + 0.5D) / {SCALE}D AS {q}" if isinstance(f.dataType, DoubleType) else q)
+    return df.selectExpr(*items)
 
 
 def oracle_text(q: Query) -> str:
