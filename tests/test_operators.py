@@ -269,3 +269,51 @@ def test_refresh_tables_round_trip(spark):
                            "healthcare_master_view", "facility_capability"}
     assert spark.table("facility_district_distances").count() == Q.distance_table(spark, SF001).count()
     assert served["care_desert_indicators"].exceptAll(Q.indicators(spark, SF001, "supplier")).count() == 0
+
+
+def _random_globe(seed, n):
+    import random
+
+    rnd = random.Random(seed)
+    pts = []
+    for i in range(n):
+        kind = rnd.random()
+        if kind < 0.2:      # near a pole
+            lat = rnd.choice([-1, 1]) * rnd.uniform(85.0, 90.0)
+        elif kind < 0.4:    # near the antimeridian
+            lat = rnd.uniform(-60.0, 60.0)
+        else:
+            lat = rnd.uniform(-90.0, 90.0)
+        lon = rnd.choice([-1, 1]) * rnd.uniform(175.0, 180.0) if 0.2 <= kind < 0.4 else rnd.uniform(-180.0, 180.0)
+        pts.append((i, lat, lon))
+    return pts
+
+
+@pytest.mark.parametrize("radius", [25.0, 400.0, 3000.0])
+def test_grid_join_random_globe_equals_brute_force(spark, radius):
+    from deserta.operators.distance_join import within_distance_join
+
+    pts = _random_globe(7, 400)
+    ctrs = [(f"c{i}", la, lo) for i, la, lo in _random_globe(11, 60)]
+    p = spark.createDataFrame(pts, "pid int, lat double, lon double")
+    c = spark.createDataFrame(ctrs, "cid string, clat double, clon double")
+    got = {(r.pid, r.cid) for r in within_distance_join(p, "lat", "lon", c, "clat", "clon", radius).collect()}
+    want = {(i, cid) for i, la, lo in pts for cid, cla, clo in ctrs if haversine_py(la, lo, cla, clo) <= radius}
+    assert got == want
+
+
+def test_knn_random_globe_equals_brute_force(spark):
+    from deserta.operators.knn import knn_join
+
+    pts = [(f"p{i:04d}", la, lo, "g1" if i % 5 else "g2") for i, la, lo in _random_globe(3, 300)]
+    ctrs = [(f"c{i}", la, lo, g) for i, la, lo in _random_globe(5, 25) for g in ("g1", "g2", "g3")]
+    p = spark.createDataFrame(pts, "unique_id string, lat double, lon double, grp string")
+    c = spark.createDataFrame(ctrs, "cid string, clat double, clon double, grp string")
+    got = {(r.cid, r.grp, r["rank"]): r.unique_id
+           for r in knn_join(c, ["cid"], "clat", "clon", p, "lat", "lon", k=3, group_col="grp").collect()}
+    want = {}
+    for cid, cla, clo, g in ctrs:
+        cand = sorted((haversine_py(la, lo, cla, clo), uid) for uid, la, lo, pg in pts if pg == g)
+        for r, (_, uid) in enumerate(cand[:3]):
+            want[(cid, g, r + 1)] = uid
+    assert got == want  # group g3 has no points: no rows, not an error
