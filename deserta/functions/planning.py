@@ -150,13 +150,20 @@ def data_confidence_score(pop_col="affected_population_proxy") -> Column:
                    js_round(_c(pop_col) / 2000.0 * 70.0 + F.least(fc, F.lit(300.0)) / 10.0))
 
 
+def one_decimal_text(x: Column) -> Column:
+    """One-decimal text of a double, half-up. The value is first snapped to 6 decimals so that last-bit noise
+    (e.g. from an order-dependent average) cannot flip the displayed digit."""
+    snapped = F.floor(x * 1000000.0 + 0.5) / 1000000.0
+    return F.format_string("%.1f", F.floor(snapped * 10.0 + 0.5) / 10.0)
+
+
 def _fixed1(col) -> Column:
-    """One-decimal text of a number (missing -> 0.0), rounded half up on the binary value."""
+    """One-decimal text of a number (missing -> 0.0), see ``one_decimal_text``."""
     if isinstance(col, str):
         from deserta.functions.cleaning import coerce_number_sql
-        return F.expr(f"format_string('%.1f', floor({coerce_number_sql(col)} * 10D + 0.5D) / 10D)")
-    v = coerce_number(col)
-    return F.format_string("%.1f", F.floor(v * 10.0 + 0.5) / 10.0)
+        v = coerce_number_sql(col)
+        return F.expr(f"format_string('%.1f', floor(floor({v} * 1000000D + 0.5D) / 1000000D * 10D + 0.5D) / 10D)")
+    return one_decimal_text(coerce_number(col))
 
 
 def _pct(col) -> Column:

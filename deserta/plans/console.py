@@ -138,8 +138,7 @@ def thin_nearest(nearest: DataFrame, min_km: float = OVERLAP_KM) -> DataFrame:
 def facility_features(thinned: DataFrame) -> DataFrame:
     """Per shown facility a LineString (center -> facility), a Point with popup properties and a label Point
     at the midpoint, as GeoJSON Feature text."""
-    dist_label = F.concat(F.format_string("%.1f", F.floor(F.col("distance_kilometers") * 10.0 + 0.5) / 10.0),
-                          F.lit(" km"))
+    dist_label = F.concat(P.one_decimal_text(F.col("distance_kilometers")), F.lit(" km"))
     line = F.struct(F.lit("Feature").alias("type"),
                     F.struct(F.lit("LineString").alias("type"),
                              F.array(F.array("center_longitude", "center_latitude"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deserta.functions.cleaning import coordinate
@@ -26,22 +26,40 @@ def valid_coordinates(df: DataFrame, lat: str = "latitude", lon: str = "longitud
     )
 
 
+# Coordinates are averaged as integers at this many units per degree (1e-7 deg, about 1 cm).
+COORD_UNITS = 10000000.0
+
+
+def exact_mean_parts(col: Column, keep: Column | None = None) -> Column:
+    """Integer form of a coordinate for an order-independent mean: floor(x * 1e7 + 0.5) (NULL when not kept)."""
+    units = F.floor(col * COORD_UNITS + 0.5)
+    return units if keep is None else F.when(keep, units)
+
+
+def exact_mean(sum_col: str, count_col: str) -> Column:
+    """sum / count / 1e7 from an integer sum: the same double whatever the partitioning or summation order."""
+    return F.col(sum_col).cast("double") / F.col(count_col) / COORD_UNITS
+
+
 def district_centers(directory: DataFrame) -> DataFrame:
     """A1: centroid and office count per (district, statename) over rows with valid coordinates.
 
-    Validation happens inside the aggregate (conditional avg / count) instead of a filter in front of it: a
-    pushed-down filter would parse each coordinate twice. Partial aggregation runs before the shuffle, so a
-    district holding a large share of all offices costs one partial row per input partition.
+    Validation happens inside the aggregate (conditional sums / count) instead of a filter in front of it: a
+    pushed-down filter would parse each coordinate twice. The centroid is summed as integers at 1e-7 degree, so
+    it is exact and does not depend on partitioning. Partial aggregation runs before the shuffle, so a district
+    holding a large share of all offices costs one partial row per input partition.
     """
     lat, lon = coordinate("latitude"), coordinate("longitude")
     parsed = directory.select("district", "statename", lat.alias("_lat"), lon.alias("_lon"))
     ok = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
     return (
         parsed.groupBy("district", "statename")
-        .agg(F.avg(F.when(ok, F.col("_lat"))).alias("center_latitude"),
-             F.avg(F.when(ok, F.col("_lon"))).alias("center_longitude"),
+        .agg(F.sum(exact_mean_parts(F.col("_lat"), ok)).alias("_slat"),
+             F.sum(exact_mean_parts(F.col("_lon"), ok)).alias("_slon"),
              F.count_if(ok).alias("office_count"))
-        .filter(F.col("center_latitude").isNotNull() & F.col("center_longitude").isNotNull())
+        .filter(F.col("office_count") > 0)
+        .select("district", "statename", exact_mean("_slat", "office_count").alias("center_latitude"),
+                exact_mean("_slon", "office_count").alias("center_longitude"), "office_count")
     )
 
 

@@ -452,7 +452,8 @@ def q_display_labels(spark, sf):
 
 
 @register("facility_features", f"""SELECT district_key, state_key, category, unique_id,
-  'LineString' AS line_type, printf('%.1f', floor(distance_kilometers * 10 + 0.5) / 10) || ' km' AS distance_label,
+  'LineString' AS line_type,
+  printf('%.1f', floor(floor(distance_kilometers * 1000000.0 + 0.5) / 1000000.0 * 10 + 0.5) / 10) || ' km' AS distance_label,
   {_short_sql('name')} AS label_name, (center_longitude + facility_longitude) / 2 AS label_lon
 FROM ({S.nearest_sql()}) n
 WHERE (district_key, state_key, category, unique_id) IN (SELECT (district_key, state_key, category, unique_id) FROM ({S.thin_sql()}) t)""",
@@ -603,3 +604,41 @@ def q_category_high_counts(spark, sf):
 ORDER BY priority_rank DESC, population_impact DESC, cluster_key LIMIT 12""", doubles=_CLUSTER_DOUBLES)
 def q_ranked_clusters(spark, sf):
     return LG.ranked_clusters(clusters(spark, sf))
+
+
+# ---- sources and sinks round trips (S5, S6) -------------------------------------------------------------------------
+
+@register("planning_json", f"""SELECT state_ut || ':' || district_name AS key, planning_priority_tier AS tier,
+  planning_priority_score AS score, service_gap_summary AS summary FROM {_PLAN}""")
+def q_planning_json(spark, sf):
+    from deserta.sources.tables import planning_json
+
+    docs = planning_json(planning(spark, sf))
+    v = F.col("value")
+    return docs.select(
+        F.concat_ws(":", F.get_json_object(v, "$.state_ut"), F.get_json_object(v, "$.district_name")).alias("key"),
+        F.get_json_object(v, "$.planning_priority_tier").alias("tier"),
+        F.get_json_object(v, "$.planning_priority_score").cast("int").alias("score"),
+        F.get_json_object(v, "$.service_gap_summary").alias("summary"))
+
+
+@register("scan_geojson", f"""SELECT NAME_1, NAME_2,
+  blon - 0.3 AS min_longitude, CASE WHEN s % 3 = 0 THEN blon + 20.3 ELSE blon + 0.3 END AS max_longitude,
+  blat - 0.3 AS min_latitude, blat + 0.3 AS max_latitude,
+  CASE WHEN s % 3 = 0 THEN 2 ELSE 1 END AS polygons,
+  CASE WHEN s % 4 = 0 THEN 2 ELSE 1 END AS first_polygon_rings
+FROM ({S.boundaries_sql()}) b""", doubles=("min_longitude", "max_longitude", "min_latitude", "max_latitude"))
+def q_scan_geojson(spark, sf):
+    import uuid
+
+    from deserta.operators.polygon import geometry_bbox
+    from deserta.session import ensure_checkpoint_dir
+    from deserta.sources.geojson import scan_geojson, to_geojson_features
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/geojson/{uuid.uuid4().hex}"
+    to_geojson_features(FX.boundaries(spark, sf)).write.mode("overwrite").text(path)
+    b = scan_geojson(spark, path, fmt="lines")
+    x0, y0, x1, y1 = geometry_bbox(F.col("geometry"))
+    return b.select("NAME_1", "NAME_2", x0.alias("min_longitude"), x1.alias("max_longitude"),
+                    y0.alias("min_latitude"), y1.alias("max_latitude"),
+                    F.size("geometry").alias("polygons"), F.size(F.col("geometry")[0]).alias("first_polygon_rings"))

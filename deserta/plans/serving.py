@@ -32,13 +32,19 @@ def with_keys(df: DataFrame, district: str, state: str, mode: str = "upper") ->
 
 
 def district_geo(distances: DataFrame, mode: str = "upper") -> DataFrame:
-    """A2: per normalised (district, state) key, the mean center over link rows and the link count."""
+    """A2: per normalised (district, state) key, the mean center over link rows (summed as integers at 1e-7
+    degree, so order-independent) and the link count."""
+    from deserta.plans.distances import exact_mean, exact_mean_parts
+
     return (
         with_keys(distances.filter(F.col("center_latitude").isNotNull() & F.col("center_longitude").isNotNull()),
                   "district", "statename", mode)
         .groupBy(*KEYS)
-        .agg(F.avg("center_latitude").alias("latitude"), F.avg("center_longitude").alias("longitude"),
-             F.count(F.lit(1)).cast("int").alias("facility_links"))
+        .agg(F.sum(exact_mean_parts(F.col("center_latitude"))).alias("_slat"),
+             F.sum(exact_mean_parts(F.col("center_longitude"))).alias("_slon"),
+             F.count(F.lit(1)).alias("_n"))
+        .select(*KEYS, exact_mean("_slat", "_n").alias("latitude"), exact_mean("_slon", "_n").alias("longitude"),
+                F.col("_n").cast("int").alias("facility_links"))
     )
 
 

@@ -133,7 +133,10 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey
 def district_centers_sql() -> str:
     """A1 over the address directory."""
     return f"""
-SELECT district, statename, avg(lat) AS center_latitude, avg(lon) AS center_longitude, count(*) AS office_count
+SELECT district, statename,
+  CAST(sum(CAST(floor(lat * 10000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 10000000.0 AS center_latitude,
+  CAST(sum(CAST(floor(lon * 10000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 10000000.0 AS center_longitude,
+  count(*) AS office_count
 FROM (
   SELECT district, statename, try_cast(latitude AS double) AS lat, try_cast(longitude AS double) AS lon
   FROM ({address_directory_sql()}) a
@@ -255,7 +258,9 @@ WHERE f.latitude IS NOT NULL AND f.longitude IS NOT NULL AND {hv} <= 160"""
 def geo_sql() -> str:
     return f"""
 SELECT upper(trim(district)) AS district_key, upper(trim(statename)) AS state_key,
-  avg(center_latitude) AS latitude, avg(center_longitude) AS longitude, cast(count(*) AS integer) AS facility_links
+  CAST(sum(CAST(floor(center_latitude * 10000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 10000000.0 AS latitude,
+  CAST(sum(CAST(floor(center_longitude * 10000000.0 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 10000000.0 AS longitude,
+  cast(count(*) AS integer) AS facility_links
 FROM ({distances_sql()}) d
 WHERE center_latitude IS NOT NULL AND center_longitude IS NOT NULL
 GROUP BY upper(trim(district)), upper(trim(statename))"""
@@ -366,7 +371,8 @@ def _jtrim(c: str) -> str:
 
 
 def _fixed1(c: str) -> str:
-    return f"printf('%.1f', floor(coalesce({c}, 0) * {D10} + 0.5) / {D10})"
+    snapped = f"(floor(coalesce({c}, 0) * 1000000.0 + 0.5) / 1000000.0)"
+    return f"printf('%.1f', floor({snapped} * {D10} + 0.5) / {D10})"
 
 
 def planning_sql() -> str:
