@@ -317,3 +317,25 @@ def test_knn_random_globe_equals_brute_force(spark):
         for r, (_, uid) in enumerate(cand[:3]):
             want[(cid, g, r + 1)] = uid
     assert got == want  # group g3 has no points: no rows, not an error
+
+
+def test_nearest_falls_back_when_nothing_is_capable(spark):
+    from deserta.plans import queries as Q
+    from deserta.plans import serving as SV
+
+    p = Q.serving_inputs(spark, SF001)
+    cap = p["cap"]
+    for c in [c for c in cap.columns if c.endswith("_capability")]:
+        cap = cap.withColumn(c, F.lit("unknown"))
+    located = SV.attach_capability(p["loc"], cap)
+    knn = SV.knn_capable_long(p["geo"], located)
+    assert knn.count() == 0
+    rows = SV.nearest_facilities(p["geo"], p["loc"], cap, knn).collect()
+    assert rows and all(r.category == "overall" and not r.matched_capability for r in rows)
+    assert all(r.category_capability == "unknown" for r in rows)
+    locs = p["loc"].collect()
+    for g in p["geo"].collect():
+        want = sorted((haversine_py(f.facility_latitude, f.facility_longitude, g.latitude, g.longitude), f.unique_id)
+                      for f in locs)[:3]
+        got = sorted((r["rank"], r.unique_id) for r in rows if r.district_key == g.district_key)
+        assert [u for _, u in got] == [u for _, u in want]
