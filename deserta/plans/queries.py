@@ -204,10 +204,11 @@ from deserta.plans import serving as SV  # noqa: E402
 
 def serving_inputs(spark: SparkSession, sf: str) -> dict:
     """The two gold tables (distance links, capability), materialised once like the reference's views."""
-    from deserta.sources.tables import checkpoint_table
+    from deserta.sources.tables import checkpoint_tables
 
-    dist = checkpoint_table(distance_table(spark, sf), "facility_district_distances")
-    cap = checkpoint_table(capability_table(spark, sf), "facility_capability")
+    gold = checkpoint_tables({"facility_district_distances": distance_table(spark, sf),
+                              "facility_capability": capability_table(spark, sf)})
+    dist, cap = gold["facility_district_distances"], gold["facility_capability"]
     geo = SV.district_geo(dist)
     loc = SV.facility_locations(dist)
     return {"dist": dist, "cap": cap, "geo": geo, "loc": loc}

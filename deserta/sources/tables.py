@@ -99,3 +99,13 @@ def checkpoint_table(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{root.rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def checkpoint_tables(named: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``checkpoint_table`` for several independent DataFrames, submitted as concurrent Spark jobs (one driver
+    thread each), so a small table's job fills the slots a large one leaves idle."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, len(named))) as pool:
+        futures = {k: pool.submit(checkpoint_table, df, k) for k, df in named.items()}
+        return {k: f.result() for k, f in futures.items()}
