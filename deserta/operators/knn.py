@@ -1,6 +1,6 @@
 """Exact k nearest points per (center, group) without a distance cap and without a cross join.
 
-Round i runs the grid distance join at radius ``r_i = r0 * 2^i`` keyed by (cell, group), ranks candidates per
+Round i runs the grid distance join at radius ``r_i = r0 * growth^i`` keyed by (cell, group), ranks candidates per
 (center, group) by (distance, tie-break) and keeps the first k (Spark plans a partial WindowGroupLimit before the
 shuffle, so a hot group ships at most k rows per map partition). A group with k hits inside ``r_i`` is complete: any
 point outside the cap is farther than its k-th hit. Only the incomplete (center, group) pairs go on to the next
@@ -87,8 +87,8 @@ def knn_join(centers: DataFrame, center_keys: list[str], center_lat: str, center
                 break
             complete = top.filter(F.col(rank_col) == k).select(*part)
             done.append(top.join(complete, part, "left_semi"))
-            # Incomplete groups: those of ``remaining`` without a k-th hit. Both inputs are file-backed (the
-            # previous residue and this round's written top-k), so the lineage stays one step per round.
+            # Incomplete groups: those of ``remaining`` without a k-th hit. Each round adds one anti-join against
+            # that round's written top-k, so the residue's lineage grows by one small step per (bounded) round.
             remaining = remaining.join(complete, part, "left_anti")
             if remaining.isEmpty():
                 break
