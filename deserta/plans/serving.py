@@ -48,10 +48,20 @@ def district_geo(distances: DataFrame, mode: str = "upper") -> DataFrame:
     )
 
 
-def district_center_of(geo: DataFrame, district: str, state: str) -> DataFrame:
-    """A3: the center of one district, by the same normalisation (a filter on A2; one row or none)."""
-    return geo.filter((F.col("district_key") == F.upper(F.trim(F.lit(district))))
-                      & (F.col("state_key") == F.upper(F.trim(F.lit(state)))))
+def district_center_of(distances: DataFrame, district: str, state: str, mode: str = "upper") -> DataFrame:
+    """A3: the center of one district over its link rows, by the same key normalisation — always one row
+    (NULL center when nothing matches), like a global average after a filter. The batch form is A2."""
+    from deserta.plans.distances import exact_mean, exact_mean_parts
+
+    keyed = with_keys(distances.filter(F.col("center_latitude").isNotNull()
+                                       & F.col("center_longitude").isNotNull()), "district", "statename", mode)
+    hit = keyed.filter((F.col("district_key") == normalize_key(F.lit(district), mode))
+                       & (F.col("state_key") == normalize_key(F.lit(state), mode)))
+    agg = hit.agg(F.sum(exact_mean_parts(F.col("center_latitude"))).alias("_slat"),
+                  F.sum(exact_mean_parts(F.col("center_longitude"))).alias("_slon"),
+                  F.count(F.lit(1)).alias("_n"))
+    return agg.select(F.when(F.col("_n") > 0, exact_mean("_slat", "_n")).alias("center_latitude"),
+                      F.when(F.col("_n") > 0, exact_mean("_slon", "_n")).alias("center_longitude"))
 
 
 def facility_locations(distances: DataFrame) -> DataFrame:

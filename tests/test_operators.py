@@ -339,3 +339,16 @@ def test_nearest_falls_back_when_nothing_is_capable(spark):
                       for f in locs)[:3]
         got = sorted((r["rank"], r.unique_id) for r in rows if r.district_key == g.district_key)
         assert [u for _, u in got] == [u for _, u in want]
+
+
+def test_district_center_of_one_row(spark):
+    from deserta.plans import queries as Q
+    from deserta.plans import serving as SV
+
+    dist = Q.distance_table(spark, SF001)
+    geo = {(r.district_key, r.state_key): (r.latitude, r.longitude) for r in SV.district_geo(dist).collect()}
+    (dk, sk), (lat, lon) = sorted(geo.items())[0]
+    hit = SV.district_center_of(dist, "  " + dk.lower() + " ", sk.lower()).collect()
+    assert len(hit) == 1 and (hit[0].center_latitude, hit[0].center_longitude) == (lat, lon)
+    miss = SV.district_center_of(dist, "no such district", sk).collect()
+    assert len(miss) == 1 and miss[0].center_latitude is None and miss[0].center_longitude is None
