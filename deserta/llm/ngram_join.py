@@ -9,9 +9,10 @@ theirs with any other. The steps:
 3. Documents whose prefix holds a shared n-gram emit their prefix as postings; all others have no partner.
 4. Candidates from the postings pass the length and the positional filter; their sets are then bounded by a suffix
    filter and, if that allows, intersected. The posting lists of a large group of near copies are long, so the first
-   ``ROUNDS`` rounds only join each document with one pivot of its lists; a list whose documents already are in one
-   component is done. What is left, documents of different components in one list, is then joined exhaustively, so
-   that no link between components is lost.
+   ``ROUNDS`` rounds only join each document with a few pivots of its lists; a list whose documents already are in one
+   component is done. What is left, documents of different components in one list, is first measured against the
+   list's pivot, which bounds what two of them can have in common, and then joined exhaustively where that bound
+   allows a link, so that no link between components is lost.
 5. Components of the links.
 
 Scale: no step gathers a list or a component in one task; posting lists meet in equi-joins, which adaptive execution
@@ -33,10 +34,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import blocks as B, common as C
 from .components import components
 
-ROUNDS = 3
+ROUNDS = 2
+#: Pivots that a document meets in a round; in the first round it is one, that of its shortest list.
+TRIES = 4
 PROBES = 8
 KEY_MASK = C.U64((1 << B.KEY_BITS) - 1)
-BYTES_PER_BUCKET = 32 << 20
+BYTES_PER_BUCKET = 16 << 20
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,16 +150,16 @@ def candidates(blocks: DataFrame, rows: DataFrame, k: int, percent: int) -> Data
 
 
 def postings(cand: DataFrame) -> DataFrame:
-    """(key, node, n, pos): every prefix n-gram that others have, with its position in the document's order."""
+    """(key, node, n, own, pos): every prefix n-gram that others have, with its position in the document's order."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 key = np.frombuffer(row["prefix"], np.int64)
                 yield pa.RecordBatch.from_pydict({
                     "key": key, "node": np.full(len(key), row["node"]), "n": np.full(len(key), row["n"]),
-                    "pos": row["own"] + np.arange(len(key))})
+                    "own": np.full(len(key), row["own"]), "pos": row["own"] + np.arange(len(key))})
 
-    return cand.select("node", "n", "own", "prefix").mapInArrow(run, "key long, node long, n long, pos long")
+    return cand.select("node", "n", "own", "prefix").mapInArrow(run, "key long, node long, n long, own long, pos long")
 
 
 def may_link(n: str, pos: str, m: str, pos2: str, percent: int) -> str:
@@ -165,19 +168,31 @@ def may_link(n: str, pos: str, m: str, pos2: str, percent: int) -> str:
             f"least({n} - {pos}, {m} - {pos2}) >= ({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
 
 
-def verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, each judged once."""
+def compared(pairs: DataFrame, cand: DataFrame, judge, schema: str) -> DataFrame:
+    """Columns that ``judge(x, y, n, m)`` gives for the sets of each pair (a, b), with the pair; None drops a pair."""
     left = cand.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("keys").alias("x"))
     right = cand.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("keys").alias("y"))
 
     def run(batches):
         for batch in batches:
-            a, b, n, m, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in "abnmxy")
-            ok = [links(B.unpack_keys(p), B.unpack_keys(q), i, j, percent) for p, q, i, j in zip(x, y, n, m)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}).filter(
-                pa.array(ok, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                a, b, n, m, x, y = (part.column(part.schema.get_field_index(c)).to_pylist() for c in "abnmxy")
+                out = []
+                for row in zip(a, b, n, m, x, y):
+                    said = judge(B.unpack_keys(row[4]), B.unpack_keys(row[5]), row[2], row[3])
+                    if said is not None:
+                        out.append((row[0], row[1], *said))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, schema)
+
+
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int(np.count_nonzero(y[at] == x))
 
 
 def links(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
@@ -188,43 +203,80 @@ def links(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
     cuts = y[np.linspace(0, len(y), PROBES + 1).astype(int)[1:-1]]
     px = np.concatenate(([0], np.searchsorted(x, cuts), [len(x)]))
     py = np.concatenate(([0], np.searchsorted(y, cuts), [len(y)]))
-    if int(np.minimum(np.diff(px), np.diff(py)).sum()) < need:
-        return False
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    return int(np.count_nonzero(y[at] == x)) >= need
+    return int(np.minimum(np.diff(px), np.diff(py)).sum()) >= need and overlap(x, y) >= need
+
+
+def verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, each judged once."""
+    def judge(x, y, n, m):
+        return () if links(x, y, n, m, percent) else None
+    return compared(pairs, cand, judge, "a long, b long")
+
+
+def measured(pairs: DataFrame, cand: DataFrame) -> DataFrame:
+    """(a, b, n, m, common, rest): the intersection of each pair and how many further n-grams a shares with others."""
+    def judge(x, y, n, m):
+        common = overlap(x, y)
+        return n, m, common, len(x) - common
+    return compared(pairs, cand, judge, "a long, b long, n long, m long, common long, rest long")
 
 
 def class_links(cand: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame | None:
     """Links (a, b) that connect all linked classes; pairs already connected by others may be left out."""
     post = C.written(postings(cand), "postings")
     post = C.written(post.join(post.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "postings")
-    found, labels = None, None
-    for r in range(rounds + 1):
+    found, labels, held = None, None, None
+    for r in range(rounds + 2):
         lab = post.withColumn("label", F.col("node")) if labels is None else post.join(labels, "node", "left").withColumn(
             "label", F.coalesce("label", "node"))
-        pivot = F.min_by(F.struct("node", "n", "pos", "label"), F.xxhash64("node", F.lit(r)))
-        mixed = (lab.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), pivot.alias("p"))
-                 .where("lo <> hi").select("key", "p"))
-        with_pivot = C.written(lab.join(mixed, "key"), "lists")
-        post = with_pivot.select("key", "node", "n", "pos")
-        if with_pivot.isEmpty():
+        # Pivots are in turn any document and the one with the fewest n-grams of its own, the nearest to what a group of
+        # copies was copied from. The last two passes take the latter, whose intersections the first of them measures.
+        by = F.xxhash64("node", "key", F.lit(r)) if r < rounds and r % 2 == 0 else F.struct("own", F.xxhash64("node"))
+        pivot = F.min_by(F.struct("node", "n", "pos", "label"), by)
+        mixed = (lab.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), pivot.alias("p"),
+                                        F.count("*").alias("c")).where("lo <> hi").select("key", "p", "c"))
+        lists = C.written(lab.join(mixed, "key"), "lists")
+        post = lists.select("key", "node", "n", "own", "pos")
+        if lists.isEmpty():
             break
         if r < rounds:
-            tried = with_pivot.where("label <> p.label AND " + may_link("n", "pos", "p.n", "p.pos", percent))
-            pairs = tried.groupBy(F.col("node").alias("a")).agg(F.min_by("p.node", F.xxhash64("p.node", F.lit(r))).alias("b"))
+            tried = lists.where("label <> p.label AND " + may_link("n", "pos", "p.n", "p.pos", percent))
+            rank = F.xxhash64("key", "node", F.lit(r)) if r else F.col("c")  # first the shortest list, then any
+            pivots = F.array_sort(F.collect_set(F.struct(rank, "p.node")))  # no more than a prefix has n-grams
+            pairs = (tried.groupBy(F.col("node").alias("a")).agg(F.slice(pivots, 1, TRIES if r else 1).alias("few"))
+                     .select("a", F.explode("few.node").alias("b")).distinct())
+            new = C.written(verified(pairs, cand, percent), "links")
+        elif r == rounds:
+            pairs = lists.where("node <> p.node").select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
+            held = C.written(measured(pairs, cand), "measured")
+            new = held.where(f"{100 + percent} * common >= {percent} * (n + m)").select("a", "b")
         else:
-            rest = with_pivot.where("label <> p.label").select("key", "node", "n", "pos", "label").alias("x")
-            every = with_pivot.select("key", "node", "n", "pos", "label").alias("y")
-            pairs = (rest.join(every, F.col("x.key") == F.col("y.key"))
-                     .where("x.label <> y.label AND " + may_link("x.n", "x.pos", "y.n", "y.pos", percent))
-                     .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
-        new = C.written(verified(pairs, cand, percent), "links")
+            pairs = remaining_pairs(lists, held, percent)
+            new = C.written(verified(pairs, cand, percent), "links")
         found = new if found is None else found.unionByName(new)
-        if r < rounds:
+        if r <= rounds:
             labels = components(found)
     return found
 
 
+def remaining_pairs(lists: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components in one list that the filters and the pivot's measurements leave possible.
+
+    With x, y and the pivot p: what x and y have in common lies in p, at most the smaller of their intersections with p,
+    or outside, at most the smaller number of n-grams that they share with anyone but not with p.
+    """
+    known = held.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "common", "rest")
+    side = (lists.withColumn("pivot", F.col("p.node")).join(known, ["node", "pivot"], "left")
+            .select("key", "node", "n", "pos", "label", F.col("p.label").alias("of_pivot"),
+                    F.coalesce("common", "n").alias("common"), F.coalesce("rest", F.lit(0)).alias("rest")))
+    side = C.written(side, "lists")
+    x, y = side.where("label <> of_pivot").alias("x"), side.alias("y")
+    fits = (f"{100 + percent} * (least(x.common, y.common) + least(x.rest, y.rest)) >= {percent} * (x.n + y.n) AND "
+            + may_link("x.n", "x.pos", "y.n", "y.pos", percent))
+    return (x.join(y, F.col("x.key") == F.col("y.key")).where("x.label <> y.label AND " + fits)
+            .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+
+
 def component_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
                      percent: int = 85) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable by links of at least ``percent``) of every document."""
