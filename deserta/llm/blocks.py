@@ -10,8 +10,6 @@ all rows hold is sent once per block, with its count: neither a bucket nor a rep
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,6 +33,14 @@ def ids_column(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 
 
+def squeeze(buf: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(buf.tobytes(), asbytes=True)
+
+
+def expand(raw: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(raw, size, asbytes=True), np.uint8)
+
+
 def write_blocks(df: DataFrame, id_col: str, text_col: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Written rows of (block, n_bytes, ids, lens, text): packed ids and lengths, compressed bytes of all texts."""
     def run(batches):
@@ -45,7 +51,7 @@ def write_blocks(df: DataFrame, id_col: str, text_col: str, name: str, block_byt
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([block], pa.int64()), "n_bytes": pa.array([len(buf)], pa.int64()),
                 "ids": [np.concatenate([i for _, _, i in held]).tobytes()],
-                "lens": [np.concatenate([n for _, n, _ in held]).tobytes()], "text": [zlib.compress(buf.tobytes(), 1)]})
+                "lens": [np.concatenate([n for _, n, _ in held]).tobytes()], "text": [squeeze(buf)]})
 
         for batch in batches:
             for part in C.slices(batch, "t", block_bytes):
@@ -68,7 +74,7 @@ def write_blocks(df: DataFrame, id_col: str, text_col: str, name: str, block_byt
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, ids) of one block."""
     lens = np.frombuffer(row["lens"], np.int64)
-    return (np.frombuffer(zlib.decompress(row["text"]), np.uint8), np.concatenate(([0], np.cumsum(lens))),
+    return (expand(row["text"], int(lens.sum())), np.concatenate(([0], np.cumsum(lens))),
             np.frombuffer(row["ids"], np.int64))
 
 
