@@ -1,7 +1,7 @@
 """Secrets: fixed patterns, plus strings that a character Markov model of random strings explains better than one of
 ordinary identifiers.
 
-Two first-order Markov models over characters are trained from labelled samples: the values of pattern matches (random
+Two first-order Markov models over characters, the ordinary one with back-off, are trained from labelled samples: the values of pattern matches (random
 strings) and runs of letters (ordinary identifiers), taken from at most about ``TRAIN_ROWS`` documents chosen by a hash
 of id and text, so that reruns agree. A candidate, a run of 16 or more characters of the base64 alphabets with a letter that
 touches no pattern match, is added as kind ``random`` if its log-likelihood ratio per character exceeds ``MARGIN``.
@@ -37,6 +37,7 @@ FIRST, SIDE = 43, 80
 ALPHABET = 64
 TRAIN_ROWS = 20_000
 MARGIN = 0.5
+BACK_OFF = 8.0
 
 
 def with_patterns(df: DataFrame, text_col: str) -> DataFrame:
@@ -71,21 +72,23 @@ def ratio_table(counts: list) -> list[float]:
     """log P(next | this; random) - log P(next | this; ordinary) for each cell.
 
     The random model is an even mixture of the counted transitions and a uniform choice, as secrets of other alphabets
-    must not look ordinary; the ordinary model adds half a count to each transition.
+    must not look ordinary; the ordinary model falls back on how often a character occurs at all, by ``BACK_OFF`` counts.
     """
     n = {"random": [0.0] * (SIDE * SIDE), "ordinary": [0.0] * (SIDE * SIDE)}
     for r in counts:
         n[r["kind"]][r["cell"]] = float(r["n"])
     if not any(n["random"]) and not any(n["ordinary"]):
         return [0.0] * (SIDE * SIDE)
+    every = [sum(n["ordinary"][b::SIDE]) for b in range(SIDE)]
+    alone = [(x + 0.5) / (sum(every) + 0.5 * ALPHABET) for x in every]
     out = []
     for a in range(SIDE):
         row = slice(a * SIDE, (a + 1) * SIDE)
         rnd, plain = n["random"][row], n["ordinary"][row]
-        seen, total = sum(rnd), sum(plain) + 0.5 * ALPHABET
+        seen, total = sum(rnd), sum(plain) + BACK_OFF
         for b in range(SIDE):
             p = 0.5 / ALPHABET + (0.5 * rnd[b] / seen if seen else 0.5 / ALPHABET)
-            out.append(round(math.log(p) - math.log((plain[b] + 0.5) / total), 5))
+            out.append(round(math.log(p) - math.log((plain[b] + BACK_OFF * alone[b]) / total), 5))
     return out
 
 
