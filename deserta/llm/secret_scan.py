@@ -1,10 +1,10 @@
 """Secrets: fixed patterns, plus strings that a character Markov model of random strings explains better than one of
 ordinary identifiers.
 
-Two first-order Markov models over characters, the ordinary one with back-off, are trained from labelled samples: the values of pattern matches (random
-strings) and runs of letters (ordinary identifiers), taken from at most about ``TRAIN_ROWS`` documents chosen by a hash
-of id and text, so that reruns agree. A candidate, a run of 16 or more characters of the base64 alphabets with a letter that
-touches no pattern match, is added as kind ``random`` if its log-likelihood ratio per character exceeds ``MARGIN``.
+Two first-order Markov models over characters, the ordinary one with back-off, are trained from labelled samples: the
+values of pattern matches (random strings) and runs of letters (ordinary identifiers), taken from at most about
+``TRAIN_ROWS`` documents chosen by a hash of id and text, so that reruns agree. A candidate, a run of 16 or more
+characters of the base64 alphabets with a letter that touches no pattern match, is added as kind ``random`` if its log-likelihood ratio per character exceeds ``MARGIN``.
 
 Only DataFrame operations on the main path: the model is one literal array of ``SIDE`` squared numbers whatever the
 input, every row is scored by itself, and only the training counts (again at most ``SIDE`` squared rows per class) are

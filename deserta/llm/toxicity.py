@@ -6,8 +6,8 @@ out-of-fold predictions in training (each part of the labelled documents is scor
 later model learns from probabilities as they look on unseen documents. The decision threshold of each category is taken
 from its own out-of-fold predictions.
 
-Training uses at most about ``MAX_LABELLED`` labelled documents (a documented bound, chosen by a hash of the id, so reruns agree):
-their hashed words, at most that many whole texts, are the only document data the driver sees, and the models, ``DIMS``
+Training uses at most about ``MAX_LABELLED`` labelled documents (a documented bound, chosen by a hash of the id, so
+reruns agree): their hashed words, at most that many whole texts, are the only document data the driver sees, and the models, ``DIMS``
 numbers per category, are all that is sent to executors. Scoring reads each text once, whole, without a shuffle.
 
 Defined cases: a null or empty text has no words and gets the probability of the intercepts; equal rows get equal results;

@@ -107,6 +107,15 @@ def ratio(rows: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return model[0] - model[1]
 
 
+def packed(table: np.ndarray) -> tuple[int, bytes]:
+    """Most contexts are unseen and repeat the numbers of a shorter one, which compresses well."""
+    return table.nbytes, pa.Codec("zstd", compression_level=3).compress(table.tobytes(), asbytes=True)
+
+
+def unpacked(sent: tuple[int, bytes]) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(sent[1], sent[0], asbytes=True), np.float32)
+
+
 def scores(buf, offsets, table: np.ndarray) -> np.ndarray:
     """Length-normalised score of each text (its edge counts as a character)."""
     codes, text_of = grams(buf, offsets)
@@ -116,16 +125,17 @@ def scores(buf, offsets, table: np.ndarray) -> np.ndarray:
 
 def calibrated(labelled: DataFrame, tables: list[np.ndarray]) -> float:
     """Threshold with the best balanced accuracy on held-out scores, from a histogram of ``BINS`` bins per class."""
-    sent = labelled.sparkSession.sparkContext.broadcast(tables)
+    sent = labelled.sparkSession.sparkContext.broadcast([packed(t) for t in tables])
 
     def run(batches):
+        table = [unpacked(t) for t in sent.value]
         for batch in batches:
             half = np.asarray(batch.column(2))
             url = batch.column(0)
             for h in (0, 1):
                 pick = half == h
                 if pick.any():
-                    s = scores(*C.column_bytes(url.filter(pa.array(pick))), sent.value[h])
+                    s = scores(*C.column_bytes(url.filter(pa.array(pick))), table[h])
                     b = np.clip(((s + SPAN) / (2 * SPAN) * BINS).astype(np.int64), 0, BINS - 1)
                     yield pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(pick)), pa.array(b)],
                                                      names=["accepted", "bin"])
@@ -159,13 +169,14 @@ def with_verdicts(df: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame
     if trained:
         threshold = calibrated(labelled, [ratio(rows, rows[:, 1] != h) for h in (0, 1)])
         table = ratio(rows, np.ones(len(rows), bool))
-    sent = df.sparkSession.sparkContext.broadcast(table)
+    sent = df.sparkSession.sparkContext.broadcast(packed(table))
 
     def run(batches):
+        table = unpacked(sent.value)
         for batch in batches:
             for part in C.slices(batch, url_col, 1 << 20):
                 t = C.column_bytes(part.column(part.schema.get_field_index(url_col)))
-                s = scores(*t, sent.value) if trained else np.zeros(part.num_rows)
+                s = scores(*t, table) if trained else np.zeros(part.num_rows)
                 by_rule = part.column(part.schema.get_field_index("__by_rule")).to_pylist()
                 said = [v or ("allow" if x >= threshold else "block") for v, x in zip(by_rule, s.tolist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array(said, pa.string())],
