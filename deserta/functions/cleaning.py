@@ -47,14 +47,25 @@ def normalize_key(col, mode: str = "upper") -> Column:
     raise ValueError(f"unknown key mode {mode!r}")
 
 
+# Fixed value: what counts as a number in text (no "1d", "NaN" or "Infinity").
+NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
+def numeric_text(col) -> Column:
+    """The cell's text where it is written as a number, else NULL."""
+    text = _c(col).cast("string")
+    return F.when(text.rlike(NUMBER_PATTERN), F.trim(text))
+
+
 def finite_or_null(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x)
 
 
 def coerce_number_sql(name: str, default: float | None = 0.0) -> str:
     """SQL text of ``coerce_number`` for a column name."""
-    parsed = f"try_cast(trim(cast(`{name}` AS STRING)) AS DOUBLE)"
-    finite = f"CASE WHEN isnan({parsed}) OR abs({parsed}) = double('inf') THEN NULL ELSE {parsed} END"
+    text = f"cast(`{name}` AS STRING)"
+    parsed = f"CASE WHEN rlike({text}, r'{NUMBER_PATTERN}') THEN try_cast(trim({text}) AS DOUBLE) END"
+    finite = f"CASE WHEN abs({parsed}) < double('inf') THEN {parsed} END"
     return finite if default is None else f"coalesce({finite}, CAST({float(default)!r} AS DOUBLE))"
 
 
@@ -63,7 +74,7 @@ def coerce_number(col, default: float | None = 0.0) -> Column:
     For a column name the expression is built from SQL text in one call."""
     if isinstance(col, str):
         return F.expr(coerce_number_sql(col, default))
-    parsed = finite_or_null(F.trim(col.cast("string")).try_cast("double"))
+    parsed = finite_or_null(numeric_text(col).try_cast("double"))
     return F.coalesce(parsed, F.lit(default).cast("double")) if default is not None else parsed
 
 
@@ -78,12 +89,11 @@ def coerce_string(col) -> Column:
     return F.coalesce(normalize_key(col.cast("string"), "js"), F.lit(""))
 
 
-def coordinate(col) -> Column:
-    """D7 helper: a latitude/longitude text or number as double, NULL when missing, 'NA' or malformed."""
-    c = _c(col)
-    return F.when(c.isNull() | (c.cast("string") == F.lit("NA")), F.lit(None).cast("double")).otherwise(
-        c.cast("string").try_cast("double")
-    )
+def coordinate(col, limit: float) -> Column:
+    """D7 helper: a latitude (``limit`` 90) or longitude (180) text or number as double; NULL when missing, 'NA',
+    malformed, not finite or out of range."""
+    degrees = numeric_text(col).try_cast("double")
+    return F.when(F.abs(degrees) <= F.lit(float(limit)), degrees)
 
 
 def null_default(col, default: str) -> Column:

@@ -83,11 +83,11 @@ def category_view(capability: DataFrame) -> DataFrame:
 def assessment_violations(assessed: DataFrame, id_col: str = "unique_id") -> DataFrame:
     """V3: closed-schema audit of the assessment JSON -> one row per (id, violation).
 
-    Violations: malformed_json, missing:<path>, extra_key:<path>, bad_enum:<path>, bad_evidence:<key>.
-    Pure expressions over each document; rows are independent, so it scales with the table.
+    Violations: malformed_json, missing:<path>, extra_key:<path>, bad_type:<path> (null or not the declared type),
+    bad_enum:<path>, bad_evidence:<key> (not a list of texts). Each document is parsed once, into a variant whose parts
+    are then typed and compared. Pure expressions over each document; rows are independent, so it scales with the table.
     """
-    a = F.col("assessment")
-    top_keys = F.json_object_keys(a)
+    a, v = F.col("assessment"), F.col("_v")
     allowed_top = ["data_confidence", "data_confidence_reason"] + [k for k, _ in C.CATEGORIES]
     allowed_sub = ["capability", "confidence", "evidence", "limitation"]
     empty = F.array().cast("array<string>")
@@ -100,25 +100,41 @@ def assessment_violations(assessed: DataFrame, id_col: str = "unique_id") -> Dat
         listed = F.array_except(keys, F.array(*[F.lit(x) for x in allowed]))
         found.append(F.when(cond, F.transform(listed, lambda x: F.concat(F.lit(prefix), x))).otherwise(empty))
 
-    flag(top_keys.isNull(), "malformed_json")
-    valid = top_keys.isNotNull()
+    def kind(path):
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("VOID"))
+
+    def text_field(cond, path, values=None):
+        text = kind(f"$.{path}") == "STRING"
+        flag(cond & ~text, f"bad_type:{path}")
+        if values:
+            flag(cond & text & ~F.try_variant_get(v, f"$.{path}", "string").isin(*values), f"bad_enum:{path}")
+
+    top_keys = F.map_keys(F.col("_top"))
+    flag(F.col("_top").isNull(), "malformed_json")
+    valid = F.col("_top").isNotNull()
     for k in allowed_top:
         flag(valid & ~F.array_contains(top_keys, k), f"missing:{k}")
     extras(valid, top_keys, allowed_top, "extra_key:")
-    dc = F.get_json_object(a, "$.data_confidence")
-    flag(valid & dc.isNotNull() & ~dc.isin(*C.CONFIDENCE_VALUES), "bad_enum:data_confidence")
+    text_field(valid & F.array_contains(top_keys, "data_confidence"), "data_confidence", C.CONFIDENCE_VALUES)
+    text_field(valid & F.array_contains(top_keys, "data_confidence_reason"), "data_confidence_reason")
     for k, _ in C.CATEGORIES:
-        sub_keys = F.json_object_keys(F.get_json_object(a, f"$.{k}"))
         present = valid & F.array_contains(top_keys, k)
-        flag(present & sub_keys.isNull(), f"bad_type:{k}")
-        obj = present & sub_keys.isNotNull()
+        is_object = kind(f"$.{k}").startswith("OBJECT")
+        flag(present & ~is_object, f"bad_type:{k}")
+        obj = present & is_object
+        sub_keys = F.map_keys(F.try_variant_get(v, f"$.{k}", "map<string,variant>"))
+        has = {s: obj & F.array_contains(sub_keys, s) for s in allowed_sub}
         for s in allowed_sub:
             flag(obj & ~F.array_contains(sub_keys, s), f"missing:{k}.{s}")
         extras(obj, sub_keys, allowed_sub, f"extra_key:{k}.")
-        cap = F.get_json_object(a, f"$.{k}.capability")
-        conf = F.get_json_object(a, f"$.{k}.confidence")
-        flag(obj & cap.isNotNull() & ~cap.isin(*C.CAPABILITY_VALUES), f"bad_enum:{k}.capability")
-        flag(obj & conf.isNotNull() & ~conf.isin(*C.CONFIDENCE_VALUES), f"bad_enum:{k}.confidence")
-        ev = F.get_json_object(a, f"$.{k}.evidence")
-        flag(obj & ev.isNotNull() & F.from_json(ev, "array<string>").isNull(), f"bad_evidence:{k}")
-    return assessed.select(id_col, F.explode(F.flatten(F.array(*found))).alias("violation"))
+        text_field(has["capability"], f"{k}.capability", C.CAPABILITY_VALUES)
+        text_field(has["confidence"], f"{k}.confidence", C.CONFIDENCE_VALUES)
+        text_field(has["limitation"], f"{k}.limitation")
+        items = F.try_variant_get(v, f"$.{k}.evidence", "array<variant>")
+        texts = F.coalesce(F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")) == "STRING"),
+                           F.lit(False))
+        flag(has["evidence"] & ~(kind(f"$.{k}.evidence").startswith("ARRAY") & texts), f"bad_evidence:{k}")
+    parsed = assessed.select(id_col, F.try_parse_json(a).alias("_v"))
+    is_map = F.schema_of_variant(v).startswith("OBJECT")
+    parsed = parsed.withColumn("_top", F.when(is_map, F.try_variant_get(v, "$", "map<string,variant>")))
+    return parsed.select(id_col, F.explode(F.flatten(F.array(*found))).alias("violation"))

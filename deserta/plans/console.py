@@ -28,11 +28,6 @@ LIST_LABELS = {"overall": "Nearest capable facilities", "maternal": "Nearest mat
 OVERLAP_KM = 3.0
 
 
-def _weight(col) -> Column:
-    c = F.col(col)
-    return F.when(c == "High Risk", 3).when(c == "Medium Risk", 2).when(c == "Low Risk", 1).otherwise(0)
-
-
 def tier_rank(col="planning_priority_tier") -> Column:
     c = F.col(col)
     out = F.lit(0)
@@ -57,7 +52,7 @@ def top_interventions(planning: DataFrame, category: str = "overall", n: int = 1
     """Category risk weight, tier rank and score (all descending); ties in (state, district) order."""
     field = CATEGORY_FIELDS.get(category, CATEGORY_FIELDS["overall"])
     return (scope_filter(planning, **scope)
-            .orderBy(_weight(field).desc(), tier_rank().desc(), F.col("planning_priority_score").desc(),
+            .orderBy(P.risk_weight(field).desc(), tier_rank().desc(), F.col("planning_priority_score").desc(),
                      F.col("state_ut").asc_nulls_last(), F.col("district_name").asc_nulls_last())
             .limit(n))
 
@@ -94,7 +89,7 @@ def map_properties(planning: DataFrame, category: str = "overall") -> DataFrame:
         F.coalesce(F.col("estimated_population_impact"), F.col("affected_population_proxy").cast("double"))
         .alias("population"),
         F.col("planning_priority_score").alias("priority_score"),
-        _weight(field).alias("risk_weight"),
+        P.risk_weight(field).alias("risk_weight"),
         F.col("primary_risk_driver"),
         F.to_json(F.transform(cleaned, lambda x: F.struct(coerce_string(x["name"]).alias("name"),
                                                           x["distance_kilometers"].alias("distance_kilometers"))))
@@ -187,7 +182,7 @@ def map_bounds(thinned: DataFrame, geo: DataFrame) -> DataFrame:
 def map_rank_key(category: str = "overall") -> Column:
     """Sort key of the map rows (the T2 order): smaller sorts first."""
     field = CATEGORY_FIELDS.get(category, CATEGORY_FIELDS["overall"])
-    return F.struct((-_weight(field)).alias("w"), (-tier_rank()).alias("t"),
+    return F.struct((-P.risk_weight(field)).alias("w"), (-tier_rank()).alias("t"),
                     (-F.col("planning_priority_score")).alias("s"), F.col("state_ut"), F.col("district_name"))
 
 

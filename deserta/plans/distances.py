@@ -19,9 +19,10 @@ DISTANCE_COLUMNS = ("unique_id", "name", "address_city", "address_stateOrRegion"
 
 def valid_coordinates(df: DataFrame, lat: str = "latitude", lon: str = "longitude",
                       lat_out: str = "latitude_num", lon_out: str = "longitude_num") -> DataFrame:
-    """Drop rows whose latitude/longitude is NULL, 'NA' or not a number; add the parsed doubles."""
+    """Drop rows whose latitude/longitude is NULL, 'NA', no finite number or out of range (an out-of-range number is
+    treated like a malformed one); add the parsed doubles."""
     return (
-        df.withColumn(lat_out, coordinate(lat)).withColumn(lon_out, coordinate(lon))
+        df.withColumn(lat_out, coordinate(lat, 90)).withColumn(lon_out, coordinate(lon, 180))
         .filter(F.col(lat_out).isNotNull() & F.col(lon_out).isNotNull())
     )
 
@@ -49,7 +50,7 @@ def district_centers(directory: DataFrame) -> DataFrame:
     it is exact and does not depend on partitioning. Partial aggregation runs before the shuffle, so a district
     holding a large share of all offices costs one partial row per input partition.
     """
-    lat, lon = coordinate("latitude"), coordinate("longitude")
+    lat, lon = coordinate("latitude", 90), coordinate("longitude", 180)
     parsed = directory.select("district", "statename", lat.alias("_lat"), lon.alias("_lon"))
     ok = F.col("_lat").isNotNull() & F.col("_lon").isNotNull()
     return (
@@ -65,7 +66,7 @@ def district_centers(directory: DataFrame) -> DataFrame:
 
 def facility_points(facilities: DataFrame) -> DataFrame:
     return (
-        facilities.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+        facilities.filter((F.abs("latitude") <= 90) & (F.abs("longitude") <= 180))
         .select("unique_id", "name", "address_city", "address_stateOrRegion",
                 F.col("latitude").alias("facility_latitude"), F.col("longitude").alias("facility_longitude"))
     )

@@ -87,9 +87,13 @@ RISK_FIELDS = ("maternal_neonatal_risk", "diabetes_care_risk", "hypertension_car
                "nutrition_services_risk", "cancer_screening_risk", "overall_care_desert_risk")
 
 
-def nfhs_cleaned(raw: DataFrame) -> DataFrame:
-    """D1 + D2: keep the survey columns that exist in ``raw`` and decode the text-coded ones."""
+def nfhs_cleaned(raw: DataFrame, allow_missing: bool = False) -> DataFrame:
+    """D1 + D2: select the survey columns and decode the text-coded ones. A missing column raises, unless
+    ``allow_missing`` is set for sources that carry only part of the survey."""
     present = set(raw.columns)
+    missing = [c for c in SURVEY_COLUMNS if c not in present]
+    if missing and not allow_missing:
+        raise ValueError(f"survey columns are missing: {', '.join(missing)}")
     return raw.select(*[
         clean_survey_number(c).alias(c) if c in CLEANED_TEXT_COLUMNS else F.col(c)
         for c in SURVEY_COLUMNS if c in present

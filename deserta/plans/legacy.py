@@ -52,13 +52,12 @@ UNKNOWN_PRIORITY = "Unknown Priority"
 
 
 def priority_join_v1(indicators: DataFrame, master: DataFrame) -> DataFrame:
-    """INNER join on trimmed (case-sensitive) keys, overall risk present, ordered by state and district."""
+    """INNER join on trimmed (case-sensitive) keys, overall risk present."""
     i = indicators.withColumn("_d", F.trim("district_name")).withColumn("_s", F.trim("state_ut"))
     m = master.select(F.trim("district_name").alias("_d"), F.trim("state_ut").alias("_s"),
                       "intervention_priority", "estimated_population_impact")
     return (i.filter(F.col("overall_care_desert_risk").isNotNull()).join(m, ["_d", "_s"])
-            .select(*INDICATOR_COLUMNS, "intervention_priority", "estimated_population_impact")
-            .orderBy("state_ut", "district_name"))
+            .select(*INDICATOR_COLUMNS, "intervention_priority", "estimated_population_impact"))
 
 
 def state_centroids(spark) -> DataFrame:

@@ -17,7 +17,7 @@ _IND_DOUBLES = tuple(c for c in I.INDICATOR_COLUMNS if c not in (
 # ---- step 1: survey -> indicators ---------------------------------------------------------------------------------
 
 def indicators(spark: SparkSession, sf: str, base: str = "customer"):
-    return I.care_desert_indicators(I.nfhs_cleaned(FX.survey(spark, sf, base)))
+    return I.care_desert_indicators(I.nfhs_cleaned(FX.survey(spark, sf, base), allow_missing=True))
 
 
 @register("nfhs_cleaned", f"""
@@ -39,7 +39,7 @@ FROM ({S.survey_sql()}) raw""", doubles=(
     "women_age_30_49_years_ever_undergone_a_breast_exam_pct",
     "women_age_30_49_years_ever_undergone_an_oral_cancer_exam_pct"))
 def q_nfhs_cleaned(spark, sf):
-    return I.nfhs_cleaned(FX.survey(spark, sf))
+    return I.nfhs_cleaned(FX.survey(spark, sf), allow_missing=True)
 
 
 @register("care_desert_indicators", S.indicators_sql(), doubles=_IND_DOUBLES)
@@ -204,13 +204,13 @@ from deserta.plans import serving as SV  # noqa: E402
 
 def serving_inputs(spark: SparkSession, sf: str) -> dict:
     """The two gold tables (distance links, capability), materialised once like the reference's views."""
-    from deserta.sources.tables import checkpoint_tables
+    from deserta.sources.tables import checkpoint_table, checkpoint_tables
 
     gold = checkpoint_tables({"facility_district_distances": distance_table(spark, sf),
                               "facility_capability": capability_table(spark, sf)})
     dist, cap = gold["facility_district_distances"], gold["facility_capability"]
-    geo = SV.district_geo(dist)
-    loc = SV.facility_locations(dist)
+    geo = checkpoint_table(SV.district_geo(dist), "district_geo")
+    loc = SV.facility_locations(FX.facilities(spark, sf))
     return {"dist": dist, "cap": cap, "geo": geo, "loc": loc}
 
 
@@ -219,12 +219,12 @@ def knn_long(spark: SparkSession, sf: str, parts: dict | None = None):
     return SV.knn_capable_long(p["geo"], SV.attach_capability(p["loc"], p["cap"]))
 
 
-def serving_join(spark: SparkSession, sf: str, limit: int | None = None):
+def serving_join(spark: SparkSession, sf: str):
     p = serving_inputs(spark, sf)
     kl = knn_long(spark, sf, p)
     master = SV.master_view(FX.master_inputs(spark, sf), p["dist"], p["cap"])
     return SV.district_serving_join(indicators(spark, sf, "supplier"), p["geo"], master,
-                                    SV.capable_facilities(p["geo"], kl), limit=limit)
+                                    SV.capable_facilities(p["geo"], kl))
 
 
 def _names(df, col):
@@ -242,7 +242,7 @@ def q_district_geo(spark, sf):
 
 @register("facility_locations", S.locations_sql(), doubles=("facility_latitude", "facility_longitude"))
 def q_facility_locations(spark, sf):
-    return SV.facility_locations(distance_table(spark, sf))
+    return SV.facility_locations(FX.facilities(spark, sf))
 
 
 @register("capable_services", "SELECT unique_id, service FROM (" + S.capable_services_sql() + ") s")
@@ -297,10 +297,10 @@ def q_district_serving_join(spark, sf):
     return _serving_scalar(serving_join(spark, sf))
 
 
-@register("planning_page", "SELECT * EXCLUDE (listed_min_km) FROM (" + S.serving_join_sql()
-          + ") j ORDER BY state_ut, district_name LIMIT 500", doubles=_SERVING_DOUBLES)
+@register("planning_page", "SELECT * EXCLUDE (listed_min_km), CAST((row_number() OVER (ORDER BY state_ut, district_name) - 1) "
+          "// 500 + 1 AS INTEGER) AS page FROM (" + S.serving_join_sql() + ") j", doubles=_SERVING_DOUBLES)
 def q_planning_page(spark, sf):
-    return _serving_scalar(serving_join(spark, sf, limit=500))
+    return SV.paged(_serving_scalar(serving_join(spark, sf)), 500)
 
 
 @register("row_count", "SELECT cast(count(*) AS integer) AS row_count FROM (" + S.indicators_sql("supplier") + ") i")
@@ -313,8 +313,8 @@ def q_row_count(spark, sf):
 from deserta.plans import planning as PL  # noqa: E402
 
 
-def planning(spark: SparkSession, sf: str, limit: int | None = None):
-    return PL.planning_priorities(serving_join(spark, sf, limit=limit))
+def planning(spark: SparkSession, sf: str):
+    return PL.planning_priorities(serving_join(spark, sf))
 
 
 @register("planning_priorities", S.planning_sql(), doubles=_SERVING_DOUBLES)
@@ -534,7 +534,7 @@ _CLUSTER_DOUBLES = ("latitude", "longitude", "households", "women", "severity",
 
 @register("priority_join_v1", S.legacy_rows_sql(), doubles=_IND_DOUBLES + ("estimated_population_impact",))
 def q_priority_join_v1(spark, sf):
-    return legacy_rows(spark, sf)
+    return legacy_rows(spark, sf).orderBy("state_ut", "district_name")
 
 
 @register("state_centroid_lookup", f"""SELECT r.district_name, r.state_ut,

@@ -64,17 +64,14 @@ def district_center_of(distances: DataFrame, district: str, state: str, mode: st
                       F.when(F.col("_n") > 0, exact_mean("_slon", "_n")).alias("center_longitude"))
 
 
-def facility_locations(distances: DataFrame) -> DataFrame:
-    """One row per facility with coordinates. Facility attributes depend only on ``unique_id``, so a min()
-    aggregate is deterministic and partially aggregated before the shuffle."""
-    return (
-        distances.filter(F.col("facility_latitude").isNotNull() & F.col("facility_longitude").isNotNull())
-        .groupBy("unique_id")
-        .agg(F.min("name").alias("name"), F.min("address_city").alias("address_city"),
-             F.min("address_stateOrRegion").alias("address_stateOrRegion"),
-             F.min("facility_latitude").alias("facility_latitude"),
-             F.min("facility_longitude").alias("facility_longitude"))
-    )
+def facility_locations(facilities: DataFrame) -> DataFrame:
+    """One row per facility of the directory with coordinates, however far it is from every district. Of several
+    rows of one id the smallest is kept whole (min() over a struct, partially aggregated before the shuffle)."""
+    from deserta.plans.distances import facility_points
+
+    points = facility_points(facilities)
+    row = F.struct(*[c for c in points.columns if c != "unique_id"])
+    return points.groupBy("unique_id").agg(F.min(row).alias("_r")).select("unique_id", "_r.*")
 
 
 def attach_capability(facilities: DataFrame, capability: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -144,8 +141,8 @@ def one_row_per_district(master: DataFrame, mode: str = "upper") -> DataFrame:
 
 
 def district_serving_join(indicators: DataFrame, geo: DataFrame, master: DataFrame, capable: DataFrame,
-                          mode: str = "upper", limit: int | None = None) -> DataFrame:
-    """J3 (+T4): indicators LEFT geo LEFT master LEFT capable lists on the normalised keys."""
+                          mode: str = "upper") -> DataFrame:
+    """Indicators LEFT geo LEFT master LEFT capable lists on the normalised keys."""
     from deserta.plans.indicators import INDICATOR_COLUMNS
 
     ind = with_keys(indicators, "district_name", "state_ut", mode)
@@ -160,10 +157,28 @@ def district_serving_join(indicators: DataFrame, geo: DataFrame, master: DataFra
              F.col("overall_availability_category"), F.col("intervention_priority"),
              F.col("estimated_population_impact")]
     cols += [F.coalesce(F.col(c), empty).alias(c) for c in FACILITY_LIST_COLUMNS.values()]
-    out = j.select(*cols)
-    if limit is not None:
-        out = out.orderBy(F.col("state_ut").asc_nulls_last(), F.col("district_name").asc_nulls_last()).limit(limit)
-    return out
+    return j.select(*cols)
+
+
+_PAGE_ORDER = ("state_ut", "district_name")
+
+
+def planning_page(served: DataFrame, size: int = 500, after: tuple[str, str] | None = None) -> DataFrame:
+    """T4: the next ``size`` districts by (state, district) after the key ``after`` (None: the first page). Keyset
+    paging: every page is a filter and a top-n, and all districts are reachable."""
+    if after is not None:
+        state, district = map(F.lit, after)
+        served = served.where((F.col("state_ut") > state) | (F.col("state_ut").eqNullSafe(state)
+                                                             & (F.col("district_name") > district)))
+    return served.orderBy(*[F.col(c).asc_nulls_last() for c in _PAGE_ORDER]).limit(size)
+
+
+def paged(served: DataFrame, size: int = 500) -> DataFrame:
+    """T4 for all pages at once: every district with its page number. One row per district passes one window."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in _PAGE_ORDER]))
+    return served.withColumn("page", (F.floor((at - 1) / size) + 1).cast("int"))
 
 
 # ---- T1 -----------------------------------------------------------------------------------------------------------

@@ -41,7 +41,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; set a scratch one only when none is configured (tests).
+    """Return the session's checkpoint folder; set a scratch one only in local mode when none is configured (tests).
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as-is.
     """
@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="deserta-ckpt-", dir=os.environ.get("DESERTA_SCRATCH", "/tmp"))
     sc.setCheckpointDir(scratch)
     return scratch

@@ -268,10 +268,10 @@ GROUP BY upper(trim(district)), upper(trim(statename))"""
 
 def locations_sql() -> str:
     return f"""
-SELECT unique_id, min(name) AS name, min(address_city) AS address_city,
-  min("address_stateOrRegion") AS "address_stateOrRegion",
-  min(facility_latitude) AS facility_latitude, min(facility_longitude) AS facility_longitude
-FROM ({distances_sql()}) d GROUP BY unique_id"""
+SELECT unique_id, name, address_city, "address_stateOrRegion", latitude AS facility_latitude, longitude AS facility_longitude
+FROM (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY name NULLS FIRST, address_city NULLS FIRST,
+        "address_stateOrRegion" NULLS FIRST, latitude, longitude) AS r
+      FROM ({facilities_sql()}) f0 WHERE latitude IS NOT NULL AND longitude IS NOT NULL) f WHERE r = 1"""
 
 
 _SVC_COL = {"maternal": "maternal_neonatal_capability", "diabetes": "diabetes_capability",

@@ -15,18 +15,9 @@ TESTDATA_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                    "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def scan_parquet(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """S1 for files: one parquet table under ``sf_dir``. ``spread``: see ``spread_partitions``."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread_partitions(df) if spread else df
-
-
-def spread_partitions(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the default parallelism when the scan yields fewer splits than that (a file
-    with a single row group is read by one task). CPU-heavy per-row work downstream then uses every core. Inputs
-    that already split widely are returned unchanged, so large tables pay no extra shuffle."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+def scan_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """S1 for files: one parquet table under ``sf_dir``; splits follow ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def scan_table(spark: SparkSession, name: str, path: str | None = None, fmt: str = "parquet") -> DataFrame:
@@ -52,11 +43,12 @@ def materialize(df: DataFrame, path: str, schema_ddl: str | None = None, partiti
     from deserta.operators.quality import conform_schema
 
     out = conform_schema(df, schema_ddl) if schema_ddl else df
+    if comment:  # kept in the files' schema, where every reader of the table finds it
+        first = out.schema.fields[0].name
+        out = out.withMetadata(first, {**out.schema[first].metadata, "table_comment": comment})
     writer = out.write.mode(mode).format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    if comment:
-        writer = writer.option("comment", comment)
     writer.save(path)
     return out.sparkSession.read.parquet(path)
 
@@ -78,10 +70,6 @@ def planning_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def checkpoint_table(df: DataFrame, name: str = "table") -> DataFrame:
     """Materialise ``df`` as a parquet table under the session's checkpoint folder (``spark.checkpoint.dir``, a
     shared path on a cluster) and return a DataFrame reading it back.

@@ -235,7 +235,7 @@ def test_indicator_stream_matches_batch(spark):
     raw = FX.survey(spark, SF001)
     raw.write.parquet(os.path.join(base, "in"))
     q = refresh_indicators(spark, os.path.join(base, "in"), raw.schema, os.path.join(base, "out"),
-                           os.path.join(base, "ckpt"))
+                           os.path.join(base, "ckpt"), allow_missing=True)
     q.awaitTermination(120)
     streamed = spark.read.parquet(os.path.join(base, "out"))
     batch = Q.indicators(spark, SF001)
@@ -264,7 +264,7 @@ def test_refresh_tables_round_trip(spark):
 
     root = tempfile.mkdtemp(prefix="deserta-refresh-")
     served = refresh_tables(FX.survey(spark, SF001, "supplier"), FX.address_directory(spark, SF001),
-                            FX.facilities(spark, SF001), FX.master_inputs(spark, SF001), root)
+                            FX.facilities(spark, SF001), FX.master_inputs(spark, SF001), root, allow_missing=True)
     assert set(served) == {"care_desert_indicators", "facility_district_distances", "facility_locations",
                            "healthcare_master_view", "facility_capability"}
     assert spark.table("facility_district_distances").count() == Q.distance_table(spark, SF001).count()

@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF01, assert_same
+from deserta.plans.registry import oracle_queries, spark_queries
 
-_Q = E.queries()
-_O = E.oracle_sql()
+_Q = spark_queries()
+_O = oracle_queries()
 
 
 @pytest.mark.parametrize("name", sorted(_O))

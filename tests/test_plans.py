@@ -1,24 +1,14 @@
-"""Plan-shape checks: no registered query plans a cross product, and small-split spreading is conditional."""
+"""Plan-shape checks: no registered query plans a cross product."""
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF001
+from deserta.plans.registry import spark_queries
 
-_Q = E.queries()
+_Q = spark_queries()
 
 
 @pytest.mark.parametrize("name", sorted(_Q))
 def test_no_cross_product(spark, name):
     plan = _Q[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-
-
-def test_spread_partitions_only_when_narrow(spark):
-    from deserta.sources.tables import spread_partitions
-
-    target = spark.sparkContext.defaultParallelism
-    narrow = spark.range(100).coalesce(1)
-    wide = spark.range(0, 100, 1, target * 2)
-    assert spread_partitions(narrow).rdd.getNumPartitions() == target
-    assert spread_partitions(wide) is wide
