@@ -161,3 +161,22 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """The rows of ``docs`` without any occurring window, with their columns."""
     hit = hit_words(docs, items, id_col, text_col)
     return hit.where(F.size("hits") == 0).select(*docs.columns)
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT id, n, list_slice(ws, i, i + n - 1) AS x
+       FROM (SELECT id, ws, least(len(ws), 10) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT r, n, i, list_slice(ws, i, i + n - 1) AS x
+       FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lens WHERE len(ws) >= n)),
+hit AS (SELECT dw.r, dw.i, dw.n, bw.id FROM dw JOIN bw ON dw.x = bw.x AND dw.n = bw.n),
+hw AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+it AS (SELECT r, count(DISTINCT id) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM hit GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hw.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items,
+       sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(hw.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (r) LEFT JOIN it USING (r)
+"""

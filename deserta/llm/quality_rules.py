@@ -197,3 +197,24 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = (f"id {idf.schema['id'].dataType.simpleString()}, " + ", ".join(f"{s} long" for s in STATS)
               + ", base_failed boolean, kept boolean")
     return idf.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (SELECT r, i, list_slice(ws, i, i + 2) AS x FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, x) > 1),
+cov AS (SELECT r, count(DISTINCT i + j) AS n FROM rep, (VALUES (0), (1), (2)) o(j) GROUP BY r),
+ln AS (SELECT r, l FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n FROM ln GROUP BY r),
+s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+             coalesce(cov.n, 0) AS n_repeat_words, coalesce(dup.n_lines, 0) AS n_lines,
+             length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS n_lower
+      FROM w LEFT JOIN cov USING (r) LEFT JOIN dup USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 50 * n_lines OR word_chars < 2 * n_words
+            OR word_chars > 20 * n_words OR n_upper > n_lower) AS kept
+FROM f
+"""

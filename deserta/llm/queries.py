@@ -57,4 +57,5 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op5_license_scan": license_scan.oracle(), "op7_mixing": mixing.ORACLE}
+    return {"op5_license_scan": license_scan.oracle(), "op6_quality_rules": quality_rules.ORACLE, "op7_mixing": mixing.ORACLE,
+            "op8_decontamination": decontaminate.ORACLE}
