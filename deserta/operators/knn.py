@@ -1,26 +1,25 @@
 """Exact k nearest points per (center, group) without a distance cap and without a cross join.
 
-Round i runs the grid distance join at radius ``r_i = r0 * growth^i`` keyed by (cell, group), ranks candidates per
-(center, group) by (distance, tie-break) and keeps the first k (Spark plans a partial WindowGroupLimit before the
-shuffle, so a hot group ships at most k rows per map partition). A group with k hits inside ``r_i`` is complete: any
-point outside the cap is farther than its k-th hit. Only the incomplete (center, group) pairs go on to the next
-round at ``growth`` times the radius (a group with fewer than k hits inside r has, at uniform density, fewer than
-growth^2 * k candidates inside the next radius, so candidates stay bounded). Once the radius reaches half the
-earth's circumference the cap covers the globe, so the last round is exact for whatever remains (groups with fewer
-than k points in total). The rounds are few (log_growth(20000 km / r0)),
-each is a Spark job over the shrinking residue, and each round's top-k is written to the checkpoint folder.
+Points are counted in a pyramid of grid cells, each level eight times finer per side. Every center (and group) walks down
+the pyramid with a frontier of cells: a cell's points lie between a smallest and a largest distance from the center, the
+k-th smallest largest distance (counting points) bounds the k-th neighbour, and cells that begin beyond it are dropped. The
+cells left at the finest level, about ten metres wide, are joined with their points.
+
+Dense and empty places are thus searched at their own scale: a center in a city sees its own streets, a center far from
+everything descends into the nearest few cells of the nearest cluster, and neither meets all points of either. All joins are
+equi-joins on (cell, group) with at most 64 children to a cell, all limits per center are windows over its frontier. Points of
+equal coordinates can only differ in the tie-break, so only the first k of them enter.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from deserta.functions.geo import SERVING_RADIUS_KM
-from deserta.operators.distance_join import within_distance_join
+from deserta.functions.geo import SERVING_RADIUS_KM, haversine_km
+
+#: Cells of level i are 180 / 8**i degrees wide; the finest level has cells of about 9 m.
+LEVELS = 7
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -29,76 +28,78 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return checkpoint_table(df, "knn")
 
 
-def density_radius_km(points: DataFrame, lat: str, lon: str, k: int, group_col: str | None,
-                      earth_radius_km: float) -> float:
-    """Starting radius from the densest group: the radius whose cap would hold ~1.5 k of its points if they were
-    spread evenly over the points' bounding box. One aggregate over the (already persisted) points."""
-    per_group = points.groupBy(*( [group_col] if group_col else [] )).agg(
-        F.count(F.lit(1)).alias("n"), F.min(lat).alias("a0"), F.max(lat).alias("a1"),
-        F.min(lon).alias("o0"), F.max(lon).alias("o1"))
-    row = per_group.agg(F.max("n").alias("n"), F.min("a0").alias("a0"), F.max("a1").alias("a1"),
-                        F.min("o0").alias("o0"), F.max("o1").alias("o1")).first()
-    if row is None or not row["n"]:
-        return 100.0
-    km_per_deg = math.pi * earth_radius_km / 180.0
-    mid = math.radians((row["a0"] + row["a1"]) / 2)
-    area = max((row["a1"] - row["a0"]) * km_per_deg, 1.0) * max((row["o1"] - row["o0"]) * km_per_deg * math.cos(mid), 1.0)
-    r = 1.5 * math.sqrt(k * area / (math.pi * row["n"]))
-    return float(min(max(r, 1.0), 2000.0))
+def _cell(degrees, offset: float, count: int):
+    """Index of a coordinate among ``count`` finest cells of one axis."""
+    size = 180.0 / 8 ** LEVELS
+    return F.least(F.floor((degrees + offset) / size), F.lit(count - 1)).cast("long")
+
+
+def _cell_counts(points: DataFrame, groups: list[str]) -> DataFrame:
+    """level, y, x, group, n: points per cell of every level, from one partial aggregation."""
+    finest = points.groupBy(*groups, "_y", "_x").agg(F.count(F.lit(1)).alias("n"))
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.expr(f"_y div {8 ** (LEVELS - i)}").alias("y"),
+                                          F.expr(f"_x div {8 ** (LEVELS - i)}").alias("x")) for i in range(LEVELS + 1)]))
+    return (finest.select(*groups, "n", levels.alias("c")).groupBy("c.level", "c.y", "c.x", *groups)
+            .agg(F.sum("n").alias("n")))
+
+
+def _pruned(frontier: DataFrame, part: list[str], lat: str, lon: str, level: int, k: int, radius: float) -> DataFrame:
+    """The frontier's cells that may hold one of the k nearest points of their center."""
+    size = 180.0 / 8 ** level
+    mid_lat, mid_lon = F.col("y") * size + (size / 2 - 90.0), F.col("x") * size + (size / 2 - 180.0)
+    widest = F.cos(F.radians(F.greatest(F.abs(mid_lat) - size / 2, F.lit(0.0))))
+    reach = radius * F.radians(F.lit(size / 2)) * (1 + widest) * (1 + 1e-9) + 1e-3  # from the middle to any point of the cell
+    d = haversine_km(F.col(lat), F.col(lon), mid_lat, mid_lon, radius)
+    near = frontier.withColumn("_d", d).withColumn("_r", reach).withColumn("_far", F.col("_d") + F.col("_r"))
+    by_far = Window.partitionBy(*part).orderBy("_far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("_held", F.sum("n").over(by_far))
+    enough = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(Window.partitionBy(*part))
+    return (near.withColumn("_bound", enough).where("_bound IS NULL OR _d - _r <= _bound")
+            .drop("_d", "_r", "_far", "_held", "_bound", "n"))
 
 
 def knn_join(centers: DataFrame, center_keys: list[str], center_lat: str, center_lon: str,
              points: DataFrame, point_lat: str, point_lon: str, k: int = 3,
              group_col: str | None = None, tie_break: str = "unique_id",
-             earth_radius_km: float = SERVING_RADIUS_KM, r0_km: float | None = None,
-             distance_col: str = "distance_kilometers", rank_col: str = "rank", growth: float = 4.0) -> DataFrame:
+             earth_radius_km: float = SERVING_RADIUS_KM,
+             distance_col: str = "distance_kilometers", rank_col: str = "rank") -> DataFrame:
     """For every center (and group, when ``group_col`` is given on both sides) the ``k`` nearest points.
 
     ``centers``: one row per center key (and group). ``points``: the candidates, with ``group_col`` when grouped.
-    Returns center keys, group, rank (1..k), all point columns and the distance. Ties are broken by ``tie_break``.
-    ``r0_km`` defaults to a radius derived from the densest group (``density_radius_km``).
+    Returns center keys, group, rank (1..k), all point columns and the distance. Ties are broken by ``tie_break``. Rows
+    without finite coordinates in range take no part; a group of fewer than k points gives them all.
 
-    Eager: runs one Spark job per round and returns a DataFrame over the checkpointed per-round results.
+    Eager: writes the placed points, the cell counts, one frontier half-way and the result to the shared folder.
     """
-    gkeys = [group_col] if group_col else []
-    part = center_keys + gkeys
-    half_globe = math.pi * earth_radius_km
-    ctr = centers.select(*part, center_lat, center_lon)
-    if ctr.isEmpty():
-        empty = within_distance_join(points, point_lat, point_lon, ctr, center_lat, center_lon, radius_km=1.0,
-                                     earth_radius_km=earth_radius_km, distance_col=distance_col, keys=gkeys)
-        return empty.withColumn(rank_col, F.lit(0)).drop(center_lat, center_lon).limit(0)
-    pts = points.filter(F.col(point_lat).isNotNull() & F.col(point_lon).isNotNull()).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    try:
-        radius = r0_km or density_radius_km(pts, point_lat, point_lon, k, group_col, earth_radius_km)
-        w = Window.partitionBy(*part).orderBy(F.col(distance_col).asc(), F.col(tie_break).asc())
-        done = []
-        remaining = ctr
-        while True:
-            last = radius >= half_globe
-            cand = within_distance_join(pts, point_lat, point_lon, remaining, center_lat, center_lon,
-                                        radius_km=min(radius, half_globe), earth_radius_km=earth_radius_km,
-                                        distance_col=distance_col, keys=gkeys)
-            top = _checkpoint(cand.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
-                              .drop(center_lat, center_lon))
-            if last:
-                done.append(top)
-                break
-            complete = top.filter(F.col(rank_col) == k).select(*part)
-            done.append(top.join(complete, part, "left_semi"))
-            # Incomplete groups: those of ``remaining`` without a k-th hit. Each round adds one anti-join against
-            # that round's written top-k, so the residue's lineage grows by one small step per (bounded) round.
-            remaining = remaining.join(complete, part, "left_anti")
-            if remaining.isEmpty():
-                break
-            radius *= growth
-    finally:
-        pts.unpersist()
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    groups = [group_col] if group_col else []
+    part = center_keys + groups
+    ctr = centers.select(*part, F.col(center_lat).alias("_clat"), F.col(center_lon).alias("_clon")).where(
+        (F.abs("_clat") <= 90) & (F.abs("_clon") <= 180))
+    placed = points.where((F.abs(point_lat) <= 90) & (F.abs(point_lon) <= 180))
+    same_place = Window.partitionBy(*groups, point_lat, point_lon).orderBy(F.col(tie_break).asc())
+    placed = (placed.withColumn("_at", F.row_number().over(same_place)).where(F.col("_at") <= k).drop("_at")
+              .withColumn("_y", _cell(F.col(point_lat), 90.0, 8 ** LEVELS))
+              .withColumn("_x", _cell(F.pmod(F.col(point_lon) + 180.0, F.lit(360.0)) - 180.0, 180.0, 2 * 8 ** LEVELS)))
+    placed = _checkpoint(placed)
+    cells = _checkpoint(_cell_counts(placed, groups))
+    roots = F.explode(F.array(*[F.struct(F.lit(0).cast("long").alias("y"), F.lit(x).cast("long").alias("x")) for x in (0, 1)]))
+    frontier = ctr.withColumn("_c", roots).select(*part, "_clat", "_clon", "_c.y", "_c.x")
+    frontier = frontier.join(cells.where("level = 0").drop("level"), ["y", "x", *groups])
+    for level in range(LEVELS + 1):
+        frontier = _pruned(frontier, part, "_clat", "_clon", level, k, earth_radius_km)
+        if level == LEVELS // 2:
+            frontier = _checkpoint(frontier)
+        if level < LEVELS:
+            children = cells.where(F.col("level") == level + 1).select(
+                F.expr("y div 8").alias("_py"), F.expr("x div 8").alias("_px"), F.col("y").alias("_ny"), F.col("x").alias("_nx"),
+                "n", *groups)
+            frontier = (frontier.withColumnsRenamed({"y": "_py", "x": "_px"}).join(children, ["_py", "_px", *groups])
+                        .withColumnsRenamed({"_ny": "y", "_nx": "x"}).drop("_py", "_px"))
+    found = frontier.withColumnsRenamed({"y": "_y", "x": "_x"}).join(placed, ["_y", "_x", *groups])
+    d = haversine_km(F.col(point_lat), F.col(point_lon), F.col("_clat"), F.col("_clon"), earth_radius_km)
+    nearest = Window.partitionBy(*part).orderBy(F.col(distance_col).asc(), F.col(tie_break).asc())
+    ranked = found.withColumn(distance_col, d).withColumn(rank_col, F.row_number().over(nearest)).where(F.col(rank_col) <= k)
+    return _checkpoint(ranked.drop("_clat", "_clon", "_y", "_x"))
 
 
 def ordered_topk(knn: DataFrame, keys: list[str], fields: list[str], rank_col: str = "rank",

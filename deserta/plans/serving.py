@@ -87,15 +87,14 @@ def capable_services(located: DataFrame) -> DataFrame:
     return located.withColumn("service", F.explode(F.filter(F.array(*flags), lambda x: x.isNotNull())))
 
 
-def knn_capable_long(geo: DataFrame, located_capability: DataFrame, k: int = 3,
-                     r0_km: float | None = None) -> DataFrame:
+def knn_capable_long(geo: DataFrame, located_capability: DataFrame, k: int = 3) -> DataFrame:
     """J6 (long form): k nearest capable facilities per (district, service), ranked 1..k."""
     pts = capable_services(located_capability).select("unique_id", "name", "facility_latitude",
                                                       "facility_longitude", "service")
     centers = geo.select(*KEYS, "latitude", "longitude").withColumn(
         "service", F.explode(F.array(*[F.lit(s) for s in SERVICES])))
     return knn_join(centers, KEYS, "latitude", "longitude", pts, "facility_latitude", "facility_longitude", k=k,
-                    group_col="service", earth_radius_km=SERVING_RADIUS_KM, r0_km=r0_km)
+                    group_col="service", earth_radius_km=SERVING_RADIUS_KM)
 
 
 def capable_facilities(geo: DataFrame, knn_long: DataFrame) -> DataFrame:
@@ -196,7 +195,7 @@ DETAIL_COLUMNS = ("description", "specialties", "equipment", "procedure", "capab
 
 
 def nearest_facilities(geo: DataFrame, locations: DataFrame, capability: DataFrame, knn_long: DataFrame,
-                       k: int = 3, r0_km: float | None = None) -> DataFrame:
+                       k: int = 3) -> DataFrame:
     """T1 for every district and category at once: the k nearest capable facilities with detail columns.
 
     For category 'overall' with no capable facility at all, the k nearest facilities of any capability are
@@ -207,7 +206,7 @@ def nearest_facilities(geo: DataFrame, locations: DataFrame, capability: DataFra
                   .join(matched.filter(F.col("category") == "overall").select(*KEYS).distinct(), KEYS, "left_anti"))
     fallback = (knn_join(no_overall, KEYS, "latitude", "longitude",
                          locations.select("unique_id", "name", "facility_latitude", "facility_longitude"),
-                         "facility_latitude", "facility_longitude", k=k, r0_km=r0_km)
+                         "facility_latitude", "facility_longitude", k=k)
                 .withColumn("category", F.lit("overall")).withColumn("matched_capability", F.lit(False)))
     ranked = matched.select(*KEYS, "category", "rank", "unique_id", "distance_kilometers", "matched_capability") \
         .unionByName(fallback.select(*KEYS, "category", "rank", "unique_id", "distance_kilometers",

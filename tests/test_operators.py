@@ -124,7 +124,7 @@ def test_knn_equals_brute_force(spark):
     p = Q.serving_inputs(spark, SF001)
     located = SV.attach_capability(p["loc"], p["cap"])
     got = {(r.district_key, r.service, r.rank): (r.unique_id, round(r.distance_kilometers, 6))
-           for r in SV.knn_capable_long(p["geo"], located, k=3, r0_km=5.0).collect()}
+           for r in SV.knn_capable_long(p["geo"], located, k=3).collect()}
     pts = SV.capable_services(located).collect()
     want = {}
     for g in p["geo"].collect():
