@@ -3,11 +3,12 @@
 A FeatureCollection document is one JSON value, so Spark reads each such file in one task (``multiLine``); the
 work is bounded by the file, and many files read in parallel. For large boundary sets write one Feature per line
 (GeoJSON text sequence) and use ``fmt="lines"``: those files split across tasks like any line-delimited JSON.
+Features of several collections are numbered on through the files in order of their names, so an index is unique.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -23,9 +24,12 @@ _FEATURE = StructType([
 def scan_geojson(spark: SparkSession, path: str, fmt: str = "collection") -> DataFrame:
     if fmt == "collection":
         doc = spark.read.schema(StructType([StructField("features", ArrayType(StringType()))])).option("multiLine", True) \
-            .json(path)
-        feats = doc.select(F.posexplode("features").alias("feature_index", "_f")) \
-            .select("feature_index", F.from_json("_f", _FEATURE).alias("f"))
+            .json(path).select("features", F.col("_metadata.file_path").alias("_file"))
+        before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
+        files = doc.groupBy("_file").agg(F.sum(F.greatest(F.size("features"), F.lit(0))).alias("_n"))
+        feats = doc.join(files.select("_file", F.coalesce(before, F.lit(0)).alias("_first")), "_file") \
+            .select("_first", F.posexplode("features").alias("_at", "_f")) \
+            .select((F.col("_first") + F.col("_at")).alias("feature_index"), F.from_json("_f", _FEATURE).alias("f"))
     elif fmt == "lines":
         feats = spark.read.schema(_FEATURE).json(path).select(
             F.monotonically_increasing_id().alias("feature_index"), F.struct("*").alias("f"))

@@ -109,3 +109,17 @@ def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_features_of_several_files_have_distinct_indexes(spark):
+    from deserta.sources.geojson import scan_geojson
+
+    def feature(name):
+        return {"type": "Feature", "properties": {"NAME_1": "s", "NAME_2": name},
+                "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [0, 1], [1, 1], [0, 0]]]}}
+    root = tempfile.mkdtemp(prefix="deserta-geo-")
+    for f, names in (("b.json", "cd"), ("a.json", "ab"), ("c.json", "")):
+        with open(os.path.join(root, f), "w") as out:
+            json.dump({"type": "FeatureCollection", "features": [feature(n) for n in names]}, out)
+    got = sorted((r["feature_index"], r["NAME_2"]) for r in scan_geojson(spark, root).collect())
+    assert got == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
