@@ -88,10 +88,18 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def by_range(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """First position of each of ``buckets`` equal hash ranges in the sorted keys, and the end."""
-    edges = np.array([-(-(i << KEY_BITS) // buckets) for i in range(1, buckets)], np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def by_range(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted keys' runs of one bucket each (``buckets`` equal hash ranges): bucket numbers, first positions and end.
+
+    The work grows with the keys, not with the buckets, of which a large table has millions.
+    """
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    half, n = C.U64(KEY_BITS // 2), C.U64(buckets)
+    high, low = keys >> half, keys & C.U64((1 << KEY_BITS // 2) - 1)
+    number = ((high * n + (low * n >> half)) >> half).astype(np.int64)  # key * buckets >> KEY_BITS, within 64 bits
+    first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+    return number[first], np.append(first, len(keys))
 
 
 def shared_keys(blocks: DataFrame, keys_of, buckets: int) -> DataFrame:
@@ -103,13 +111,12 @@ def shared_keys(blocks: DataFrame, keys_of, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 keys, n = keys_of(*unpack(row))
-                at = by_range(keys, buckets)
-                full = np.flatnonzero(np.diff(at))
+                full, at = by_range(keys, buckets)
                 packed, n = pack_keys(keys), np.minimum(n, 65535).astype(np.uint16)
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array(full, pa.int64()), "block": pa.array([row["block"]] * len(full), pa.int64()),
-                    "keys": pa.array([packed[6 * at[b]:6 * at[b + 1]] for b in full], pa.binary()),
-                    "counts": pa.array([n[at[b]:at[b + 1]].tobytes() for b in full], pa.binary())})
+                    "keys": pa.array([packed[6 * a:6 * z] for a, z in zip(at[:-1], at[1:])], pa.binary()),
+                    "counts": pa.array([n[a:z].tobytes() for a, z in zip(at[:-1], at[1:])], pa.binary())})
 
     def count(table: pa.Table) -> pa.Table:
         raw = table.column("keys").to_pylist()

@@ -10,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001, assert_same
-from deserta.llm import (decontaminate, dedup_suffix, license_scan, mixing, ngram_join, pii, quality_rules, secret_scan,
-                         toxicity, url_filter)
+from deserta.llm import (blocks, decontaminate, dedup_suffix, license_scan, mixing, ngram_join, pii, quality_rules,
+                         secret_scan, toxicity, url_filter)
 
 PASSAGE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix a big jar of pink ink for vexed kings"
 HARD = [
@@ -365,3 +365,12 @@ def test_oracles(spark, duck001):
 
     for name, sql in llm_oracles().items():
         assert_same(E.queries()[name](spark, SF001), duck001.sql(sql).df())
+
+
+def test_bucket_numbers_at_any_number_of_buckets():
+    keys = np.unique(np.append(np.random.default_rng(1).integers(0, 1 << 48, 5000, dtype=np.uint64),
+                               np.array([0, (1 << 48) - 1], np.uint64)))
+    for buckets in (1, 3, 65537, 12_500_001):
+        number, at = blocks.by_range(keys, buckets)
+        assert np.repeat(number, np.diff(at)).tolist() == [int(k) * buckets >> 48 for k in keys]
+    assert [len(x) for x in blocks.by_range(keys[:0], 8)] == [0, 1]
