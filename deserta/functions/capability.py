@@ -40,12 +40,22 @@ PROMPT_RULES = (
     "Assess the facility below from its documented fields only. For each service category decide whether it is "
     "capable, limited, not_capable or unknown, with high, medium or low confidence, a short evidence list taken "
     "from the fields, and the main limitation.\n"
-    "- capable: several fields consistently document diagnosis or treatment for the category.\n"
+    "Rules:\n"
+    "- Judge what is documented as available, not how good the care or its results are.\n"
+    "- Never assume staff, equipment, procedures, services or capacity that no field mentions.\n"
+    "- capable: several fields agree on meaningful diagnosis or treatment for the category.\n"
     "- limited: basic screening, routine care, stabilisation or referral only.\n"
-    "- not_capable: the fields state the service is not offered.\n"
-    "- unknown: nothing documented.\n"
-    "Categories: maternal and neonatal care; diabetes care; hypertension care; nutrition services; cancer "
-    "screening. Rate overall data confidence from completeness and specificity.\n"
+    "- not_capable: the fields say outright that the service is not offered.\n"
+    "- unknown: the fields do not say enough.\n"
+    "- Evidence is brief and quotes the fields.\n"
+    "Categories:\n"
+    "- maternal_neonatal_care: care before birth, delivery, obstetric emergencies, C-section, stabilising and caring "
+    "for newborns.\n"
+    "- diabetes_care: glucose tests, diagnosis, medication, follow-up and treating complications.\n"
+    "- hypertension_care: blood-pressure checks, diagnosis, medication, follow-up and treating complications.\n"
+    "- nutrition_services: finding malnutrition, BMI or growth checks, anemia, counselling, supplements and referral.\n"
+    "- cancer_screening: screening for cervical, breast and oral cancer, pathology and referral for diagnosis.\n"
+    "Rate overall data confidence from completeness, specificity and internal consistency.\n"
 )
 PROMPT_FIELDS = (("Facility name", "name", "unknown"), ("Description", "description", "none"),
                  ("Specialties", "specialties", "none"), ("Equipment", "equipment", "none"),

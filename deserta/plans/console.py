@@ -228,3 +228,27 @@ def boundary_properties(boundaries: DataFrame, planning: DataFrame, category: st
         F.coalesce(F.col("NAME_2"), pick("district", F.lit("Unreported district"))).alias("boundary_district"),
         F.coalesce(F.col("NAME_1"), pick("state", F.lit("Unreported state"))).alias("boundary_state"),
     )
+
+
+def boundary_features(boundaries: DataFrame, planning: DataFrame, category: str = "overall",
+                      cell_deg: float = 1.0) -> DataFrame:
+    """J8 as GeoJSON: (feature_index, id, feature) of every boundary, with its geometry and the properties above. The id is
+    the district's key, or names and index of an unreported boundary."""
+    props = boundary_properties(boundaries, planning, category, cell_deg)
+    j = props.join(boundaries.select("feature_index", "geometry"), "feature_index")
+    unreported = F.concat_ws(":", F.lit("unreported"), "boundary_state", "boundary_district", "feature_index")
+    named = j.withColumn("id", F.when(F.col("is_reported"), F.col("key")).otherwise(unreported))
+    return named.select("feature_index", "id", F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.col("id"),
+        F.struct(F.lit("MultiPolygon").alias("type"), F.col("geometry").alias("coordinates")).alias("geometry"),
+        F.struct(*[c for c in props.columns if c != "feature_index"]).alias("properties"))).alias("feature"))
+
+
+def district_center_features(planning: DataFrame) -> DataFrame:
+    """The Point Feature of each selectable district, where both coordinates are known and not zero."""
+    at = planning.where("longitude <> 0 AND latitude <> 0 AND NOT isnan(longitude) AND NOT isnan(latitude)")
+    key = F.concat_ws(":", F.col("state_ut"), F.col("district_name"))
+    return at.select(key.alias("key"), F.to_json(F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.lit("Point").alias("type"), F.array("longitude", "latitude").alias("coordinates")).alias("geometry"),
+        F.struct(key.alias("key"), F.trim("district_name").alias("district")).alias("properties"))).alias("feature"))

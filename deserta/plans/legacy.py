@@ -86,6 +86,21 @@ def priority_rank(label: Column) -> Column:
             .when(v.contains("low"), F.lit(1)).otherwise(F.lit(0)))
 
 
+def recommended_action(rank: Column) -> Column:
+    """The action text of a priority rank."""
+    # The three texts.
+    return (F.when(rank >= 3, F.lit("Prioritize immediate field validation and intervention planning for this cluster."))
+            .when(rank == 2, F.lit("Queue this cluster for near-term service readiness review."))
+            .otherwise(F.lit("Monitor this cluster and focus urgent resources on higher-priority circles.")))
+
+
+def score_list(category: str) -> Column:
+    """The category's score fields as an array of (label, value); NULL stays NULL."""
+    _, fields = LEGACY_CATEGORIES.get(category, LEGACY_CATEGORIES["overall"])
+    return F.array(*[F.struct(F.lit(label).alias("label"), F.col(f).cast("double").alias("value"))
+                     for f, label in fields])
+
+
 def legacy_points(rows: DataFrame, category: str = "overall", geo: DataFrame | None = None) -> DataFrame:
     """P17 + F3 flag: one point per row with severity, confidence, data-poor flag, priority and impact.
     Coordinates: the district's geocoded center from ``geo`` (keys district_key/state_key) when given, else J9."""
@@ -115,16 +130,14 @@ def legacy_points(rows: DataFrame, category: str = "overall", geo: DataFrame | N
         (households < DATA_POOR_HOUSEHOLDS).alias("data_poor"),
         prio.alias("intervention_priority"), priority_rank(prio).alias("priority_rank"),
         coerce_number("estimated_population_impact").alias("population_impact"),
+        recommended_action(priority_rank(prio)).alias("recommended_action"), score_list(category).alias("scores"),
     )
 
 
 def legacy_scores(rows: DataFrame, category: str = "overall") -> DataFrame:
     """P17 scores: the category's score fields in long form (id, label, value); NULL stays NULL."""
-    _, fields = LEGACY_CATEGORIES.get(category, LEGACY_CATEGORIES["overall"])
-    items = F.array(*[F.struct(F.lit(label).alias("label"), F.col(f).cast("double").alias("value"))
-                      for f, label in fields])
     return rows.select(F.concat(coerce_string("district_name"), F.lit("||"), coerce_string("state_ut")).alias("id"),
-                       F.posexplode(items).alias("position", "s")).select("id", "position", "s.label", "s.value")
+                       F.posexplode(score_list(category)).alias("position", "s")).select("id", "position", "s.label", "s.value")
 
 
 def not_data_poor(points: DataFrame) -> DataFrame:
@@ -142,18 +155,23 @@ def cluster_cells(points: DataFrame, zoom: float = 4.0, cell_px: float = 64.0) -
 
 def weighted_cluster_rollup(points: DataFrame, key: str = "cluster_key") -> DataFrame:
     """Per cluster — sums, impact-weighted centroid (weight max(impact, 1)), strongest priority, max
-    severity, mean confidence, all-data-poor, member and state counts, and the largest-impact member as the
-    representative. One grouped aggregation; every aggregate is partial-able, so a hot cluster stays cheap."""
-    w = F.greatest(F.col("population_impact"), F.lit(1.0))
+    severity, mean confidence, all-data-poor, member and state counts, action text, and the largest-impact member as
+    the representative, with its scores. Coordinates (1e-7 degree), weights (1e-3) and confidences (1e-9) are summed as
+    integers, so the result does not depend on the order of the rows. One grouped aggregation; every aggregate is partial-able, so a hot cluster stays cheap."""
+    def whole(c: Column, scale: float, digits: int) -> Column:
+        return F.round(c * scale).cast(f"decimal({digits},0)")
+
+    w = whole(F.greatest(F.col("population_impact"), F.lit(1.0)), 1e3, 18)
     agg = points.groupBy(key).agg(
         F.sum("population_impact").alias("population_impact"), F.sum("households").alias("households"),
         F.sum("women").alias("women"), F.sum(w).alias("_w"),
-        F.sum(F.col("longitude") * w).alias("_wlon"), F.sum(F.col("latitude") * w).alias("_wlat"),
+        F.sum(whole(F.col("longitude"), 1e7, 10) * w).alias("_wlon"),
+        F.sum(whole(F.col("latitude"), 1e7, 10) * w).alias("_wlat"),
         F.max(F.struct("priority_rank", "intervention_priority")).alias("_p"),
-        F.max("severity").alias("severity"), F.avg("confidence").alias("confidence"),
+        F.max("severity").alias("severity"), F.sum(whole(F.col("confidence"), 1e9, 10)).alias("_confidence"),
         F.bool_and("data_poor").alias("data_poor"), F.count(F.lit(1)).alias("member_count"),
         F.count_distinct("state").alias("state_count"),
-        F.max(F.struct("population_impact", F.col("id").alias("_id"), "district", "state", "risk_label"))
+        F.max(F.struct("population_impact", F.col("id").alias("_id"), "district", "state", "risk_label", "scores"))
         .alias("_rep"),
     )
     n = F.col("member_count")
@@ -164,11 +182,13 @@ def weighted_cluster_rollup(points: DataFrame, key: str = "cluster_key") -> Data
         .alias("district"),
         F.when(n == 1, F.col("_rep.state")).otherwise(F.concat(F.col("state_count").cast("string"), F.lit(" states")))
         .alias("state"),
-        (F.col("_wlat") / F.col("_w")).alias("latitude"), (F.col("_wlon") / F.col("_w")).alias("longitude"),
+        *[(F.col(c).cast("double") / F.col("_w").cast("double") / 1e7).alias(name)
+          for c, name in (("_wlat", "latitude"), ("_wlon", "longitude"))],
         "households", "women",
         F.when(n == 1, F.col("_rep.risk_label")).otherwise(F.lit("Aggregated care desert signal")).alias("risk_label"),
-        "severity", "confidence", "data_poor", strongest.alias("intervention_priority"),
+        "severity", (F.col("_confidence").cast("double") / n / 1e9).alias("confidence"), "data_poor", strongest.alias("intervention_priority"),
         F.col("_p.priority_rank").alias("priority_rank"), "population_impact", "member_count",
+        recommended_action(F.col("_p.priority_rank")).alias("recommended_action"), F.col("_rep.scores").alias("scores"),
     )
 
 

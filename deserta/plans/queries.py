@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import functools
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 from deserta.plans import indicators as I
 from deserta.plans.registry import register
-from deserta.operators.quality import key_violations
+from deserta.operators.quality import conform_schema, key_violations
 from deserta.sources import fixture_sql as S
 from deserta.sources import fixtures as FX
 
@@ -17,29 +20,26 @@ _IND_DOUBLES = tuple(c for c in I.INDICATOR_COLUMNS if c not in (
 # ---- step 1: survey -> indicators ---------------------------------------------------------------------------------
 
 def indicators(spark: SparkSession, sf: str, base: str = "customer"):
-    return I.care_desert_indicators(I.nfhs_cleaned(FX.survey(spark, sf, base), allow_missing=True))
-
-
-@register("nfhs_cleaned", f"""
-SELECT district_name, state_ut, households_surveyed, women_15_49_interviewed, institutional_birth_5y_pct,
-  births_delivered_by_csection_5y_pct,
-  {S.clean_pct_sql('mothers_who_had_at_least_4_anc_visits_lb5y_pct')} AS mothers_who_had_at_least_4_anc_visits_lb5y_pct,
-  births_attended_by_skilled_hp_5y_10_pct, w15_plus_with_high_or_very_high_gt_140_mg_dl_blood_sugar_or_pct,
-  w15_plus_with_high_bp_sys_gte_140_mmhg_and_or_dia_gte_90_mm_pct,
-  women_age_15_49_years_whose_bmi_bmi_is_underweight_bmi_lt_1_pct,
-  women_age_30_49_years_ever_undergone_a_cervical_screen_pct, women_age_30_49_years_ever_undergone_a_breast_exam_pct,
-  women_age_30_49_years_ever_undergone_an_oral_cancer_exam_pct
-FROM ({S.survey_sql()}) raw""", doubles=(
-    "institutional_birth_5y_pct", "births_delivered_by_csection_5y_pct",
-    "mothers_who_had_at_least_4_anc_visits_lb5y_pct", "births_attended_by_skilled_hp_5y_10_pct",
+    return I.care_desert_indicators(I.nfhs_cleaned(FX.survey(spark, sf, base)))
+
+
+_SURVEY_CODED = ("mothers_who_had_at_least_4_anc_visits_lb5y_pct", *S.OTHER_CODED_COLUMNS)
+_SURVEY_DOUBLES = (
+    "institutional_birth_5y_pct", "births_delivered_by_csection_5y_pct", "births_attended_by_skilled_hp_5y_10_pct",
     "w15_plus_with_high_or_very_high_gt_140_mg_dl_blood_sugar_or_pct",
     "w15_plus_with_high_bp_sys_gte_140_mmhg_and_or_dia_gte_90_mm_pct",
     "women_age_15_49_years_whose_bmi_bmi_is_underweight_bmi_lt_1_pct",
     "women_age_30_49_years_ever_undergone_a_cervical_screen_pct",
     "women_age_30_49_years_ever_undergone_a_breast_exam_pct",
-    "women_age_30_49_years_ever_undergone_an_oral_cancer_exam_pct"))
+    "women_age_30_49_years_ever_undergone_an_oral_cancer_exam_pct",
+    *(c for c in S.OTHER_SURVEY_COLUMNS if c not in S.OTHER_CODED_COLUMNS))
+
+
+@register("nfhs_cleaned", "SELECT district_name, state_ut, households_surveyed, women_15_49_interviewed, "
+          + ", ".join(_SURVEY_DOUBLES) + ", " + ", ".join(f"{S.clean_pct_sql(c)} AS {c}" for c in _SURVEY_CODED)
+          + f" FROM ({S.survey_sql(others=True)}) raw", doubles=_SURVEY_DOUBLES + _SURVEY_CODED)
 def q_nfhs_cleaned(spark, sf):
-    return I.nfhs_cleaned(FX.survey(spark, sf), allow_missing=True)
+    return I.nfhs_cleaned(FX.survey(spark, sf))
 
 
 @register("care_desert_indicators", S.indicators_sql(), doubles=_IND_DOUBLES)
@@ -69,16 +69,21 @@ def q_key_violations(spark, sf):
     return key_violations(FX.master_inputs(spark, sf), ["district_name", "state_ut"])
 
 
+_MALFORMED = "CASE WHEN {k} % 9 = 0 THEN 'n/a' WHEN {k} % 10 = 0 THEN NULL ELSE ' ' || {k} || '.5' END"
+
+
 @register("conform_schema", f"""
-SELECT count(*) AS row_count, count(district_name) AS named_rows,
-  sum(households_surveyed) AS households_total
-FROM ({S.indicators_sql()}) i""", doubles=("households_total",))
+SELECT c_name AS district_name, try_cast({_MALFORMED.format(k='c_custkey')} AS double) AS households_surveyed,
+  cast(c_custkey AS double) AS women_15_49_interviewed, cast(c_nationkey AS varchar) AS state_ut,
+  cast(NULL AS double) AS cancer_screening_score
+FROM customer""", doubles=("households_surveyed", "women_15_49_interviewed", "cancer_screening_score"))
 def q_conform_schema(spark, sf):
-    from pyspark.sql import functions as F
-    df = indicators(spark, sf)
-    assert dict(df.dtypes)["households_surveyed"] == "double"
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.count("district_name").alias("named_rows"),
-                  F.sum("households_surveyed").alias("households_total"))
+    """Columns in another order and of other types, malformed numbers, one column too many and one missing."""
+    raw = FX.scan_parquet(spark, sf, "customer").selectExpr(
+        "c_custkey AS women_15_49_interviewed", "c_nationkey AS state_ut", "c_name AS district_name",
+        f"{_MALFORMED.format(k='c_custkey')} AS households_surveyed", "c_acctbal AS surplus")
+    return conform_schema(raw, "district_name STRING, state_ut STRING, households_surveyed DOUBLE, "
+                               "women_15_49_interviewed DOUBLE, cancer_screening_score DOUBLE")
 
 
 # ---- step 2: centers and the distance join ------------------------------------------------------------------------
@@ -131,10 +136,33 @@ def capability_table(spark: SparkSession, sf: str):
     return CP.facility_capability(FX.facilities(spark, sf))
 
 
+_PROMPT = (
+    "Assess the facility below from its documented fields only. For each service category decide whether it is "
+    "capable, limited, not_capable or unknown, with high, medium or low confidence, a short evidence list taken "
+    "from the fields, and the main limitation.\n"
+    "Rules:\n"
+    "- Judge what is documented as available, not how good the care or its results are.\n"
+    "- Never assume staff, equipment, procedures, services or capacity that no field mentions.\n"
+    "- capable: several fields agree on meaningful diagnosis or treatment for the category.\n"
+    "- limited: basic screening, routine care, stabilisation or referral only.\n"
+    "- not_capable: the fields say outright that the service is not offered.\n"
+    "- unknown: the fields do not say enough.\n"
+    "- Evidence is brief and quotes the fields.\n"
+    "Categories:\n"
+    "- maternal_neonatal_care: care before birth, delivery, obstetric emergencies, C-section, stabilising and caring "
+    "for newborns.\n"
+    "- diabetes_care: glucose tests, diagnosis, medication, follow-up and treating complications.\n"
+    "- hypertension_care: blood-pressure checks, diagnosis, medication, follow-up and treating complications.\n"
+    "- nutrition_services: finding malnutrition, BMI or growth checks, anemia, counselling, supplements and referral.\n"
+    "- cancer_screening: screening for cervical, breast and oral cancer, pathology and referral for diagnosis.\n"
+    "Rate overall data confidence from completeness, specificity and internal consistency.\n")
+
+
 def _prompt_sql() -> str:
-    rules = CAP.PROMPT_RULES.replace("'", "''")
-    parts = [f"'{rules}'"]
-    for label, col, default in CAP.PROMPT_FIELDS:
+    parts = [f"'{_PROMPT}'"]
+    for label, col, default in (("Facility name", "name", "unknown"), ("Description", "description", "none"),
+                                ("Specialties", "specialties", "none"), ("Equipment", "equipment", "none"),
+                                ("Procedures", "procedure", "none"), ("Capabilities", "capability", "none")):
         parts += [f"'\n{label}: '", f"coalesce({col}, '{default}')"]
     return f"SELECT unique_id, concat({', '.join(parts)}) AS assessment_prompt FROM ({S.facility_texts_sql()}) t"
 
@@ -231,6 +259,11 @@ def _names(df, col):
     return F.array_join(F.transform(col, lambda x: x["name"]), "|")
 
 
+def _meters(col):
+    """The distances of a facility list, in whole meters."""
+    return F.array_join(F.transform(col, lambda x: F.floor(x["distance_kilometers"] * 1000 + 0.5).cast("string")), "|")
+
+
 _CLOSEST = tuple(SV.CLOSEST_COLUMNS.values())
 _LIST_NAMES = tuple(f"{c}_names" for c in SV.FACILITY_LIST_COLUMNS.values())
 
@@ -284,7 +317,8 @@ def q_ordered_topk_lists(spark, sf):
 
 def _serving_scalar(df):
     cols = [c for c in df.columns if c not in SV.FACILITY_LIST_COLUMNS.values()]
-    return df.select(*cols, *[_names(df, F.col(c)).alias(f"{c}_names") for c in SV.FACILITY_LIST_COLUMNS.values()])
+    return df.select(*cols, *[_names(df, F.col(c)).alias(f"{c}_names") for c in SV.FACILITY_LIST_COLUMNS.values()],
+                     *[_meters(F.col(c)).alias(f"{c}_meters") for c in SV.FACILITY_LIST_COLUMNS.values()])
 
 
 _SERVING_DOUBLES = _IND_DOUBLES + ("latitude", "longitude", *_CLOSEST, "overall_availability_score",
@@ -394,32 +428,55 @@ _MAP_COLS = ("key", "district", "state", "intervention_priority_label", "interve
              "is_reported")
 
 
-@register("map_properties", f"""SELECT state_ut || ':' || district_name AS key, district_name AS district,
+def _map_sql(risk: str, lists: str, label: str) -> str:
+    return f"""SELECT state_ut || ':' || district_name AS key, district_name AS district,
   state_ut AS state, coalesce(intervention_priority, planning_priority_tier) AS intervention_priority_label,
   CASE WHEN planning_priority_tier IN ('Urgent', 'High', 'Watch') THEN planning_priority_tier ELSE 'Low' END
     AS intervention_level,
   planning_priority_tier AS planning_tier,
   coalesce(estimated_population_impact, cast(affected_population_proxy AS double)) AS population,
-  planning_priority_score AS priority_score, {_w('maternal_neonatal_risk')} AS risk_weight, primary_risk_driver,
-  'Nearest maternal capable facilities' AS capable_facilities_label, true AS is_reported,
-  maternal_capable_facilities_names AS list_names
-FROM {_PLAN} WHERE latitude IS NOT NULL AND longitude IS NOT NULL""", doubles=("population",))
+  planning_priority_score AS priority_score, {_w(risk)} AS risk_weight, primary_risk_driver,
+  '{label}' AS capable_facilities_label, true AS is_reported, {lists}_names AS list_names, {lists}_meters AS list_meters,
+  longitude, latitude
+FROM {_PLAN} WHERE latitude IS NOT NULL AND longitude IS NOT NULL"""
+
+
+_MAP_DOUBLES = ("population", "longitude", "latitude")
+
+
+def _map_lists(df):
+    """The facility list of map rows, from its JSON text, as names and meters."""
+    listed = F.from_json("capable_facilities_json", "array<struct<name:string,distance_kilometers:double>>")
+    return df.select(*_MAP_COLS, _names(df, listed).alias("list_names"), _meters(listed).alias("list_meters"),
+                     "longitude", "latitude")
+
+
+@register("map_properties", _map_sql("maternal_neonatal_risk", "maternal_capable_facilities",
+                                     "Nearest maternal capable facilities"), doubles=_MAP_DOUBLES)
 def q_map_properties(spark, sf):
-    mp = CO.map_properties(planning(spark, sf), "maternal")
-    return mp.select(*_MAP_COLS, F.array_join(F.transform("capable_facilities_list", lambda x: x["name"]), "|")
-                     .alias("list_names"))
+    return _map_lists(CO.map_properties(planning(spark, sf), "maternal"))
 
 
-@register("district_point_features", f"""SELECT state_ut || ':' || district_name AS key, 'Point' AS geometry_type,
-  longitude AS lon, latitude AS lat, planning_priority_tier AS tier
-FROM {_PLAN} WHERE latitude IS NOT NULL AND longitude IS NOT NULL""", doubles=("lon", "lat"))
+@register("district_point_features", _map_sql("overall_care_desert_risk", "capable_facilities", "Nearest capable facilities"),
+          doubles=_MAP_DOUBLES)
 def q_district_point_features(spark, sf):
-    f = CO.district_point_features(CO.map_properties(planning(spark, sf), "overall"))
-    j = F.col("feature")
-    return f.select("key", F.get_json_object(j, "$.geometry.type").alias("geometry_type"),
-                    F.get_json_object(j, "$.geometry.coordinates[0]").cast("double").alias("lon"),
-                    F.get_json_object(j, "$.geometry.coordinates[1]").cast("double").alias("lat"),
-                    F.get_json_object(j, "$.properties.planning_tier").alias("tier"))
+    """Every property of every Feature, read back."""
+    mp = CO.map_properties(planning(spark, sf), "overall")
+    properties = mp.select(*_MAP_COLS, "capable_facilities_json").schema.simpleString()
+    f = F.from_json("feature", f"struct<type:string,geometry:struct<type:string,coordinates:array<double>>,properties:{properties}>")
+    read = CO.district_point_features(mp).select(f.alias("f")).where("f.type = 'Feature' AND f.geometry.type = 'Point'")
+    return _map_lists(read.select("f.properties.*", F.col("f.geometry.coordinates")[0].alias("longitude"),
+                                  F.col("f.geometry.coordinates")[1].alias("latitude")))
+
+
+@register("district_center_features", f"""SELECT state_ut || ':' || district_name AS key, trim(district_name) AS district,
+  longitude, latitude FROM {_PLAN} WHERE longitude <> 0 AND latitude <> 0""", doubles=("longitude", "latitude"))
+def q_district_center_features(spark, sf):
+    f = CO.district_center_features(planning(spark, sf))
+    at = F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<double>")
+    return f.select(F.get_json_object("feature", "$.properties.key").alias("key"),
+                    F.get_json_object("feature", "$.properties.district").alias("district"),
+                    at[0].alias("longitude"), at[1].alias("latitude"))
 
 
 def _label_sql(c):
@@ -486,28 +543,68 @@ def q_map_bounds(spark, sf):
 
 # ---- step 7: boundary polygons ---------------------------------------------------------------------------------------
 
+_SHAPE_SQL = """blon - 0.3 AS min_longitude, CASE WHEN s % 3 = 0 THEN blon + 20.3 ELSE blon + 0.3 END AS max_longitude,
+  blat - 0.3 AS min_latitude, blat + 0.3 AS max_latitude, CASE WHEN s % 3 = 0 THEN 2 ELSE 1 END AS polygons,
+  CASE WHEN s % 4 = 0 THEN 2 ELSE 1 END AS first_polygon_rings,
+  CASE WHEN s % 4 = 0 THEN blon - 0.1 END AS hole_longitude, CASE WHEN s % 3 = 0 THEN blat - 0.3 END AS far_latitude"""
+_SHAPE_DOUBLES = ("min_longitude", "max_longitude", "min_latitude", "max_latitude", "hole_longitude", "far_latitude")
+
+
+def _shape(geom):
+    from deserta.operators.polygon import geometry_bbox
+
+    x0, y0, x1, y1 = geometry_bbox(geom)
+    return [x0.alias("min_longitude"), x1.alias("max_longitude"), y0.alias("min_latitude"), y1.alias("max_latitude"),
+            F.size(geom).alias("polygons"), F.size(geom[0]).alias("first_polygon_rings"),
+            F.get(F.get(F.get(F.get(geom, 0), 1), 0), 0).alias("hole_longitude"),
+            F.get(F.get(F.get(F.get(geom, 1), 0), 0), 1).alias("far_latitude")]
+
+
 @register("point_in_polygon_join", S.boundary_match_sql())
 def q_point_in_polygon_join(spark, sf):
     return CO.boundary_matches(FX.boundaries(spark, sf), planning(spark, sf))
 
 
-@register("unreported_boundaries", f"""
-WITH m AS ({S.boundary_match_sql()}), p AS ({S.planning_sql()})
-SELECT b.feature_index, coalesce(m.key, '') AS key,
-  CASE WHEN m.key IS NULL THEN coalesce(b.NAME_2, 'Unreported district') ELSE p.district_name END AS district,
-  CASE WHEN m.key IS NULL THEN coalesce(b.NAME_1, 'Unreported state') ELSE p.state_ut END AS state,
-  CASE WHEN m.key IS NULL THEN 'Unreported' WHEN p.planning_priority_tier IN ('Urgent', 'High', 'Watch')
-       THEN p.planning_priority_tier ELSE 'Low' END AS intervention_level,
-  CASE WHEN m.key IS NULL THEN 'No district indicator record' ELSE p.primary_risk_driver END AS primary_risk_driver,
-  m.key IS NOT NULL AS is_reported,
-  coalesce(b.NAME_2, CASE WHEN m.key IS NULL THEN 'Unreported district' ELSE p.district_name END) AS boundary_district,
-  coalesce(b.NAME_1, CASE WHEN m.key IS NULL THEN 'Unreported state' ELSE p.state_ut END) AS boundary_state
-FROM ({S.boundaries_sql()}) b LEFT JOIN m ON m.feature_index = b.feature_index
-  LEFT JOIN p ON m.key = p.state_ut || ':' || p.district_name""")
+def _boundary_sql(more: str = "") -> str:
+    def pick(col, default):
+        return f"CASE WHEN m.key IS NULL THEN {default} ELSE {col} END"
+    return f"""
+WITH m AS ({S.boundary_match_sql()}),
+p AS ({_map_sql("overall_care_desert_risk", "capable_facilities", "Nearest capable facilities")})
+SELECT b.feature_index, coalesce(m.key, '') AS key, {pick('p.district', "coalesce(b.NAME_2, 'Unreported district')")} AS district,
+  {pick('p.state', "coalesce(b.NAME_1, 'Unreported state')")} AS state,
+  {pick('p.intervention_priority_label', "'Unreported'")} AS intervention_priority_label,
+  {pick('p.intervention_level', "'Unreported'")} AS intervention_level, {pick('p.planning_tier', "'Monitor'")} AS planning_tier,
+  {pick('p.population', 'cast(0 AS double)')} AS population, {pick('p.priority_score', '0')} AS priority_score,
+  {pick('p.risk_weight', '0')} AS risk_weight,
+  {pick('p.primary_risk_driver', "'No district indicator record'")} AS primary_risk_driver,
+  'Nearest capable facilities' AS capable_facilities_label, m.key IS NOT NULL AS is_reported,
+  {pick('p.list_names', "''")} AS list_names, {pick('p.list_meters', "''")} AS list_meters,
+  coalesce(b.NAME_2, {pick('p.district', "'Unreported district'")}) AS boundary_district,
+  coalesce(b.NAME_1, {pick('p.state', "'Unreported state'")}) AS boundary_state{more}
+FROM ({S.boundaries_sql()}) b LEFT JOIN m ON m.feature_index = b.feature_index LEFT JOIN p ON m.key = p.key"""
+
+
+def _boundary_lists(df):
+    listed = F.from_json("capable_facilities_json", "array<struct<name:string,distance_kilometers:double>>")
+    return df.withColumns({"list_names": _names(df, listed), "list_meters": _meters(listed)}).drop("capable_facilities_json")
+
+
+@register("unreported_boundaries", _boundary_sql(), doubles=("population",))
 def q_unreported_boundaries(spark, sf):
-    return CO.boundary_properties(FX.boundaries(spark, sf), planning(spark, sf)).select(
-        "feature_index", "key", "district", "state", "intervention_level", "primary_risk_driver", "is_reported",
-        "boundary_district", "boundary_state")
+    return _boundary_lists(CO.boundary_properties(FX.boundaries(spark, sf), planning(spark, sf)))
+
+
+@register("boundary_features", f"""SELECT * EXCLUDE (b0, n1, n2),
+  CASE WHEN is_reported THEN key ELSE 'unreported:' || boundary_state || ':' || boundary_district || ':' || feature_index END AS id
+FROM ({_boundary_sql(f", b.s AS b0, b.NAME_1 AS n1, b.NAME_2 AS n2, {_SHAPE_SQL}")}) x""", doubles=("population", *_SHAPE_DOUBLES))
+def q_boundary_features(spark, sf):
+    """Every property and the geometry of every Feature, read back."""
+    b, p = FX.boundaries(spark, sf), planning(spark, sf)
+    properties = CO.boundary_properties(b, p).drop("feature_index").schema.simpleString()
+    kind = (f"struct<id:string,geometry:struct<coordinates:array<array<array<array<double>>>>>,properties:{properties}>")
+    read = CO.boundary_features(b, p).select("feature_index", F.from_json("feature", kind).alias("f"))
+    return _boundary_lists(read.select("feature_index", "f.id", "f.properties.*", *_shape(F.col("f.geometry.coordinates"))))
 
 
 # ---- step 8: older console -------------------------------------------------------------------------------------------
@@ -528,8 +625,9 @@ def clusters(spark: SparkSession, sf: str):
     return LG.weighted_cluster_rollup(LG.cluster_cells(legacy_points(spark, sf)))
 
 
-_LEGACY_POINT_DOUBLES = ("latitude", "longitude", "households", "women", "severity", "confidence", "population_impact")
-_CLUSTER_DOUBLES = ("latitude", "longitude", "households", "women", "severity", "confidence", "population_impact")
+_LEGACY_POINT_DOUBLES = ("latitude", "longitude", "households", "women", "severity", "confidence", "population_impact",
+                         "access_score", "cancer_score")
+_CLUSTER_DOUBLES = _LEGACY_POINT_DOUBLES
 
 
 @register("priority_join_v1", S.legacy_rows_sql(), doubles=_IND_DOUBLES + ("estimated_population_impact",))
@@ -537,19 +635,38 @@ def q_priority_join_v1(spark, sf):
     return legacy_rows(spark, sf).orderBy("state_ut", "district_name")
 
 
+def _real_states(rows: str, split: str) -> str:
+    """The rows with a state of the centroid table, or one that it lacks, in some spelling, by the district's number."""
+    s = "cast(regexp_extract(district_name, '([0-9]+) *$', 1) AS integer)"
+    names = "|".join([k for k, _, _ in S.CENTROIDS] + ["atlantis"])
+    bar = "'[|]'" if split == "split" else "'|'"
+    name = f"{split}({{0}}, {bar})[s % {len(S.CENTROIDS) + 1}{{1}}]".format(f"'{names}'", "" if split == "split" else " + 1")
+    return (f"SELECT district_name, CASE WHEN s % 2 = 0 THEN upper({name}) WHEN s % 3 = 0 THEN '  ' || {name} || ' ' "
+            f"ELSE {name} END AS state_ut FROM (SELECT district_name, {s} AS s FROM {rows if rows == '{rows}' else f'({rows})'} q0) q1")
+
+
 @register("state_centroid_lookup", f"""SELECT r.district_name, r.state_ut,
   coalesce(c.centroid_latitude, cast(22.9734 AS double)) AS centroid_latitude,
   coalesce(c.centroid_longitude, cast(78.6569 AS double)) AS centroid_longitude
-FROM ({S.legacy_rows_sql()}) r LEFT JOIN ({S.centroids_sql()}) c ON c.state_lc = lower(trim(r.state_ut))""",
+FROM ({_real_states(S.legacy_rows_sql(), "string_split")}) r LEFT JOIN ({S.centroids_sql()}) c
+  ON c.state_lc = lower(trim(r.state_ut))""",
           doubles=("centroid_latitude", "centroid_longitude"))
 def q_state_centroid_lookup(spark, sf):
-    return LG.state_centroid_lookup(legacy_rows(spark, sf)).select("district_name", "state_ut", "centroid_latitude",
+    rows = spark.sql(_real_states("{rows}", "split"), rows=legacy_rows(spark, sf))
+    return LG.state_centroid_lookup(rows).select("district_name", "state_ut", "centroid_latitude",
                                                                    "centroid_longitude")
 
 
-@register("legacy_signals", S.legacy_points_sql(), doubles=_LEGACY_POINT_DOUBLES)
+def _with_scores(df):
+    """The representative scores of the category ``overall`` as two columns."""
+    return df.withColumns({"access_score": F.col("scores")[0]["value"], "cancer_score": F.col("scores")[1]["value"]}) \
+        .drop("scores")
+
+
+@register("legacy_signals", f"SELECT *, {S._ACTION.format(r='priority_rank')} FROM ({S.legacy_points_sql()}) p",
+          doubles=_LEGACY_POINT_DOUBLES)
 def q_legacy_signals(spark, sf):
-    return legacy_points(spark, sf)
+    return _with_scores(legacy_points(spark, sf))
 
 
 def _scores_sql():
@@ -577,7 +694,7 @@ def q_cluster_cells(spark, sf):
 
 @register("weighted_cluster_rollup", S.cluster_rollup_sql(), doubles=_CLUSTER_DOUBLES)
 def q_weighted_cluster_rollup(spark, sf):
-    return clusters(spark, sf)
+    return _with_scores(clusters(spark, sf))
 
 
 @register("priority_band_counts", f"""SELECT count(*) FILTER (WHERE priority_rank >= 3) AS high,
@@ -604,42 +721,80 @@ def q_category_high_counts(spark, sf):
 @register("ranked_clusters", f"""SELECT * FROM ({S.cluster_rollup_sql()}) c WHERE NOT data_poor
 ORDER BY priority_rank DESC, population_impact DESC, cluster_key LIMIT 12""", doubles=_CLUSTER_DOUBLES)
 def q_ranked_clusters(spark, sf):
-    return LG.ranked_clusters(clusters(spark, sf))
+    return _with_scores(LG.ranked_clusters(clusters(spark, sf)))
 
 
 # ---- sources and sinks round trips (S5, S6) -------------------------------------------------------------------------
 
-@register("planning_json", f"""SELECT state_ut || ':' || district_name AS key, planning_priority_tier AS tier,
-  planning_priority_score AS score, service_gap_summary AS summary FROM {_PLAN}""")
+@register("planning_json", S.planning_sql(), doubles=_SERVING_DOUBLES)
 def q_planning_json(spark, sf):
+    """Every field of every document, read back."""
     from deserta.sources.tables import planning_json
 
-    docs = planning_json(planning(spark, sf))
-    v = F.col("value")
-    return docs.select(
-        F.concat_ws(":", F.get_json_object(v, "$.state_ut"), F.get_json_object(v, "$.district_name")).alias("key"),
-        F.get_json_object(v, "$.planning_priority_tier").alias("tier"),
-        F.get_json_object(v, "$.planning_priority_score").cast("int").alias("score"),
-        F.get_json_object(v, "$.service_gap_summary").alias("summary"))
-
-
-@register("scan_geojson", f"""SELECT NAME_1, NAME_2,
-  blon - 0.3 AS min_longitude, CASE WHEN s % 3 = 0 THEN blon + 20.3 ELSE blon + 0.3 END AS max_longitude,
-  blat - 0.3 AS min_latitude, blat + 0.3 AS max_latitude,
-  CASE WHEN s % 3 = 0 THEN 2 ELSE 1 END AS polygons,
-  CASE WHEN s % 4 = 0 THEN 2 ELSE 1 END AS first_polygon_rings
-FROM ({S.boundaries_sql()}) b""", doubles=("min_longitude", "max_longitude", "min_latitude", "max_latitude"))
+    rows = planning(spark, sf)
+    return _serving_scalar(planning_json(rows).select(F.from_json("value", rows.schema).alias("x")).select("x.*"))
+
+
+@register("materialize", S.master_view_sql(), doubles=(
+    "overall_availability_score", "estimated_population_impact", *_CLOSEST))
+def q_materialize(spark, sf):
+    """The master view as the full refresh writes it, read back."""
+    return refreshed(spark, sf)["healthcare_master_view"]
+
+
+@register("scan_served", "\nUNION ALL\n".join(f"SELECT '{name}' AS served, count(*) AS row_count FROM ({sql}) t" for name, sql in (
+    ("care_desert_indicators", S.indicators_sql()), ("facility_district_distances", S.distances_sql()),
+    ("facility_locations", S.locations_sql()), ("healthcare_master_view", S.master_view_sql()),
+    ("facility_capability", "SELECT * FROM part"))))
+def q_scan_served(spark, sf):
+    """The rows of every served table, through its view."""
+    counts = [spark.table(name).agg(F.lit(name).alias("served"), F.count("*").alias("row_count"))
+              for name in refreshed(spark, sf)]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
+def refreshed(spark, sf):
+    from deserta.plans.refresh import refresh_tables
+    from deserta.session import ensure_checkpoint_dir
+
+    return refresh_tables(FX.survey(spark, sf), FX.address_directory(spark, sf), FX.facilities(spark, sf),
+                          FX.master_inputs(spark, sf), f"{ensure_checkpoint_dir(spark).rstrip('/')}/served/{uuid.uuid4().hex}")
+
+
+@register("district_center_of", f"""SELECT latitude AS center_latitude, longitude AS center_longitude
+FROM ({S.geo_sql()}) g ORDER BY district_key, state_key LIMIT 1""", doubles=("center_latitude", "center_longitude"))
+def q_district_center_of(spark, sf):
+    """A3 for the first district by key, asked for in another spelling."""
+    dist = distance_table(spark, sf)
+    first = SV.district_geo(dist).orderBy("district_key", "state_key").first()
+    return SV.district_center_of(dist, f" {first['district_key'].lower()} ", first["state_key"].lower())
+
+
+@register("scan_geojson", f"SELECT feature_index, NAME_1, NAME_2, {_SHAPE_SQL} FROM ({S.boundaries_sql()}) b",
+          doubles=_SHAPE_DOUBLES)
 def q_scan_geojson(spark, sf):
-    import uuid
+    """One Feature per line, with its id."""
+    from deserta.session import ensure_checkpoint_dir
+    from deserta.sources.geojson import scan_geojson, to_geojson_features
 
-    from deserta.operators.polygon import geometry_bbox
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/geojson/{uuid.uuid4().hex}"
+    to_geojson_features(FX.boundaries(spark, sf)).write.text(path)
+    return scan_geojson(spark, path, fmt="lines").select("feature_index", "NAME_1", "NAME_2", *_shape(F.col("geometry")))
+
+
+@register("scan_geojson_collections", f"""SELECT row_number() OVER (ORDER BY s) - 1 AS feature_index, NAME_1, NAME_2, {_SHAPE_SQL}
+FROM ({S.boundaries_sql()}) b""", doubles=_SHAPE_DOUBLES)
+def q_scan_geojson_collections(spark, sf):
+    """FeatureCollection files of 40 districts each, numbered on through the files."""
     from deserta.session import ensure_checkpoint_dir
     from deserta.sources.geojson import scan_geojson, to_geojson_features
 
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/geojson/{uuid.uuid4().hex}"
-    to_geojson_features(FX.boundaries(spark, sf)).write.mode("overwrite").text(path)
-    b = scan_geojson(spark, path, fmt="lines")
-    x0, y0, x1, y1 = geometry_bbox(F.col("geometry"))
-    return b.select("NAME_1", "NAME_2", x0.alias("min_longitude"), x1.alias("max_longitude"),
-                    y0.alias("min_latitude"), y1.alias("max_latitude"),
-                    F.size("geometry").alias("polygons"), F.size(F.col("geometry")[0]).alias("first_polygon_rings"))
+    features = to_geojson_features(FX.boundaries(spark, sf))
+    s = F.get_json_object("value", "$.id").cast("long")
+    docs = (features.groupBy(F.lpad(F.floor(s / 40).cast("string"), 12, "0").alias("part"))
+            .agg(F.array_sort(F.collect_list(F.struct(s.alias("s"), "value"))).alias("all"))
+            .select("part", F.concat(F.lit('{"type":"FeatureCollection","features":['),
+                                     F.array_join(F.col("all.value"), ","), F.lit("]}")).alias("value")))
+    docs.write.partitionBy("part").text(path)
+    return scan_geojson(spark, path).select("feature_index", "NAME_1", "NAME_2", *_shape(F.col("geometry")))

@@ -10,12 +10,62 @@ D10 = "cast(10 as double)"
 D100 = "cast(100 as double)"
 
 
-def survey_sql(base: str = "customer") -> str:
+# The survey columns that no risk rule reads, in survey order, and those of them with coded text.
+OTHER_SURVEY_COLUMNS = (
+    "hh_member_covered_health_insurance_pct", "institutional_birth_in_public_facility_5y_pct",
+    "births_in_a_public_fac_that_were_delivered_by_csection_5y_pct",
+    "births_in_a_private_fac_that_were_delivered_by_csection_5y_pct",
+    "average_out_of_pocket_expenditure_per_delivery_in_a_public_fac",
+    "health_worker_ever_talked_to_female_non_users_about_family_pct",
+    "children_with_diarrhoea_2wk_taken_to_a_health_facility_or_h_pct",
+    "children_with_fever_or_symptoms_of_ari_2wk_taken_to_a_healt_pct",
+    "child_12_23m_fully_vaccinated_based_on_information_from_eit_pct",
+    "child_12_23m_who_received_most_of_their_vaccinations_in_a_p_pct",
+    "mothers_who_consumed_ifa_for_100_days_or_more_when_they_wer_pct",
+    "mothers_who_consumed_ifa_for_180_days_or_more_when_they_wer_pct",
+    "registered_pregnancies_for_which_the_mother_received_a_mcp_pct",
+    "mothers_who_had_an_anc_visit_in_the_first_trimester_lb5y_pct",
+    "mothers_who_received_pnc_from_a_doctor_nurse_lhv_anm_midwif_pct",
+    "children_who_received_pnc_from_a_doctor_nurse_lhv_anm_midwi_pct",
+    "child_u5_who_are_stunted_height_for_age_18_pct", "child_u5_who_are_wasted_weight_for_height_18_pct",
+    "non_pregnant_w15_49_who_are_anaemic_lt_12_0_g_dl_22_pct", "all_w15_49_who_are_anaemic_pct",
+    "hh_electricity_pct", "hh_improved_water_pct", "hh_use_improved_sanitation_pct",
+    "women_age_15_49_who_are_literate_pct", "population_below_age_15_years_pct",
+    "women_age_15_49_years_who_are_overweight_obese_bmi_gte_25_0_pct",
+    "w15_plus_who_use_any_kind_of_tobacco_pct", "w15_plus_who_consume_alcohol_pct",
+)
+OTHER_CODED_COLUMNS = (
+    "births_in_a_public_fac_that_were_delivered_by_csection_5y_pct",
+    "births_in_a_private_fac_that_were_delivered_by_csection_5y_pct",
+    "average_out_of_pocket_expenditure_per_delivery_in_a_public_fac",
+    "children_with_diarrhoea_2wk_taken_to_a_health_facility_or_h_pct",
+    "children_with_fever_or_symptoms_of_ari_2wk_taken_to_a_healt_pct",
+    "child_12_23m_fully_vaccinated_based_on_information_from_eit_pct",
+    "child_12_23m_who_received_most_of_their_vaccinations_in_a_p_pct",
+    "mothers_who_consumed_ifa_for_100_days_or_more_when_they_wer_pct",
+    "mothers_who_consumed_ifa_for_180_days_or_more_when_they_wer_pct",
+    "registered_pregnancies_for_which_the_mother_received_a_mcp_pct",
+    "mothers_who_had_an_anc_visit_in_the_first_trimester_lb5y_pct",
+    "mothers_who_received_pnc_from_a_doctor_nurse_lhv_anm_midwif_pct",
+    "children_who_received_pnc_from_a_doctor_nurse_lhv_anm_midwi_pct",
+    "child_u5_who_are_stunted_height_for_age_18_pct",
+    "child_u5_who_are_wasted_weight_for_height_18_pct",
+)
+
+
+def _coded(a: int) -> str:
+    x = f"cast(cast((k*{a}%1000)/{D10} AS decimal(5,1)) AS varchar)"
+    return (f"CASE WHEN k%17=0 THEN '*' WHEN k%11=0 THEN '(' || {x} || ')' WHEN k%13=0 THEN ' ' || {x} || ' ' "
+            f"ELSE {x} END")
+
+
+def survey_sql(base: str = "customer", others: bool = False) -> str:
     if base == "customer":
         src = "SELECT c_custkey AS k, c_name AS name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"
     else:
         src = "SELECT s_suppkey AS k, s_name AS name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"
-    x = f"cast(cast((k*31%1000)/{D10} AS decimal(5,1)) AS varchar)"
+    more = "".join(f",\n  {_coded(i) if c in OTHER_CODED_COLUMNS else f'CASE WHEN k%{i}=0 THEN NULL ELSE (k*{i}%900)/{D10} END'}"
+                   f" AS {c}" for i, c in enumerate(OTHER_SURVEY_COLUMNS, 34)) if others else ""
     return f"""
 SELECT
   CASE WHEN k%3=0 THEN '  ' || name || ' ' ELSE name END AS district_name,
@@ -24,8 +74,7 @@ SELECT
   350 + k*89%1000 AS women_15_49_interviewed,
   CASE WHEN k%7=0 THEN 95 ELSE 50+(k*37%500)/{D10} END AS institutional_birth_5y_pct,
   CASE WHEN k%7=0 THEN 18 WHEN k%31=0 THEN NULL ELSE (k*13%400)/{D10} END AS births_delivered_by_csection_5y_pct,
-  CASE WHEN k%17=0 THEN '*' WHEN k%11=0 THEN '(' || {x} || ')' WHEN k%13=0 THEN ' ' || {x} || ' ' ELSE {x} END
-    AS mothers_who_had_at_least_4_anc_visits_lb5y_pct,
+  {_coded(31)} AS mothers_who_had_at_least_4_anc_visits_lb5y_pct,
   CASE WHEN k%7=0 THEN 93 WHEN k%29=0 THEN NULL ELSE 45+(k*41%500)/{D10} END AS births_attended_by_skilled_hp_5y_10_pct,
   CASE WHEN k%14=0 THEN NULL WHEN k%7=0 THEN 8 WHEN k%23=0 THEN NULL ELSE 5+(k*7%200)/{D10} END
     AS w15_plus_with_high_or_very_high_gt_140_mg_dl_blood_sugar_or_pct,
@@ -33,7 +82,7 @@ SELECT
   CASE WHEN k%7=0 THEN 15 ELSE 10+(k*17%250)/{D10} END AS women_age_15_49_years_whose_bmi_bmi_is_underweight_bmi_lt_1_pct,
   CASE WHEN k%7=0 THEN 60 ELSE (k*19%700)/{D10} END AS women_age_30_49_years_ever_undergone_a_cervical_screen_pct,
   CASE WHEN k%7=0 THEN 60 ELSE (k*23%700)/{D10} END AS women_age_30_49_years_ever_undergone_a_breast_exam_pct,
-  CASE WHEN k%7=0 THEN 60 ELSE (k*29%700)/{D10} END AS women_age_30_49_years_ever_undergone_an_oral_cancer_exam_pct
+  CASE WHEN k%7=0 THEN 60 ELSE (k*29%700)/{D10} END AS women_age_30_49_years_ever_undergone_an_oral_cancer_exam_pct{more}
 FROM ({src}) s"""
 
 
@@ -309,6 +358,9 @@ def capable_wide_sql() -> str:
     names = ", ".join(
         f"coalesce(string_agg(k.name, '|' ORDER BY k.rank) FILTER (WHERE k.service = '{s}'), '') AS {_LISTS[s]}_names"
         for s in SERVICES_ORDER)
+    names += ", " + ", ".join(
+        f"coalesce(string_agg(cast(cast(floor(k.distance_kilometers * 1000 + 0.5) AS bigint) AS varchar), '|' ORDER BY k.rank) "
+        f"FILTER (WHERE k.service = '{s}'), '') AS {_LISTS[s]}_meters" for s in SERVICES_ORDER)
     closest = ", ".join(f"min(k.distance_kilometers) FILTER (WHERE k.service = '{s}' AND k.rank = 1) AS {c}"
                         for s, c in _CLOSEST.items())
     return f"""
@@ -355,7 +407,8 @@ def serving_join_sql() -> str:
 
     ind_cols = ", ".join(f"i.{c}" for c in INDICATOR_COLUMNS)
     closest = ", ".join(f"coalesce(cf.{c}, m.{c}) AS {c}" for c in _CLOSEST.values())
-    lists = ", ".join(f"coalesce(cf.{c}_names, '') AS {c}_names" for c in _LISTS.values())
+    lists = ", ".join(f"coalesce(cf.{c}_names, '') AS {c}_names, coalesce(cf.{c}_meters, '') AS {c}_meters"
+                      for c in _LISTS.values())
     return f"""
 SELECT {ind_cols}, g.latitude, g.longitude, g.facility_links, m.total_facilities, m.facilities_within_30km,
   m.facilities_within_60km, {closest}, m.overall_availability_score, m.overall_availability_category,
@@ -578,13 +631,33 @@ FROM ({indicators_sql('supplier')}) i JOIN ({master_inputs_sql()}) m
 WHERE i.overall_care_desert_risk IS NOT NULL"""
 
 
-def centroids_sql() -> str:
-    from deserta.plans.legacy import STATE_CENTROIDS
+# State, latitude, longitude.
+CENTROIDS = (
+    ("andhra pradesh", 15.9129, 79.74), ("arunachal pradesh", 28.218, 94.7278), ("assam", 26.2006, 92.9376),
+    ("bihar", 25.0961, 85.3131), ("chandigarh", 30.7333, 76.7794), ("chhattisgarh", 21.2787, 81.8661),
+    ("delhi", 28.7041, 77.1025), ("goa", 15.2993, 74.124), ("gujarat", 22.2587, 71.1924),
+    ("haryana", 29.0588, 76.0856), ("himachal pradesh", 31.1048, 77.1734), ("jammu and kashmir", 33.7782, 76.5762),
+    ("jharkhand", 23.6102, 85.2799), ("karnataka", 15.3173, 75.7139), ("kerala", 10.8505, 76.2711),
+    ("ladakh", 34.2268, 77.5619), ("lakshadweep", 10.5667, 72.6417), ("madhya pradesh", 22.9734, 78.6569),
+    ("maharashtra", 19.7515, 75.7139), ("manipur", 24.6637, 93.9063), ("meghalaya", 25.467, 91.3662),
+    ("mizoram", 23.1645, 92.9376), ("nagaland", 26.1584, 94.5624), ("odisha", 20.9517, 85.0985),
+    ("puducherry", 11.9416, 79.8083), ("punjab", 31.1471, 75.3412), ("rajasthan", 27.0238, 74.2179),
+    ("sikkim", 27.533, 88.5122), ("tamil nadu", 11.1271, 78.6569), ("telangana", 18.1124, 79.0193),
+    ("tripura", 23.9408, 91.9882), ("uttar pradesh", 26.8467, 80.9462), ("uttarakhand", 30.0668, 79.0193),
+    ("west bengal", 22.9868, 87.855),
+)
+
 
-    vals = ", ".join(f"('{k}', cast({v[0]!r} AS double), cast({v[1]!r} AS double))" for k, v in STATE_CENTROIDS.items())
+def centroids_sql() -> str:
+    vals = ", ".join(f"('{k}', cast({a!r} AS double), cast({b!r} AS double))" for k, a, b in CENTROIDS)
     return f"SELECT * FROM (VALUES {vals}) t(state_lc, centroid_latitude, centroid_longitude)"
 
 
+_ACTION = """CASE WHEN {r} >= 3 THEN 'Prioritize immediate field validation and intervention planning for this cluster.'
+       WHEN {r} = 2 THEN 'Queue this cluster for near-term service readiness review.'
+       ELSE 'Monitor this cluster and focus urgent resources on higher-priority circles.' END AS recommended_action"""
+
+
 def legacy_points_sql(risk_field: str = "overall_care_desert_risk") -> str:
     from deserta.plans.legacy import DEFAULT_CENTROID
 
@@ -604,7 +677,7 @@ SELECT id, district, state, latitude, longitude, households, women, risk_label,
   households < 500 AS data_poor, intervention_priority,
   CASE WHEN contains(lower(intervention_priority), 'critical') THEN 3 WHEN contains(lower(intervention_priority), 'high')
        THEN 2 WHEN contains(lower(intervention_priority), 'low') THEN 1 ELSE 0 END AS priority_rank,
-  population_impact
+  population_impact, access_score, cancer_score
 FROM (
   SELECT {js('r.district_name')} || '||' || {js('r.state_ut')} AS id,
     CASE WHEN {js('r.district_name')} <> '' THEN {js('r.district_name')} ELSE 'Unknown district' END AS district,
@@ -613,7 +686,8 @@ FROM (
     coalesce(g.longitude, c.centroid_longitude, cast({DEFAULT_CENTROID[1]!r} AS double)) AS longitude,
     {h} AS households, coalesce(cast(r.women_15_49_interviewed AS double), 0) AS women,
     {risk} AS risk_label, {prio} AS intervention_priority,
-    coalesce(cast(r.estimated_population_impact AS double), 0) AS population_impact
+    coalesce(cast(r.estimated_population_impact AS double), 0) AS population_impact,
+    r.maternal_neonatal_access_score AS access_score, r.cancer_screening_score AS cancer_score
   FROM ({legacy_rows_sql()}) r
   LEFT JOIN ({centroids_sql()}) c ON c.state_lc = lower({js('r.state_ut')})
   LEFT JOIN ({geo_sql()}) g ON g.district_key = upper(trim(r.district_name)) AND g.state_key = upper(trim(r.state_ut))
@@ -639,17 +713,20 @@ def cluster_rollup_sql() -> str:
 SELECT cluster_key, rep.id AS representative_id,
   CASE WHEN member_count = 1 THEN rep.district ELSE cast(member_count AS varchar) || ' districts' END AS district,
   CASE WHEN member_count = 1 THEN rep.state ELSE cast(state_count AS varchar) || ' states' END AS state,
-  wlat / w AS latitude, wlon / w AS longitude, households, women,
+  wlat::DOUBLE / w::DOUBLE / 10000000 AS latitude, wlon::DOUBLE / w::DOUBLE / 10000000 AS longitude, households, women,
   CASE WHEN member_count = 1 THEN rep.risk ELSE 'Aggregated care desert signal' END AS risk_label,
-  severity, confidence, data_poor,
+  severity, confidence::DOUBLE / member_count / 1000000000 AS confidence, data_poor,
   CASE WHEN pr.r > 0 THEN pr.p ELSE 'Unknown Priority' END AS intervention_priority, pr.r AS priority_rank,
-  population_impact, member_count
+  population_impact, member_count, rep.a AS access_score, rep.c AS cancer_score, {_ACTION.format(r='pr.r')}
 FROM (
   SELECT cluster_key, sum(population_impact) AS population_impact, sum(households) AS households,
-    sum(women) AS women, sum(greatest(population_impact, 1)) AS w,
-    sum(longitude * greatest(population_impact, 1)) AS wlon, sum(latitude * greatest(population_impact, 1)) AS wlat,
+    sum(women) AS women, sum(w3) AS w,
+    sum(cast(round(longitude * 10000000) AS hugeint) * w3) AS wlon,
+    sum(cast(round(latitude * 10000000) AS hugeint) * w3) AS wlat,
     max(struct_pack(r := priority_rank, p := intervention_priority)) AS pr, max(severity) AS severity,
-    avg(confidence) AS confidence, bool_and(data_poor) AS data_poor, count(*) AS member_count,
+    sum(cast(round(confidence * 1000000000) AS hugeint)) AS confidence, bool_and(data_poor) AS data_poor, count(*) AS member_count,
     count(DISTINCT state) AS state_count,
-    max(struct_pack(i := population_impact, id := id, district := district, state := state, risk := risk_label)) AS rep
-  FROM ({cluster_cells_sql()}) c GROUP BY cluster_key) a"""
+    max(struct_pack(i := population_impact, id := id, district := district, state := state, risk := risk_label,
+                    a := access_score, c := cancer_score)) AS rep
+  FROM (SELECT *, cast(round(greatest(population_impact, 1) * 1000) AS hugeint) AS w3 FROM ({cluster_cells_sql()}) q) c
+  GROUP BY cluster_key) a"""

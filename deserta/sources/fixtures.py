@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deserta.functions import risk as R
+from deserta.plans.indicators import CLEANED_TEXT_COLUMNS, SURVEY_COLUMNS
 from deserta.sources.tables import scan_parquet
 
 D10, D100 = 10.0, 100.0
@@ -40,7 +41,14 @@ def _survey_base(spark: SparkSession, sf_dir: str, base: str) -> DataFrame:
 
 def survey(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFrame:
     """Raw district survey rows keyed by customer (risk queries) or supplier (planning queries)."""
-    x = "cast(cast((k * 31 % 1000) / 10D AS decimal(5,1)) AS string)"
+    def coded(a: int) -> str:
+        x = f"cast(cast((k * {a} % 1000) / 10D AS decimal(5,1)) AS string)"
+        return (f"CASE WHEN k % 17 = 0 THEN '*' WHEN k % 11 = 0 THEN concat('(', {x}, ')') "
+                f"WHEN k % 13 = 0 THEN concat(' ', {x}, ' ') ELSE {x} END")
+
+    def plain(a: int) -> str:
+        return f"CASE WHEN k % {a} = 0 THEN NULL ELSE (k * {a} % 900) / 10D END"
+
     return _survey_base(spark, sf_dir, base).selectExpr(
         "CASE WHEN k % 3 = 0 THEN concat('  ', name, ' ') ELSE name END AS district_name",
         "n_name AS state_ut",
@@ -48,8 +56,7 @@ def survey(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFram
         "350 + k * 89 % 1000 AS women_15_49_interviewed",
         f"CASE WHEN k % 7 = 0 THEN 95D ELSE 50 + (k * 37 % 500) / 10D END AS {R.INSTITUTIONAL}",
         f"CASE WHEN k % 7 = 0 THEN 18D WHEN k % 31 = 0 THEN NULL ELSE (k * 13 % 400) / 10D END AS {R.CSECTION}",
-        f"CASE WHEN k % 17 = 0 THEN '*' WHEN k % 11 = 0 THEN concat('(', {x}, ')') "
-        f"WHEN k % 13 = 0 THEN concat(' ', {x}, ' ') ELSE {x} END AS mothers_who_had_at_least_4_anc_visits_lb5y_pct",
+        f"{coded(31)} AS mothers_who_had_at_least_4_anc_visits_lb5y_pct",
         f"CASE WHEN k % 7 = 0 THEN 93D WHEN k % 29 = 0 THEN NULL ELSE 45 + (k * 41 % 500) / 10D END AS {R.SKILLED}",
         f"CASE WHEN k % 14 = 0 THEN NULL WHEN k % 7 = 0 THEN 8D WHEN k % 23 = 0 THEN NULL "
         f"ELSE 5 + (k * 7 % 200) / 10D END AS {R.BLOOD_SUGAR}",
@@ -58,6 +65,8 @@ def survey(spark: SparkSession, sf_dir: str, base: str = "customer") -> DataFram
         f"CASE WHEN k % 7 = 0 THEN 60D ELSE (k * 19 % 700) / 10D END AS {R.CERVICAL}",
         f"CASE WHEN k % 7 = 0 THEN 60D ELSE (k * 23 % 700) / 10D END AS {R.BREAST}",
         f"CASE WHEN k % 7 = 0 THEN 60D ELSE (k * 29 % 700) / 10D END AS {R.ORAL}",
+        *[f"{coded(i + 20) if c in CLEANED_TEXT_COLUMNS else plain(i + 20)} AS {c}"
+          for i, c in enumerate(SURVEY_COLUMNS) if i >= 14],
     )
 
 

@@ -3,7 +3,8 @@
 A FeatureCollection document is one JSON value, so Spark reads each such file in one task (``multiLine``); the
 work is bounded by the file, and many files read in parallel. For large boundary sets write one Feature per line
 (GeoJSON text sequence) and use ``fmt="lines"``: those files split across tasks like any line-delimited JSON.
-Features of several collections are numbered on through the files in order of their names, so an index is unique.
+Line features take their GeoJSON ``id`` as index if it is an integer, else a hash of names and geometry: neither
+changes with the split layout, and equal features share one. Features of several collections are numbered on through the files in order of their names, so an index is unique.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from deserta.operators.polygon import wrap_polygon
 
 _FEATURE = StructType([
-    StructField("type", StringType()),
+    StructField("type", StringType()), StructField("id", StringType()),
     StructField("properties", StructType([StructField("NAME_1", StringType()), StructField("NAME_2", StringType())])),
     StructField("geometry", StructType([StructField("type", StringType()), StructField("coordinates", StringType())])),
 ])
@@ -32,7 +33,8 @@ def scan_geojson(spark: SparkSession, path: str, fmt: str = "collection") -> Dat
             .select((F.col("_first") + F.col("_at")).alias("feature_index"), F.from_json("_f", _FEATURE).alias("f"))
     elif fmt == "lines":
         feats = spark.read.schema(_FEATURE).json(path).select(
-            F.monotonically_increasing_id().alias("feature_index"), F.struct("*").alias("f"))
+            F.coalesce(F.col("id").try_cast("long"), F.xxhash64("properties", "geometry")).alias("feature_index"),
+            F.struct("*").alias("f"))
     else:
         raise ValueError(fmt)
     return feats.select(
@@ -43,9 +45,9 @@ def scan_geojson(spark: SparkSession, path: str, fmt: str = "collection") -> Dat
 
 
 def to_geojson_features(boundaries: DataFrame) -> DataFrame:
-    """Rows -> one GeoJSON Feature (text) per row, MultiPolygon geometry."""
+    """Rows -> one GeoJSON Feature (text) per row, MultiPolygon geometry, its index as the feature's id."""
     return boundaries.select(F.to_json(F.struct(
-        F.lit("Feature").alias("type"),
+        F.lit("Feature").alias("type"), F.col("feature_index").alias("id"),
         F.struct(F.col("NAME_1"), F.col("NAME_2")).alias("properties"),
         F.struct(F.lit("MultiPolygon").alias("type"), F.col("geometry").alias("coordinates")).alias("geometry"),
     )).alias("value"))
