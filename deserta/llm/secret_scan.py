@@ -1,14 +1,13 @@
 """Secrets: fixed patterns, plus strings that a character Markov model of random strings explains better than one of
 ordinary identifiers.
 
-Two first-order Markov models over characters, the ordinary one with back-off, are trained from labelled samples: the
-values of pattern matches (random strings) and runs of letters (ordinary identifiers), taken from at most about
-``TRAIN_ROWS`` documents chosen by a hash of id and text, so that reruns agree. A candidate, a run of 16 or more
+Two first-order Markov models over characters, the ordinary one with back-off, are trained from the values of pattern
+matches (random strings) and runs of letters (ordinary identifiers) of all documents. A candidate, a run of 16 or more
 characters of the base64 alphabets with a letter that touches no pattern match, is added as kind ``random`` if its log-likelihood ratio per character exceeds ``MARGIN``.
 
 Only DataFrame operations on the main path: the model is one literal array of ``SIDE`` squared numbers whatever the
-input, every row is scored by itself, and only the training counts (again at most ``SIDE`` squared rows per class) are
-shuffled and collected.
+input, every row is scored by itself, and only the training counts (again at most ``SIDE`` squared rows per class, summed
+in each task before the shuffle) are shuffled and collected.
 
 Defined cases: a null text is empty and has no spans; texts are read whole; equal rows get equal results; spans of equal
 start are ordered by kind; with no training rows both models are uniform and nothing is added; an empty table gives an
@@ -35,7 +34,6 @@ KINDS = (*BASE, "random")
 #: Characters from "+" to "z" have a row and a column each.
 FIRST, SIDE = 43, 80
 ALPHABET = 64
-TRAIN_ROWS = 20_000
 MARGIN = 0.5
 BACK_OFF = 8.0
 
@@ -50,22 +48,20 @@ def with_patterns(df: DataFrame, text_col: str) -> DataFrame:
             .withColumn("access", F.filter("access", lambda x: F.length(x["m"]) >= 20)))
 
 
-def transition_counts(df: DataFrame, id_col: str, text_col: str, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """kind (random or ordinary), cell (row * SIDE + column), n over the training documents."""
-    every = max(1, df.count() // train_rows)
-    base = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    sample = with_patterns(base.where(F.pmod(F.xxhash64("i", "t"), F.lit(every)) == 0).select("t"), "t")
+def transition_counts(df: DataFrame, text_col: str) -> DataFrame:
+    """kind (random or ordinary), cell (row * SIDE + column), n over all documents."""
+    found = with_patterns(df.select(F.col(text_col).alias("t")), "t")
     value = lambda x: F.regexp_extract(x["m"], ASSIGN, 1)
     secrets = F.concat(F.transform("assign", value), F.transform("access", lambda x: x["m"]),
                        F.transform("hex", lambda x: x["m"]))
     words = F.coalesce(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0)), F.array().cast("array<string>"))
-    labelled = (sample.select(F.explode(F.array(F.struct(F.lit("random").alias("kind"), secrets.alias("all")),
-                                                F.struct(F.lit("ordinary").alias("kind"), words.alias("all")))).alias("x"))
-                .select("x.kind", F.explode("x.all").alias("w"))
-                .groupBy("kind", "w").agg(F.count("*").alias("n")).where(F.length("w") > 1))
-    at = lambda i: F.ascii(F.col("w").substr(i, F.lit(1))) - FIRST
-    cells = F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: at(i) * SIDE + at(i + 1))
-    return labelled.select("kind", "n", F.explode(cells).alias("cell")).groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+    chars = (found.select(F.explode(F.array(F.struct(F.lit("random").alias("kind"), secrets.alias("all")),
+                                            F.struct(F.lit("ordinary").alias("kind"), words.alias("all")))).alias("x"))
+             .select("x.kind", F.explode("x.all").alias("w")).where(F.length("w") > 1)
+             .select("kind", F.split("w", "").alias("c")))
+    at = lambda i: F.ascii(F.get("c", i)) - FIRST
+    cells = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: at(i) * SIDE + at(i + 1))
+    return chars.select("kind", F.explode(cells).alias("cell")).groupBy("kind", "cell").agg(F.count("*").alias("n"))
 
 
 def ratio_table(counts: list) -> list[float]:
@@ -95,7 +91,7 @@ def ratio_table(counts: list) -> list[float]:
 def with_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with one span column (start, end, match) per kind."""
     df = df.select(*[c for c in df.columns if c not in KINDS])
-    table = json.dumps(ratio_table(transition_counts(df, id_col, text_col).collect()))
+    table = json.dumps(ratio_table(transition_counts(df, text_col).collect()))
     found = S.with_matches(with_patterns(df, text_col), "random", text_col, CANDIDATE)
     found = found.withColumn("random", S.apart("random", *BASE))
     llr = f"from_json('{table}', 'array<double>')"

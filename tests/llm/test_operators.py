@@ -258,6 +258,18 @@ def test_markov_models_tell_random_strings_from_identifiers(spark, docs):
     assert masked.where(F.col("text").contains("[secret]")).count() == len(rows)
 
 
+def test_markov_counts_take_every_document(spark):
+    """41,000 documents: a cut at 20,000 or 40,000 of them would lose counts."""
+    n, word, secret = 41_000, "internationalization", "qX7vB2mK9tR4"
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(f"{word} token: {secret}").alias("text"))
+    got = {(r["kind"], r["cell"]): r["n"] for r in secret_scan.transition_counts(rows, "text").collect()}
+    want = collections.Counter()
+    for kind, w in (("ordinary", word), ("random", secret)):
+        for a, b in zip(w, w[1:]):
+            want[kind, (ord(a) - secret_scan.FIRST) * secret_scan.SIDE + ord(b) - secret_scan.FIRST] += n
+    assert got == want
+
+
 def test_licenses(spark, docs):
     lines = "Copyright (c) 2020 A\nReleased under the MIT LICENCE!\n"
     rows = [(1, "released  under the MIT license"), (2, lines), (3, "x\nAll rights reserved.\nAll rights reserved\nReleased under the MIT License."),
