@@ -26,7 +26,7 @@ from . import spans as S
 ASSIGN = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)")
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z_]{8,}+(?![A-Za-z0-9+/_=-])"
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")

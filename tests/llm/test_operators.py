@@ -270,6 +270,15 @@ def test_markov_counts_take_every_document(spark):
     assert got == want
 
 
+def test_random_strings_after_an_equals_sign(spark):
+    rows = [(i, f"token = {hashlib.md5(str(i).encode()).hexdigest()} {PASSAGE} internationalization") for i in range(50)]
+    value = "qX7vB2mK9tR4wZ8nL3pD6sF1"
+    texts = [f"STRIPE_KEY={value}", f"auth={value}", f"x.io/a?sig={value}&n=2", f"a=={value}", "kind=internationalization"]
+    got = secret_scan.with_secrets(frame(spark, rows + [(100 + i, t) for i, t in enumerate(texts)]))
+    by_id = {r["doc_id"]: [(x["s"], x["m"]) for x in r["random"]] for r in got.collect()}
+    assert [by_id[100 + i] for i in range(5)] == [[(t.index(value), value)] for t in texts[:4]] + [[]]
+
+
 def test_licenses(spark, docs):
     lines = "Copyright (c) 2020 A\nReleased under the MIT LICENCE!\n"
     rows = [(1, "released  under the MIT license"), (2, lines), (3, "x\nAll rights reserved.\nAll rights reserved\nReleased under the MIT License."),
