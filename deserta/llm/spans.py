@@ -54,6 +54,12 @@ def apart(added: str, *others: str) -> Column:
                                                       lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
 
 
+def leftmost(name: str) -> Column:
+    """The spans of ``name``, ordered by start, without those that begin inside the one kept before."""
+    return F.expr(f"""aggregate({name}, cast(array() AS {SPAN}), (a, x) ->
+        CASE WHEN size(a) = 0 OR element_at(a, -1).e <= x.s THEN concat(a, array(x)) ELSE a END)""")
+
+
 def masked(text_col: str, spans: str, mask: str) -> Column:
     """The text with every span of the column replaced by ``mask`` (overlapping spans are replaced as one)."""
     return F.expr(f"""

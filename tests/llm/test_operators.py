@@ -247,6 +247,17 @@ def test_added_personal_data(docs):
     assert "national_id" in found and spans[1] == ""
 
 
+def test_ibans_before_further_tokens(spark):
+    es, be, gb = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32"
+    cases = [(f"{es} IN full", [es]), (f"{es} BIC CAIXESBB", [es]), (f"{be} 2024", [be]), (f"paid {be} {es}", [be, es]),
+             (f"NR12 {gb} on", [gb]), (gb, [gb]), ("BE68539007547034 AB12", ["BE68539007547034"]), (f"{gb[:-1]}3 IN", []),
+             (f"{be}, {be} 2", [be, be]), ("é" + " " + be + " EUR", [be]), (None, [])]
+    got = pii.with_personal_data(frame(spark, [(i, t) for i, (t, _) in enumerate(cases)])).select("doc_id", "text", "iban").collect()
+    for r in got:
+        assert [x["m"] for x in r["iban"]] == cases[r["doc_id"]][1], r["text"]
+        assert all(r["text"][x["s"]:x["e"]] == x["m"] for x in r["iban"])
+
+
 def test_markov_models_tell_random_strings_from_identifiers(spark, docs):
     hexes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(50)]
     rows = [(i, f"token = {h} " + " ".join(words(PASSAGE)) + " internationalization characterization") for i, h in enumerate(hexes)]
