@@ -9,6 +9,8 @@ Only DataFrame operations. The whole-document lookup is a hash join with the kno
 same table as a constant map, which keeps a document's lines in its row: nothing is exploded or regrouped. The known
 table is checked to hold at most ``MAX_KNOWN`` digests before it is sent to the executors; a larger one raises.
 
+Known are short notices (``KNOWN``) and the complete texts in ``license_texts`` in their usual forms (``full_texts``).
+
 Defined cases: null and empty texts, and texts without letters or digits, have no licence and no notice; texts are read
 whole; equal rows get equal results; of known texts with equal digests the smallest id wins; an empty table gives an
 empty result; input columns named like an output column are replaced.
@@ -16,6 +18,10 @@ empty result; input columns named like an output column are replaced.
 
 from __future__ import annotations
 
+import itertools
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 MAX_KNOWN = 10_000
@@ -40,6 +46,18 @@ KNOWN = (
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("proprietary", "All rights reserved."),
 )
+#: Complete texts (a file of ``license_texts`` each) and the headings they are found under.
+FULL = {"Apache-2.0": (), "CC0-1.0": (), "GPL-2.0": (), "GPL-3.0": (), "MPL-2.0": (),
+        "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License"),
+        "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License"),
+        "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+        "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)")}
+#: Usual changes of a complete text (pattern, replacement), each made or not.
+FORMS = ((r"http://", "https://"), (r"https://", "http://"),
+         (r"\n[^\n]*\[yyyy\][^\n]*", ""), (r"(END OF TERMS AND CONDITIONS)[\s\S]*", r"\1"),
+         (r"\s*END OF TERMS AND CONDITIONS[\s\S]*", ""),
+         (r"(?m)^[0-9]\. (?=Redistributions|Neither)", "* "), (r"COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR"),
+         (r"modify, and/or distribute", "modify, and distribute"))
 #: Spellings that count as equal (pattern over the lower-cased text, replacement).
 SPELLINGS = ((r"\blicen[cs](e|es|ed|ing)\b", "licens$1"), (r"\bversion\b|\bver\b|\bv\b\.?(?=\x20?[0-9])", "v"),
              (r"\bnoncommercial\b", "nc"), (r"\borganisation", "organization"), (r"\bauthoris", "authoriz"))
@@ -68,8 +86,21 @@ def known_digests(known: DataFrame) -> DataFrame:
             .where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("license").alias("license")))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of every complete text in each of its forms, under each heading and none; short ones (those with
+    headings) also with "All rights reserved." below the copyright line."""
+    out = []
+    for name, headings in FULL.items():
+        forms = {files(__package__).joinpath("license_texts", f"{name}.txt").read_text(encoding="utf-8")}
+        for pattern, to in FORMS:
+            forms |= {re.sub(pattern, to, t) for t in forms}
+        tops = itertools.product(("", *headings), ("", "All rights reserved.") if headings else ("",))
+        out += [(name, f"{a}\n{b}\n{t}") for (a, b), t in itertools.product(tops, sorted(forms))]
+    return out
+
+
 def built_in(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license string, text string")
+    return spark.createDataFrame([*KNOWN, *full_texts()], "license string, text string")
 
 
 def with_licenses(df: DataFrame, known: DataFrame | None = None, text_col: str = "text") -> DataFrame:

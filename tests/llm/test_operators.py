@@ -300,6 +300,22 @@ def test_licenses(spark, docs):
     assert license_scan.license_report(docs[0]).count() == len(docs[1])
 
 
+def test_complete_licence_texts(spark):
+    def text(name):
+        return license_scan.files("deserta.llm").joinpath("license_texts", f"{name}.txt").read_text(encoding="utf-8")
+    top = "Copyright (c) 2031, Some Body <a@b.example>\n"
+    apache, bsd = text("Apache-2.0"), text("BSD-3-Clause")
+    cases = [("MIT License\n\n" + top + "\n" + text("MIT"), "MIT"), (top + text("MIT").replace("\n", " "), "MIT"),
+             ("ISC License\n" + top + text("ISC"), "ISC"), (top + "All rights reserved.\n\n" + bsd, "BSD-3-Clause"),
+             ("BSD 3-Clause License\n" + top + re.sub("(?m)^[123]\\.", "*", bsd), "BSD-3-Clause"),
+             (top + text("BSD-2-Clause"), "BSD-2-Clause"), (apache, "Apache-2.0"), (apache.replace("\n", "\r\n"), "Apache-2.0"),
+             (apache.replace("Copyright [yyyy] [name of copyright owner]", top.strip()), "Apache-2.0"),
+             (apache[:apache.index("END OF TERMS")], "Apache-2.0"), (text("GPL-2.0"), "GPL-2.0"), (text("GPL-3.0"), "GPL-3.0"),
+             (text("MPL-2.0"), "MPL-2.0"), (text("CC0-1.0"), "CC0-1.0"), (top + text("MIT") + "and more", None)]
+    got = license_scan.license_report(frame(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {i: name for i, (_, name) in enumerate(cases)}
+
+
 def test_mixing(docs, duck001):
     got = mixing.mix_report(docs[0].withColumn("source", F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("s"), F.col("doc_id") % 4))))
     rows = got.collect()
