@@ -84,17 +84,23 @@ BLANK_WORDS = ~SPACES
 ALNUM_WORDS = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
-_powers: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+#: Byte ranges are hashed in pieces of a text of about this size, so that the tables of powers and sums stay small.
+SLICE = 1 << 18
+_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+    """base**i and base**-i modulo 2**64 for i < n; kept for pieces of the usual size, made anew for longer ones."""
+    if not _powers or len(_powers[0]) < n:
+        size = max(n, 2 * SLICE)
+        made = []
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
+            made.append(np.multiply.accumulate(p))
+        if size > 2 * SLICE:
+            return made[0][:n], made[1][:n]
+        _powers[:] = made
     return _powers[0][:n], _powers[1][:n]
 
 
@@ -109,14 +115,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range, equal for equal bytes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(buf) + 1)
-    total = np.empty(len(buf) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((buf.astype(np.uint64) + U64(1)) * up[:len(buf)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+    """64-bit hash of each byte range, equal for equal bytes wherever they stand; ``starts`` must not descend."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        first = int(starts[at])
+        to = int(np.searchsorted(starts, first + SLICE))
+        s, e = starts[at:to] - first, ends[at:to] - first
+        piece = buf[first:first + int(e.max())]
+        up, down = powers(len(piece) + 1)
+        total = np.empty(len(piece) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum((piece.astype(np.uint64) + U64(1)) * up[:len(piece)], out=total[1:])
+        out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+        at = to
+    return out
 
 
 def word_ranges(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -158,3 +170,24 @@ def distinct_per_text(keys: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray
     keep = np.ones(len(k), bool)
     keep[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
     return k[keep], t[keep]
+
+
+def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every range, one after the other."""
+    at = np.cumsum(lens) - lens
+    return np.repeat(starts - at, lens) + np.arange(int(lens.sum()))
+
+
+def sequence_hashes(values: np.ndarray, k: int, prime: int) -> np.ndarray:
+    """Hash of the k values from each position, by doubling the hashed length; empty when there are fewer than k."""
+    if len(values) < k:
+        return np.zeros(0, np.uint64)
+    h, length, out, left = values.astype(np.uint64), 1, None, k
+    while True:
+        if left & 1:
+            out = h if out is None else out[:len(out) - length] * U64(pow(prime, length, 1 << 64)) + h[-(len(out) - length):]
+        left >>= 1
+        if not left:
+            return mix(out)
+        h = h[:len(h) - length] * U64(pow(prime, length, 1 << 64)) + h[length:]
+        length *= 2
