@@ -6,8 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, dedup_suffix, license_scan, mixing, ngram_join, pii, quality_rules, secret_scan, toxicity,
-               url_filter)
+from . import (decontaminate, dedup_substring, dedup_suffix, license_scan, mixing, ngram_join, pii, quality_rules,
+               secret_scan, toxicity, url_filter, vector_codes, whitening)
 from .common import table
 
 
@@ -51,9 +51,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substring.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_url_filter, op4_pii, op5_license_scan,
-                                    op6_quality_rules, op7_mixing, op8_decontamination, op9_ngram_join, op10_secret_scan)}
+                                    op6_quality_rules, op7_mixing, op8_decontamination, op9_ngram_join, op10_secret_scan,
+                                    op11_vector_codes, op12_whitening, op13_substring_dedup)}
 
 
 def llm_oracles() -> dict[str, str]:
