@@ -12,7 +12,7 @@ theirs with any other. The steps:
    ``ROUNDS`` rounds only join each document with a few pivots of its lists; a list whose documents already are in one
    component is done. What is left, documents of different components in one list, is first measured against the
    list's pivot, which bounds what two of them can have in common, and then joined exhaustively where that bound
-   allows a link, so that no link between components is lost.
+   allows a link, so that no link between components is lost. A judged pair is kept and never judged again.
 5. Components of the links.
 
 Scale: no step gathers a list or a component in one task; posting lists meet in equi-joins, which adaptive execution
@@ -27,6 +27,8 @@ like an output column are replaced.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -87,8 +89,8 @@ def least_overlap(n, m, percent: int):
     return -(-(percent * (n + m)) // (100 + percent))
 
 
-def set_rows(blocks: DataFrame, k: int) -> DataFrame:
-    """(id, n, node, block, pos) of every row; node is the hash of its set."""
+def set_rows(blocks: DataFrame, k: int, digests: bool = False) -> DataFrame:
+    """(id, n, node, block, pos, digest) of every row; node is the hash of its set, digest the MD5 of its text if asked for."""
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -96,9 +98,11 @@ def set_rows(blocks: DataFrame, k: int) -> DataFrame:
                 keys, at = shingles(buf, offsets, k)
                 yield pa.RecordBatch.from_pydict({
                     "id": B.ids_column(ids), "n": np.diff(at).astype(np.int64), "node": set_hashes(keys, at).view(np.int64),
-                    "block": np.full(len(ids), row["block"]), "pos": np.arange(len(ids))})
+                    "block": np.full(len(ids), row["block"]), "pos": np.arange(len(ids)),
+                    "digest": pa.array([hashlib.md5(buf[a:z]).hexdigest() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                                       if digests else [None] * len(ids), pa.string())})
 
-    return blocks.mapInArrow(run, "id long, n long, node long, block long, pos long")
+    return blocks.mapInArrow(run, "id long, n long, node long, block long, pos long, digest string")
 
 
 def candidates(blocks: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -169,7 +173,7 @@ def may_link(n: str, pos: str, m: str, pos2: str, percent: int) -> str:
 
 
 def compared(pairs: DataFrame, cand: DataFrame, judge, schema: str) -> DataFrame:
-    """Columns that ``judge(x, y, n, m)`` gives for the sets of each pair (a, b), with the pair; None drops a pair."""
+    """Columns that ``judge(x, y, n, m)`` gives for the sets of each pair (a, b), with the pair."""
     left = cand.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("keys").alias("x"))
     right = cand.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("keys").alias("y"))
 
@@ -181,8 +185,7 @@ def compared(pairs: DataFrame, cand: DataFrame, judge, schema: str) -> DataFrame
                 out = []
                 for row in zip(a, b, n, m, x, y):
                     said = judge(B.unpack_keys(row[4]), B.unpack_keys(row[5]), row[2], row[3])
-                    if said is not None:
-                        out.append((row[0], row[1], *said))
+                    out.append((row[0], row[1], *said))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
@@ -195,37 +198,45 @@ def overlap(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(y[at] == x))
 
 
-def links(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+def judged(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> tuple[int, int, int, int]:
+    """(linked, common, further n-grams that x and that y share with others) of two sets; all three numbers at least what they say.
+
+    Suffix filter: both sets are cut at elements of y; no more than the smaller piece of each cut can be common. Where
+    that bound forbids a link the sets are not intersected, and the bound stands for the intersection.
+    """
     need = least_overlap(n, m, percent)
-    if min(len(x), len(y)) < need:
-        return False
-    # Suffix filter: cut both sets at elements of y; no more than the smaller piece of each cut can be common.
-    cuts = y[np.linspace(0, len(y), PROBES + 1).astype(int)[1:-1]]
-    px = np.concatenate(([0], np.searchsorted(x, cuts), [len(x)]))
-    py = np.concatenate(([0], np.searchsorted(y, cuts), [len(y)]))
-    return int(np.minimum(np.diff(px), np.diff(py)).sum()) >= need and overlap(x, y) >= need
+    bound = min(len(x), len(y))
+    if bound >= need:
+        cuts = y[np.linspace(0, len(y), PROBES + 1).astype(int)[1:-1]]
+        px = np.concatenate(([0], np.searchsorted(x, cuts), [len(x)]))
+        py = np.concatenate(([0], np.searchsorted(y, cuts), [len(y)]))
+        bound = int(np.minimum(np.diff(px), np.diff(py)).sum())
+    if bound < need:
+        return 0, bound, len(x), len(y)
+    common = overlap(x, y)
+    return int(common >= need), common, len(x) - common, len(y) - common
 
 
 def verified(pairs: DataFrame, cand: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, each judged once."""
-    def judge(x, y, n, m):
-        return () if links(x, y, n, m, percent) else None
-    return compared(pairs, cand, judge, "a long, b long")
+    """(a, b, linked, common, rest_a, rest_b) of the pairs of classes."""
+    return compared(pairs, cand, lambda x, y, n, m: judged(x, y, n, m, percent),
+                    "a long, b long, linked long, common long, rest_a long, rest_b long")
 
 
-def measured(pairs: DataFrame, cand: DataFrame) -> DataFrame:
-    """(a, b, n, m, common, rest): the intersection of each pair and how many further n-grams a shares with others."""
-    def judge(x, y, n, m):
-        common = overlap(x, y)
-        return n, m, common, len(x) - common
-    return compared(pairs, cand, judge, "a long, b long, n long, m long, common long, rest long")
+def unjudged(pairs: DataFrame, held: DataFrame | None) -> DataFrame:
+    """Each pair once, larger class first, without those that an earlier round has judged."""
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return pairs if held is None else pairs.join(held.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def class_links(cand: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFrame | None:
-    """Links (a, b) that connect all linked classes; pairs already connected by others may be left out."""
+    """Links (a, b) that connect all linked classes; pairs already connected by others may be left out.
+
+    Every pair is judged at most once: what a round finds is kept, linked or not, and later rounds leave the pair out.
+    """
     post = C.written(postings(cand), "postings")
     post = C.written(post.join(post.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key"), "postings")
-    found, labels, held = None, None, None
+    held, labels = None, None
     for r in range(rounds + 2):
         lab = post.withColumn("label", F.col("node")) if labels is None else post.join(labels, "node", "left").withColumn(
             "label", F.coalesce("label", "node"))
@@ -244,19 +255,16 @@ def class_links(cand: DataFrame, percent: int, rounds: int = ROUNDS) -> DataFram
             rank = F.xxhash64("key", "node", F.lit(r)) if r else F.col("c")  # first the shortest list, then any
             pivots = F.array_sort(F.collect_set(F.struct(rank, "p.node")))  # no more than a prefix has n-grams
             pairs = (tried.groupBy(F.col("node").alias("a")).agg(F.slice(pivots, 1, TRIES if r else 1).alias("few"))
-                     .select("a", F.explode("few.node").alias("b")).distinct())
-            new = C.written(verified(pairs, cand, percent), "links")
+                     .select("a", F.explode("few.node").alias("b")))
         elif r == rounds:
-            pairs = lists.where("node <> p.node").select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct()
-            held = C.written(measured(pairs, cand), "measured")
-            new = held.where(f"{100 + percent} * common >= {percent} * (n + m)").select("a", "b")
+            pairs = lists.where("node <> p.node").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
         else:
             pairs = remaining_pairs(lists, held, percent)
-            new = C.written(verified(pairs, cand, percent), "links")
-        found = new if found is None else found.unionByName(new)
+        new = C.written(verified(unjudged(pairs, held), cand, percent), "judged")
+        held = new if held is None else held.unionByName(new)
         if r <= rounds:
-            labels = components(found)
-    return found
+            labels = components(held.where("linked = 1").select("a", "b"))
+    return None if held is None else held.where("linked = 1").select("a", "b")
 
 
 def remaining_pairs(lists: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -265,7 +273,8 @@ def remaining_pairs(lists: DataFrame, held: DataFrame, percent: int) -> DataFram
     With x, y and the pivot p: what x and y have in common lies in p, at most the smaller of their intersections with p,
     or outside, at most the smaller number of n-grams that they share with anyone but not with p.
     """
-    known = held.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "common", "rest")
+    known = held.selectExpr("a AS node", "b AS pivot", "common", "rest_a AS rest").unionByName(
+        held.selectExpr("b AS node", "a AS pivot", "common", "rest_b AS rest"))
     side = (lists.withColumn("pivot", F.col("p.node")).join(known, ["node", "pivot"], "left")
             .select("key", "node", "n", "pos", "label", F.col("p.label").alias("of_pivot"),
                     F.coalesce("common", "n").alias("common"), F.coalesce("rest", F.lit(0)).alias("rest")))
@@ -274,29 +283,54 @@ def remaining_pairs(lists: DataFrame, held: DataFrame, percent: int) -> DataFram
     fits = (f"{100 + percent} * (least(x.common, y.common) + least(x.rest, y.rest)) >= {percent} * (x.n + y.n) AND "
             + may_link("x.n", "x.pos", "y.n", "y.pos", percent))
     return (x.join(y, F.col("x.key") == F.col("y.key")).where("x.label <> y.label AND " + fits)
-            .select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct())
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
 
 
-def component_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
-                     percent: int = 85) -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable by links of at least ``percent``) of every document."""
+def classes_of(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, digests: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels): ``set_rows`` of every document, and (node, label) of every class of equal non-empty sets."""
     blocks = B.write_blocks(df, id_col, text_col, "shingles")
-    rows = C.written(set_rows(blocks, k), "sets")
+    rows = C.written(set_rows(blocks, k, digests), "sets")
     cand = C.written(candidates(blocks, rows, k, percent), "candidates")
     found = class_links(cand, percent)
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low"))
+    classes = rows.where("n > 0").select("node").distinct()
     if found is None:
-        low = classes
-    else:
-        labelled = classes.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        low = labelled.select("node", "label").join(labelled.groupBy("label").agg(F.min("low").alias("low")), "label")
+        return rows, classes.withColumn("label", F.col("node"))
+    return rows, classes.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def component_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
+                     percent: int = 85) -> DataFrame:
+    """id, n_shingles, component_id (smallest id reachable by links of at least ``percent``) of every document."""
+    rows, labels = classes_of(df, id_col, text_col, k, percent)
+    low = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("low")).join(labels, "node")
+    low = low.select("node", "label").join(low.groupBy("label").agg(F.min("low").alias("low")), "label")
     return rows.join(low.select("node", "low"), "node", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
 
 
 def near_duplicates_dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                             percent: int = 80) -> DataFrame:
-    """The rows of ``df``, with their columns, whose id is the smallest of its component (rows without an id stay)."""
-    part = component_report(df.select(id_col, text_col), id_col, text_col, k, percent)
-    gone = part.where(F.col("component_id") < F.coalesce(F.col(id_col), F.lit(B.NULL_ID))).select(id_col).distinct()
-    return df.join(gone, id_col, "left_anti")
+    """The rows of ``df``, with their columns, one of each component: that of the smallest id (null is the largest).
+
+    Rows are told apart by id and text: a copy goes whatever its id, and a clean row stays whatever rows share its id. Of
+    the rows of equal id and text one stays; of different texts of the smallest id the one of the smallest MD5. Rows
+    without words are in no component, and all stay.
+    """
+    rows, labels = classes_of(df.select(id_col, text_col), id_col, text_col, k, percent, digests=True)
+    each = (rows.where("n > 0").groupBy("node", "id", "digest").agg(F.count("*").alias("copies")).join(labels, "node")
+            .select("label", "id", "digest", "copies", F.struct(F.col("id").isNull(), "id", "digest").alias("rank")))
+    least = each.groupBy("label").agg(F.min("rank").alias("least"))
+    told = C.written(each.join(least, "label").where("rank <> least OR copies > 1").select(
+        "id", "digest", (F.col("rank") == F.col("least")).alias("stays")), "copies")
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    keyed = df.withColumn("__md5", key).withColumn("__id", F.col(id_col).cast("long"))
+    gone = told.select(F.col("id").alias("__id2"), F.col("digest").alias("__md5_2"), F.col("stays").alias("__stays"))
+
+    def met(side: DataFrame) -> list:
+        return [keyed["__id"].eqNullSafe(side["__id2"]), keyed["__md5"] == side["__md5_2"]]
+
+    out = keyed.join(gone, met(gone), "left_anti")
+    again = gone.where("__stays")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again, met(again), "left_semi").dropDuplicates(["__id", "__md5"]))
+    return out.drop("__md5", "__id")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
-from deserta.llm import common, dedup_substring, vector_codes, whitening
+from deserta.llm import common, dedup_substring, ngram_join, vector_codes, whitening
 from test_text_operators import documents, expected, frame, result, words
 
 NAN, INF = float("nan"), float("inf")
@@ -210,3 +210,36 @@ def test_range_hashes_do_not_depend_on_slices(monkeypatch):
     monkeypatch.setattr(common, "SLICE", 100)
     monkeypatch.setattr(common, "_powers", [])
     assert (common.range_hashes(buf, starts, ends) == whole).all()
+
+
+def test_near_duplicates_go_by_row(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (1, text, "b"), (2, text + " more", "c"), (None, text, "d"), (3, "quite another text of some words", "e"),
+            (2, "a clean text that shares its id only", "f"), (4, None, "g"), (4, "", "h"), (None, "a lone text without an id", "i")]
+    d = frame(spark, rows, "doc_id long, text string, label string")
+    for df in (d, d.union(d)):
+        kept = ngram_join.near_duplicates_dropped(df)
+        times = 1 if df is d else 2
+        got = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
+        want = [("1", text), ("2", rows[5][1]), ("3", rows[4][1]), ("None", rows[8][1])] + [("4", "")] * 2 * times
+        assert got == sorted(want) and kept.columns == d.columns
+
+
+def test_every_pair_is_judged_once(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(150):
+        w = [f"{i % 3}w{j}" for j in range(80)]
+        for j in rng.choice(80, rng.integers(0, 9), replace=False):
+            w[j] = f"x{rng.integers(0, 30)}"
+        rows.append((i, " ".join(w)))
+    seen, real = [], ngram_join.verified
+
+    def counted(pairs, cand, percent):
+        pairs = common.written(pairs, "asked")
+        seen.extend(tuple(sorted(r)) for r in pairs.collect())
+        return real(pairs, cand, percent)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    ngram_join.component_report(frame(spark, rows)).collect()
+    assert seen and len(seen) == len(set(seen))
