@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from deserta.functions.cleaning import coerce_number, coerce_string
 from deserta.functions.geo import mercator_pixels
+from deserta.operators.clusters import proximity_clusters
 from deserta.plans.indicators import INDICATOR_COLUMNS
 
 # State centroids (lower-case state -> latitude, longitude) and the fallback centroid.
@@ -153,6 +154,11 @@ def cluster_cells(points: DataFrame, zoom: float = 4.0, cell_px: float = 64.0) -
                                                    F.floor(F.col("y") / cell_px).cast("string"))))
 
 
+def proximity_cluster_points(points: DataFrame, zoom: float = 4.0) -> DataFrame:
+    """G4 across cell edges: the points with the key of the cluster of touching circles that each belongs to."""
+    return points.join(proximity_clusters(points, zoom), "id")
+
+
 def weighted_cluster_rollup(points: DataFrame, key: str = "cluster_key") -> DataFrame:
     """Per cluster — sums, impact-weighted centroid (weight max(impact, 1)), strongest priority, max
     severity, mean confidence, all-data-poor, member and state counts, action text, and the largest-impact member as

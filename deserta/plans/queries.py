@@ -565,6 +565,12 @@ def q_point_in_polygon_join(spark, sf):
     return CO.boundary_matches(FX.boundaries(spark, sf), planning(spark, sf))
 
 
+@register("boundary_ordered_matches", S.boundary_match_sql(3.0))
+def q_boundary_ordered_matches(spark, sf):
+    """Squares of 6 degrees, most of which overlap others."""
+    return CO.boundary_matches(FX.boundaries(spark, sf, half=3.0), planning(spark, sf))
+
+
 def _boundary_sql(more: str = "") -> str:
     def pick(col, default):
         return f"CASE WHEN m.key IS NULL THEN {default} ELSE {col} END"
@@ -697,6 +703,26 @@ def q_weighted_cluster_rollup(spark, sf):
     return _with_scores(clusters(spark, sf))
 
 
+@register("proximity_clusters", S.proximity_clusters_sql())
+def q_proximity_clusters(spark, sf):
+    return LG.proximity_clusters(legacy_points(spark, sf))
+
+
+def proximity_rollup(spark: SparkSession, sf: str):
+    return LG.weighted_cluster_rollup(LG.proximity_cluster_points(legacy_points(spark, sf)))
+
+
+@register("proximity_cluster_rollup", S.proximity_rollup_sql(), doubles=_CLUSTER_DOUBLES)
+def q_proximity_cluster_rollup(spark, sf):
+    return _with_scores(proximity_rollup(spark, sf))
+
+
+@register("proximity_ranked_clusters", f"""SELECT * FROM ({S.proximity_rollup_sql()}) c WHERE NOT data_poor
+ORDER BY priority_rank DESC, population_impact DESC, cluster_key LIMIT 12""", doubles=_CLUSTER_DOUBLES)
+def q_proximity_ranked_clusters(spark, sf):
+    return _with_scores(LG.ranked_clusters(proximity_rollup(spark, sf)))
+
+
 @register("priority_band_counts", f"""SELECT count(*) FILTER (WHERE priority_rank >= 3) AS high,
   count(*) FILTER (WHERE priority_rank = 2) AS moderate, count(*) FILTER (WHERE priority_rank = 1) AS adequate,
   count(*) FILTER (WHERE priority_rank <= 0) AS data_poor FROM ({S.cluster_rollup_sql()}) c""")

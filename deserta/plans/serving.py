@@ -173,11 +173,11 @@ def planning_page(served: DataFrame, size: int = 500, after: tuple[str, str] | N
 
 
 def paged(served: DataFrame, size: int = 500) -> DataFrame:
-    """T4 for all pages at once: every district with its page number. One row per district passes one window."""
-    from pyspark.sql import Window
+    """T4 for all pages at once: every district with its page number, numbered by ranges of the order."""
+    from deserta.operators.numbering import numbered
 
-    at = F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_last() for c in _PAGE_ORDER]))
-    return served.withColumn("page", (F.floor((at - 1) / size) + 1).cast("int"))
+    at = numbered(served, [F.col(c).asc_nulls_last() for c in _PAGE_ORDER], "_at")
+    return at.withColumn("page", (F.floor((F.col("_at") - 1) / size) + 1).cast("int")).drop("_at")
 
 
 # ---- T1 -----------------------------------------------------------------------------------------------------------

@@ -599,23 +599,36 @@ def _in_square(lon, lat, clon, clat, half):
     return f"({lon} > {clon} - {half} AND {lon} < {clon} + {half} AND {lat} > {clat} - {half} AND {lat} < {clat} + {half})"
 
 
-def boundary_match_sql() -> str:
+def boundary_candidates_sql(half: float = 0.3) -> str:
+    """CTE ``cand``: every boundary with every district point inside it, and the point's place among the boundary's."""
     w = "CASE overall_care_desert_risk WHEN 'High Risk' THEN 3 WHEN 'Medium Risk' THEN 2 WHEN 'Low Risk' THEN 1 ELSE 0 END"
     t = ("CASE planning_priority_tier WHEN 'Urgent' THEN 4 WHEN 'High' THEN 3 WHEN 'Watch' THEN 2 "
          "WHEN 'Monitor' THEN 1 ELSE 0 END")
-    inside = (f"(({_in_square('p.longitude', 'p.latitude', 'b.blon', 'b.blat', 0.3)} AND NOT (b.s%4=0 AND "
+    inside = (f"(({_in_square('p.longitude', 'p.latitude', 'b.blon', 'b.blat', half)} AND NOT (b.s%4=0 AND "
               f"{_in_square('p.longitude', 'p.latitude', 'b.blon', 'b.blat', 0.1)})) OR (b.s%3=0 AND "
-              f"{_in_square('p.longitude', 'p.latitude', 'b.blon + 20', 'b.blat', 0.3)}))")
+              f"{_in_square('p.longitude', 'p.latitude', 'b.blon + 20', 'b.blat', half)}))")
     return f"""
-WITH p AS (SELECT state_ut || ':' || district_name AS key, longitude, latitude, {w} AS w, {t} AS t,
-                  planning_priority_score AS sc, state_ut, district_name
-           FROM ({planning_sql()}) q WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
+p AS (SELECT state_ut || ':' || district_name AS key, longitude, latitude, {w} AS w, {t} AS t,
+             planning_priority_score AS sc, state_ut, district_name
+      FROM ({planning_sql()}) q WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
 b AS ({boundaries_sql()}),
-cand AS (SELECT b.feature_index, p.* FROM b JOIN p ON {inside}),
-firstb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY feature_index) AS r FROM cand) x WHERE r = 1),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature_index
-                        ORDER BY w DESC, t DESC, sc DESC, state_ut, district_name) AS r2 FROM firstb) y WHERE r2 = 1)
-SELECT feature_index, key FROM best"""
+cand AS (SELECT b.feature_index, p.*, row_number() OVER (PARTITION BY b.feature_index
+                ORDER BY w DESC, t DESC, sc DESC, state_ut, district_name) AS place FROM b JOIN p ON {inside})"""
+
+
+def boundary_match_sql(half: float = 0.3) -> str:
+    """The boundaries one by one in order, each taking its best-ranked point that none before it took."""
+    return f"""
+WITH RECURSIVE {boundary_candidates_sql(half)},
+numbered AS (SELECT feature_index, row_number() OVER (ORDER BY feature_index) AS i FROM (SELECT DISTINCT feature_index FROM cand) d),
+walk AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS feature_index, NULL::VARCHAR AS key, []::VARCHAR[] AS used
+  UNION ALL
+  SELECT i, feature_index, key, CASE WHEN key IS NULL THEN used ELSE list_append(used, key) END
+  FROM (SELECT n.i, n.feature_index, w.used, arg_min(c.key, c.place) FILTER (NOT list_contains(w.used, c.key)) AS key
+        FROM walk w JOIN numbered n ON n.i = w.i + 1 JOIN cand c ON c.feature_index = n.feature_index
+        GROUP BY n.i, n.feature_index, w.used) s)
+SELECT feature_index, key FROM walk WHERE key IS NOT NULL"""
 
 
 # ---- legacy console oracle pieces ------------------------------------------------------------------------------------
@@ -708,7 +721,43 @@ FROM (SELECT *, (longitude + 180) / 360 * {world!r} AS x,
       FROM ({legacy_points_sql()}) p) q"""
 
 
-def cluster_rollup_sql() -> str:
+def proximity_clusters_sql(zoom: float = 4.0, passes: int = 6) -> str:
+    """(id, cluster_key): passes of merging circles that touch, written out; once none touch, a pass changes nothing."""
+    import math
+
+    from deserta.operators.clusters import CELL
+
+    world, four_pi = repr(512.0 * 2.0 ** zoom), repr(4 * math.pi)
+    s = "sin(radians(greatest(cast(-85.05113 AS double), least(cast(85.05113 AS double), lat))))"
+    steps = [f"""m0 AS (SELECT id, id AS cluster, cast(round(coalesce(population_impact, 0) * 1000) AS hugeint) AS impact,
+  cast(round(greatest(coalesce(population_impact, 0), 1) * 1000) AS hugeint) AS w, cast(round(longitude * 10000000) AS hugeint) AS lon7,
+  cast(round(latitude * 10000000) AS hugeint) AS lat7 FROM ({legacy_points_sql()}) p WHERE id IS NOT NULL AND longitude IS NOT NULL
+  AND latitude IS NOT NULL)"""]
+
+    def circles(k: int) -> str:
+        return f"""(SELECT *, (lon + 180) / 360 * {world} AS x, (0.5 - ln((1 + {s}) / (1 - {s})) / {four_pi}) * {world} AS y
+  FROM (SELECT cluster, sum(impact) AS impact, sum(lon7 * w)::DOUBLE / sum(w)::DOUBLE / 1e7 AS lon,
+               sum(lat7 * w)::DOUBLE / sum(w)::DOUBLE / 1e7 AS lat FROM m{k} GROUP BY cluster) g)"""
+
+    for k in range(0, 2 * passes, 2):
+        steps.append(f"""c{k} AS (SELECT cluster, min(cluster) OVER (PARTITION BY floor(x / {CELL!r}), floor(y / {CELL!r})) AS into_ FROM {circles(k)} t)""")
+        steps.append(f"m{k + 1} AS (SELECT m.* REPLACE (c.into_ AS cluster) FROM m{k} m JOIN c{k} c USING (cluster))")
+        steps.append(f"""r{k} AS (SELECT cluster, x, y, greatest(7, least(26, 6 + sqrt(greatest(impact::DOUBLE / 1000, 1)) * 0.05)) AS r
+  FROM {circles(k + 1)} t)""")
+        steps.append(f"""e{k} AS (SELECT a.cluster AS a, b.cluster AS b FROM r{k} a JOIN r{k} b
+  ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= a.r + b.r + 2)""")
+        steps.append(f"h{k} AS (SELECT a, b FROM e{k} UNION SELECT h.a, e.b FROM h{k} h JOIN e{k} e ON h.b = e.a)")
+        steps.append(f"""m{k + 2} AS (SELECT m.* REPLACE (n.into_ AS cluster)
+  FROM m{k + 1} m JOIN (SELECT a, min(b) AS into_ FROM h{k} GROUP BY a) n ON n.a = m.cluster)""")
+    return "WITH RECURSIVE " + ",\n".join(steps) + f"\nSELECT DISTINCT id, cluster AS cluster_key FROM m{2 * passes}"
+
+
+def proximity_rollup_sql() -> str:
+    return cluster_rollup_sql(f"SELECT p.*, k.cluster_key FROM ({legacy_points_sql()}) p JOIN ({proximity_clusters_sql()}) k ON k.id = p.id")
+
+
+def cluster_rollup_sql(members: str | None = None) -> str:
+    members = members or cluster_cells_sql()
     return f"""
 SELECT cluster_key, rep.id AS representative_id,
   CASE WHEN member_count = 1 THEN rep.district ELSE cast(member_count AS varchar) || ' districts' END AS district,
@@ -728,5 +777,5 @@ FROM (
     count(DISTINCT state) AS state_count,
     max(struct_pack(i := population_impact, id := id, district := district, state := state, risk := risk_label,
                     a := access_score, c := cancer_score)) AS rep
-  FROM (SELECT *, cast(round(greatest(population_impact, 1) * 1000) AS hugeint) AS w3 FROM ({cluster_cells_sql()}) q) c
+  FROM (SELECT *, cast(round(greatest(population_impact, 1) * 1000) AS hugeint) AS w3 FROM ({members}) q) c
   GROUP BY cluster_key) a"""

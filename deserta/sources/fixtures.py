@@ -161,10 +161,10 @@ def corrupt_assessments(assessed: DataFrame) -> DataFrame:
         .otherwise(F.col("assessment")))
 
 
-def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def boundaries(spark: SparkSession, sf_dir: str, half: float = 0.3) -> DataFrame:
     """District boundary polygons around the district centers of the address directory.
 
-    Square of half-side 0.3 deg; when s % 4 = 0 the square has a central hole of half-side 0.1 (the center falls
+    Square of half-side ``half`` deg (they overlap when it is a few degrees); when s % 4 = 0 the square has a central hole of half-side 0.1 (the center falls
     in it); when s % 5 = 0 the square is shifted 5 deg north (no district inside); when s % 7 = 0 the district
     name property is missing; when s % 3 = 0 the geometry is a MultiPolygon with a second, far square.
     s is the supplier number in the district name; it is also the feature index.
@@ -176,9 +176,9 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.regexp_extract("district", r"([0-9]+)$", 1).cast("long")
     lon = F.col("center_longitude")
     lat = F.when(s % 5 == 0, F.col("center_latitude") + 5.0).otherwise(F.col("center_latitude"))
-    shell = square(lon, lat, 0.3)
+    shell = square(lon, lat, half)
     poly = F.when(s % 4 == 0, F.array(shell, square(lon, lat, 0.1))).otherwise(F.array(shell))
-    far = F.array(square(lon + 20.0, lat, 0.3))
+    far = F.array(square(lon + 20.0, lat, half))
     geom = F.when(s % 3 == 0, F.array(poly, far)).otherwise(F.array(poly))
     return c.select(s.alias("feature_index"),
                     F.when(s % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("district")).alias("NAME_2"),
