@@ -136,34 +136,20 @@ def capability_table(spark: SparkSession, sf: str):
     return CP.facility_capability(FX.facilities(spark, sf))
 
 
-_PROMPT = (
-    "Assess the facility below from its documented fields only. For each service category decide whether it is "
-    "capable, limited, not_capable or unknown, with high, medium or low confidence, a short evidence list taken "
-    "from the fields, and the main limitation.\n"
-    "Rules:\n"
-    "- Judge what is documented as available, not how good the care or its results are.\n"
-    "- Never assume staff, equipment, procedures, services or capacity that no field mentions.\n"
-    "- capable: several fields agree on meaningful diagnosis or treatment for the category.\n"
-    "- limited: basic screening, routine care, stabilisation or referral only.\n"
-    "- not_capable: the fields say outright that the service is not offered.\n"
-    "- unknown: the fields do not say enough.\n"
-    "- Evidence is brief and quotes the fields.\n"
-    "Categories:\n"
-    "- maternal_neonatal_care: care before birth, delivery, obstetric emergencies, C-section, stabilising and caring "
-    "for newborns.\n"
-    "- diabetes_care: glucose tests, diagnosis, medication, follow-up and treating complications.\n"
-    "- hypertension_care: blood-pressure checks, diagnosis, medication, follow-up and treating complications.\n"
-    "- nutrition_services: finding malnutrition, BMI or growth checks, anemia, counselling, supplements and referral.\n"
-    "- cancer_screening: screening for cervical, breast and oral cancer, pathology and referral for diagnosis.\n"
-    "Rate overall data confidence from completeness, specificity and internal consistency.\n")
+_PROMPT = """Return one JSON document about the health facility whose fields are listed last. Nothing but these fields counts.
+Keys: data_confidence (high | medium | low), data_confidence_reason (text), maternal_neonatal_care, diabetes_care, hypertension_care, nutrition_services, cancer_screening.
+Each of the last 5 is an object of capability (capable | limited | not_capable | unknown), confidence (high | medium | low), evidence (list of texts, each copied letter by letter from one field) and limitation (text, may be empty).
+Read every field clause by clause. A clause that is negated speaks against a category, one about plans is skipped, one about basic or referred care counts as weak, any other as strong.
+Strong clauses in two fields and none against: capable. Any other clause for it: limited. Clauses against it only: not_capable. No clause: unknown.
+data_confidence follows the number of fields with text: 4 or 5 high, 2 or 3 medium, else low.
+""" + "".join(f"{key}: {', '.join(CAP.CATEGORY_TERMS[key])}.\n" for key, _ in CAP.CATEGORIES)
 
 
 def _prompt_sql() -> str:
     parts = [f"'{_PROMPT}'"]
-    for label, col, default in (("Facility name", "name", "unknown"), ("Description", "description", "none"),
-                                ("Specialties", "specialties", "none"), ("Equipment", "equipment", "none"),
-                                ("Procedures", "procedure", "none"), ("Capabilities", "capability", "none")):
-        parts += [f"'\n{label}: '", f"coalesce({col}, '{default}')"]
+    for col, default in (("name", "unknown"), ("description", "none"), ("specialties", "none"), ("equipment", "none"),
+                         ("procedure", "none"), ("capability", "none")):
+        parts += [f"'\n{col}: '", f"coalesce({col}, '{default}')"]
     return f"SELECT unique_id, concat({', '.join(parts)}) AS assessment_prompt FROM ({S.facility_texts_sql()}) t"
 
 

@@ -266,8 +266,8 @@ def expected_capability_sql() -> str:
         cols += [
             f"{c} AS {s}_capability",
             f"CASE {c} WHEN 'capable' THEN 'medium' WHEN 'not_capable' THEN 'medium' ELSE 'low' END AS {s}_confidence",
-            f"CASE {c} WHEN 'capable' THEN 'specialties; procedure' WHEN 'limited' THEN 'description' ELSE '' END"
-            f" AS {s}_evidence",
+            f"CASE {c} WHEN 'capable' THEN '{_TERMS[j]}; {_TERMS[j]} treatment' WHEN 'limited' THEN 'basic {_TERMS[j]} screening' "
+            f"WHEN 'not_capable' THEN 'no {_TERMS[j]} services' ELSE '' END AS {s}_evidence",
             f"CASE {c} WHEN 'capable' THEN '' WHEN 'limited' THEN 'documented in one field only' "
             f"WHEN 'not_capable' THEN 'service stated as not offered' ELSE 'no documentation for this service' END"
             f" AS {s}_limitation",
