@@ -209,6 +209,19 @@ def q_assessment_violations(spark, sf):
     return AS.assessment_violations(FX.corrupt_assessments(AS.assess_facilities(FX.facilities(spark, sf))))
 
 
+@register("assessment_quarantine", f"""SELECT f.unique_id, v.n IS NOT NULL AS rejected, coalesce(v.n, 0) AS n_violations
+FROM (SELECT cast(p_partkey AS varchar) AS unique_id FROM part) f
+LEFT JOIN (SELECT unique_id, cast(count(*) AS integer) AS n FROM ({_violations_sql()}) x GROUP BY unique_id) v USING (unique_id)""")
+def q_assessment_quarantine(spark, sf):
+    """Good and rejected rows, written and counted in one pass, read back."""
+    from deserta.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarantine/{uuid.uuid4().hex}"
+    good, bad, _ = AS.quarantined(FX.corrupt_assessments(AS.assess_facilities(FX.facilities(spark, sf))), path)
+    return good.select("unique_id", F.lit(False).alias("rejected"), F.lit(0).alias("n_violations")).unionByName(
+        bad.select("unique_id", F.lit(True).alias("rejected"), F.size("violations").alias("n_violations")))
+
+
 # ---- step 4: serving tables, kNN and the district join --------------------------------------------------------------
 
 from pyspark.sql import functions as F  # noqa: E402
@@ -382,6 +395,13 @@ def q_scope_filter(spark, sf):
     return _serving_scalar(CO.scope_filter(planning(spark, sf), state="NATION_3"))
 
 
+@register("scope_filter_search", f"""SELECT * FROM {_PLAN} WHERE trim(state_ut) = 'NATION_9'
+  AND contains(lower(district_name), 'lier#0000000') AND planning_priority_tier = 'Urgent'""", doubles=_SERVING_DOUBLES)
+def q_scope_filter_search(spark, sf):
+    """State, search text and tier together."""
+    return _serving_scalar(CO.scope_filter(planning(spark, sf), "NATION_9", "  LIER#0000000 ", "Urgent"))
+
+
 def _w(c):
     return f"CASE {c} WHEN 'High Risk' THEN 3 WHEN 'Medium Risk' THEN 2 WHEN 'Low Risk' THEN 1 ELSE 0 END"
 
@@ -782,6 +802,19 @@ def q_district_center_of(spark, sf):
     return SV.district_center_of(dist, f" {first['district_key'].lower()} ", first["state_key"].lower())
 
 
+@register("district_centers_of", f"""SELECT ' ' || lower(district_key) || '  ' AS district, lower(state_key) || ' ' AS state,
+  latitude AS center_latitude, longitude AS center_longitude FROM ({S.geo_sql()}) g
+UNION ALL SELECT 'near ' || lower(district_key), lower(state_key), NULL, NULL FROM ({S.geo_sql()}) g""",
+          doubles=("center_latitude", "center_longitude"))
+def q_district_centers_of(spark, sf):
+    """A3 for every district in another spelling, and for as many that do not exist."""
+    dist = distance_table(spark, sf)
+    keys = SV.district_geo(dist).select(F.lower("district_key").alias("d"), F.lower("state_key").alias("s"))
+    asked = keys.select(F.concat(F.lit(" "), "d", F.lit("  ")).alias("district"), F.concat("s", F.lit(" ")).alias("state")) \
+        .unionByName(keys.select(F.concat(F.lit("near "), "d").alias("district"), F.col("s").alias("state")))
+    return SV.district_centers_of(dist, asked)
+
+
 @register("scan_geojson", f"SELECT feature_index, NAME_1, NAME_2, {_SHAPE_SQL} FROM ({S.boundaries_sql()}) b",
           doubles=_SHAPE_DOUBLES)
 def q_scan_geojson(spark, sf):

@@ -64,6 +64,15 @@ def district_center_of(distances: DataFrame, district: str, state: str, mode: st
                       F.when(F.col("_n") > 0, exact_mean("_slon", "_n")).alias("center_longitude"))
 
 
+def district_centers_of(distances: DataFrame, asked: DataFrame, mode: str = "upper") -> DataFrame:
+    """A3 for a table ``asked`` (district, state) in any spelling: each of its rows with the center of its district over the
+    link rows, NULL when nothing matches. One aggregation of the links and one join on the normalised keys."""
+    geo = district_geo(distances, mode).select("district_key", "state_key", F.col("latitude").alias("center_latitude"),
+                                               F.col("longitude").alias("center_longitude"))
+    return with_keys(asked, "district", "state", mode).join(geo, ["district_key", "state_key"], "left").select(
+        "district", "state", "center_latitude", "center_longitude")
+
+
 def facility_locations(facilities: DataFrame) -> DataFrame:
     """One row per facility of the directory with coordinates, however far it is from every district. Of several
     rows of one id the smallest is kept whole (min() over a struct, partially aggregated before the shuffle)."""
