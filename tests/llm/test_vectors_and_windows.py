@@ -210,6 +210,9 @@ def test_range_hashes_do_not_depend_on_slices(monkeypatch):
     monkeypatch.setattr(common, "SLICE", 100)
     monkeypatch.setattr(common, "_powers", [])
     assert (common.range_hashes(buf, starts, ends) == whole).all()
+    mixed = np.random.default_rng(4).permutation(300)
+    assert (common.range_hashes(buf, starts[mixed], ends[mixed]) == whole[mixed]).all()
+    assert len({(int(h), buf[a:z].tobytes()) for h, a, z in zip(whole, starts, ends)}) == len(set(whole.tolist()))
 
 
 def test_near_duplicates_go_by_row(spark):
