@@ -7,7 +7,8 @@ lines, as notices are often one line of a longer text.
 
 Only DataFrame operations. The whole-document lookup is a hash join with the known digests. Lines are looked up in the
 same table as a constant map, which keeps a document's lines in its row: nothing is exploded or regrouped. The known
-table is checked to hold at most ``MAX_KNOWN`` digests before it is sent to the executors; a larger one raises.
+table is sent to the executors only if it is found to hold at most ``MAX_KNOWN`` digests. A larger one stays distributed:
+the digests of all lines, counted per row first, meet it in a hash join as the whole documents do, with the same result.
 
 Known are short notices (``KNOWN``) and the complete texts in ``license_texts`` in their usual forms (``full_texts``).
 
@@ -24,6 +25,8 @@ from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import common as C
+
 MAX_KNOWN = 10_000
 
 # Notices and short licence texts by identifier.
@@ -106,22 +109,37 @@ def built_in(spark: SparkSession) -> DataFrame:
 def with_licenses(df: DataFrame, known: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """``df`` with license (id that the whole text matches, else null), notices (sorted ids of its matching lines) and
     n_notices (number of matching lines)."""
-    spark = df.sparkSession
-    table = known_digests(known if known is not None else built_in(spark))
+    table = known_digests(known if known is not None else built_in(df.sparkSession))
+    base = df.select(*[c for c in df.columns if c not in ("license", "notices", "n_notices")])
+    base = base.withColumn("__form", F.coalesce(canonical(F.col(text_col)), F.lit("")))
+    base = base.withColumn("__digest", digest(one_line(F.col("__form"))))
     rows = table.limit(MAX_KNOWN + 1).collect()
-    if len(rows) > MAX_KNOWN:
-        raise ValueError(f"more than {MAX_KNOWN} known licence texts")
+    out = _by_map(base, rows, table.schema) if len(rows) <= MAX_KNOWN else _by_join(base, table)
+    return out.drop("__form", "__found", "__digest", "__row", "__ids", "__n")
+
+
+def _by_map(base: DataFrame, rows: list, schema) -> DataFrame:
     known_map = F.create_map(*[F.lit(x) for r in rows for x in (r["digest"], r["license"])]) if rows else \
         F.create_map().cast("map<string,string>")
-    base = df.select(*[c for c in df.columns if c not in ("license", "notices", "n_notices")])
-    base = base.withColumn("__form", F.coalesce(canonical(F.col(text_col)), F.lit("")))
     found = F.filter(F.transform(F.split("__form", "\n", -1), lambda x: F.element_at(known_map, digest(F.trim(x)))),
                      lambda x: x.isNotNull())
-    base = base.withColumn("__found", found).withColumn("__digest", digest(one_line(F.col("__form"))))
-    out = base.join(F.broadcast(spark.createDataFrame(rows, table.schema)) if rows else table,
-                    base["__digest"] == F.col("digest"), "left")
-    return (out.withColumn("notices", F.concat_ws(",", F.array_sort(F.array_distinct("__found"))))
-            .withColumn("n_notices", F.size("__found").cast("long")).drop("__form", "__found", "__digest", "digest"))
+    table = base.sparkSession.createDataFrame(rows, schema).withColumnRenamed("digest", "__digest")
+    return (base.withColumn("__found", found).join(F.broadcast(table), "__digest", "left")
+            .withColumn("notices", F.concat_ws(",", F.array_sort(F.array_distinct("__found"))))
+            .withColumn("n_notices", F.size("__found").cast("long")))
+
+
+def _by_join(base: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows are numbered in a written table, so that a recomputed task gives them the same numbers."""
+    base = C.written(base.withColumn("__row", F.monotonically_increasing_id()), "licenses")
+    table = C.written(table.withColumnRenamed("digest", "__digest"), "known")
+    lines = (base.select("__row", F.explode(F.transform(F.split("__form", "\n", -1), lambda x: digest(F.trim(x)))).alias("__digest"))
+             .where(F.col("__digest").isNotNull()).groupBy("__row", "__digest").agg(F.count("*").alias("__n")))
+    found = (lines.join(table, "__digest").groupBy("__row")
+             .agg(F.collect_set("license").alias("__ids"), F.sum("__n").alias("__n")))
+    return (base.join(table, "__digest", "left").join(found, "__row", "left")
+            .withColumn("notices", F.coalesce(F.concat_ws(",", F.array_sort("__ids")), F.lit("")))
+            .withColumn("n_notices", F.coalesce(F.col("__n"), F.lit(0).cast("long"))))
 
 
 def license_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

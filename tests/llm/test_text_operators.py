@@ -350,6 +350,18 @@ def test_licenses(spark, docs):
     assert license_scan.license_report(docs[0]).count() == len(docs[1])
 
 
+def test_more_known_licenses_than_the_bound_give_the_same_result(spark, docs, monkeypatch):
+    lines = "Copyright (c) 2020 A\nReleased under the MIT LICENCE!\nAll rights reserved.\nall rights reserved"
+    df = docs[0].select("doc_id", "text").union(frame(spark, [(70, lines), (70, lines), (71, "Licensed under CC BY 4.0."), (None, "All rights reserved")]))
+    df = df.withColumn("license", F.lit("x")).withColumn("n", F.col("doc_id"))
+    want = sorted(map(str, license_scan.with_licenses(df).select("doc_id", "n", "license", "notices", "n_notices").collect()))
+    monkeypatch.setattr(license_scan, "MAX_KNOWN", 3)
+    got = license_scan.with_licenses(df)
+    assert sorted(map(str, got.select("doc_id", "n", "license", "notices", "n_notices").collect())) == want
+    assert set(got.columns) == {*df.columns, "notices", "n_notices"}
+    assert license_scan.with_licenses(df.limit(0)).count() == 0
+
+
 def test_complete_licence_texts(spark):
     def text(name):
         return license_scan.files("deserta.llm").joinpath("license_texts", f"{name}.txt").read_text(encoding="utf-8")
