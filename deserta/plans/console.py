@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from deserta.functions import planning as P
 from deserta.functions.cleaning import coerce_string, list_preview, short_label, snake_label
 from deserta.functions.geo import SERVING_RADIUS_KM, haversine_km
+from deserta.operators.thinning import thin_links
 from deserta.plans.serving import FACILITY_LIST_COLUMNS, KEYS
 
 # Risk category ids -> scored field, the tier ranks, the map labels of the facility lists and the
@@ -130,6 +131,12 @@ def thin_nearest(nearest: DataFrame, min_km: float = OVERLAP_KM) -> DataFrame:
             .select(*group, "_f.*"))
 
 
+def thin_all_links(links: DataFrame, min_km: float = OVERLAP_KM) -> DataFrame:
+    """G2 for the whole distance table: per district, all linked facilities by distance without those that overlap a kept one."""
+    return thin_links(links, ["district", "statename"], ["distance_kilometers", "unique_id"], "facility_latitude",
+                      "facility_longitude", min_km)
+
+
 def facility_features(thinned: DataFrame) -> DataFrame:
     """Per shown facility a LineString (center -> facility), a Point with popup properties and a label Point
     at the midpoint, as GeoJSON Feature text."""

@@ -588,6 +588,24 @@ k AS (
 SELECT district_key, state_key, category, unique_id, distance_kilometers FROM k WHERE kept"""
 
 
+def thin_links_sql(min_km: float = 3.0) -> str:
+    """G2 over all links of a district: the walk, one place after the other."""
+    close = haversine_sql("k.la", "k.lo", "xs[i + 1].la", "xs[i + 1].lo", "6371")
+    return f"""
+WITH RECURSIVE lists AS (
+  SELECT district, statename, list({{'d': distance_kilometers, 'la': facility_latitude, 'lo': facility_longitude, 'id': unique_id}}
+           ORDER BY distance_kilometers, unique_id) AS xs
+  FROM ({distances_sql()}) l GROUP BY district, statename),
+walk AS (
+  SELECT district, statename, xs, 1 AS i, [xs[1]] AS kept FROM lists
+  UNION ALL
+  SELECT district, statename, xs, i + 1,
+    CASE WHEN len(list_filter(kept, lambda k: {close} < {min_km})) = 0 THEN list_append(kept, xs[i + 1]) ELSE kept END
+  FROM walk WHERE i < len(xs)),
+ends AS (SELECT district, statename, unnest(kept) AS k FROM walk WHERE i = len(xs))
+SELECT district, statename, k.id AS unique_id, k.d AS distance_kilometers FROM ends"""
+
+
 def boundaries_sql() -> str:
     return f"""
 SELECT s AS feature_index, CASE WHEN s%7=0 THEN NULL ELSE district END AS NAME_2, statename AS NAME_1,
