@@ -44,7 +44,7 @@ def thin_links(links: DataFrame, group: list[str], rank: list[str], lat: str, lo
     cell = 360.0 / ncols
     first = [*rank, lat, lon]
     row = F.struct(*first, *[c for c in links.columns if c not in first])
-    placed = ~(F.isnan(lat) | F.isnan(lon))
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
     key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"})
     i, j = point_cell(F.col(lat), F.col(lon), cell, ncols)
     cells = ["_g", "_i", "_j"]
@@ -65,5 +65,5 @@ def thin_links(links: DataFrame, group: list[str], rank: list[str], lat: str, lo
                              earth_radius_km) < min_km
         same = [F.col(f"l.{c}") == F.col(f"k.{c}") for c in cells]
         live = checkpoint_table(live.alias("l").join(near, functools.reduce(lambda a, b: a & b, [*same, close]), "left_anti"), "places")
-    unplaced = links.where(F.coalesce(~placed, F.lit(True)))
+    unplaced = links.where(~placed)
     return functools.reduce(DataFrame.unionByName, [k.select("_r.*").select(*links.columns) for k in kept], unplaced)
