@@ -111,11 +111,15 @@ def _field_sql(field: str) -> str:
     known = _lit(_pattern([t for terms in CATEGORY_TERMS.values() for t in terms]))
     clauses = (f"filter(transform(split(regexp_replace(v, {_lit(_BEFORE)}, ';'), {_lit(_SPLIT)}), c -> trim(c)), "
                f"c -> c rlike {known} AND NOT c rlike {_lit(_PLANS)})")
-    against = (f"filter(transform(concat(regexp_extract_all(t, {_lit(_AFTER_LIST)}, 0), regexp_extract_all(u, {_lit(_AFTER_ONE)}, 0), "
-               f"regexp_extract_all(v, {_lit(_BEFORE)}, 0)), c -> trim(c)), c -> c rlike {known})")
-    cut = _let(f"regexp_replace(t, {_lit(_AFTER_LIST)}, ';')", "u",
-               _let(f"regexp_replace(u, {_lit(_AFTER_ONE)}, ';')", "v", f"named_struct('p', {clauses}, 'n', {against})"))
     none = "cast(array() AS array<string>)"
+    out = _lit(rf"(?i){_OUT}")  # few texts have a negation that follows; only these are searched for what it covers
+    after = f"concat(regexp_extract_all(t, {_lit(_AFTER_LIST)}, 0), regexp_extract_all(u, {_lit(_AFTER_ONE)}, 0))"
+    against = (f"filter(transform(concat(CASE WHEN o THEN {after} ELSE {none} END, regexp_extract_all(v, {_lit(_BEFORE)}, 0)), "
+               f"c -> trim(c)), c -> c rlike {known})")
+    cut = _let(f"t rlike {out}", "o",
+               _let(f"CASE WHEN o THEN regexp_replace(t, {_lit(_AFTER_LIST)}, ';') ELSE t END", "u",
+                    _let(f"CASE WHEN o THEN regexp_replace(u, {_lit(_AFTER_ONE)}, ';') ELSE u END", "v",
+                         f"named_struct('p', {clauses}, 'n', {against})")))
     return _let(f"`{field}`", "t", f"CASE WHEN t rlike {known} THEN {cut} ELSE named_struct('p', {none}, 'n', {none}) END")
 
 

@@ -1,9 +1,10 @@
 """Exact k nearest points per (center, group) without a distance cap and without a cross join.
 
-Points are counted in a pyramid of grid cells, each level eight times finer per side. Every center (and group) walks down
+Points are counted in a pyramid of grid cells, each level eight times finer per side. A cell of at most ``LEAF`` points, or of
+the finest level, is a leaf: it is not divided, and every point belongs to one leaf. Every center (and group) walks down
 the pyramid with a frontier of cells: a cell's points lie between a smallest and a largest distance from the center, the
 k-th smallest largest distance (counting points) bounds the k-th neighbour, and cells that begin beyond it are dropped. The
-cells left at the finest level, about ten metres wide, are joined with their points.
+leaves left when no other cells are left are joined with their points. There are as many rounds as the densest place needs.
 
 Dense and empty places are thus searched at their own scale: a center in a city sees its own streets, a center far from
 everything descends into the nearest few cells of the nearest cluster, and neither meets all points of either. All joins are
@@ -20,6 +21,8 @@ from deserta.functions.geo import SERVING_RADIUS_KM, haversine_km
 
 #: Cells of level i are 180 / 8**i degrees wide; the finest level has cells of about 9 m.
 LEVELS = 7
+#: Cells of at most this many points (of one group) are not divided.
+LEAF = 16
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
@@ -34,28 +37,42 @@ def _cell(degrees, offset: float, count: int):
     return F.least(F.floor((degrees + offset) / size), F.lit(count - 1)).cast("long")
 
 
-def _cell_counts(points: DataFrame, groups: list[str]) -> DataFrame:
-    """level, y, x, group, n: points per cell of every level, from one partial aggregation."""
-    finest = points.groupBy(*groups, "_y", "_x").agg(F.count(F.lit(1)).alias("n"))
+def _ancestors(finest: DataFrame) -> DataFrame:
+    """Every row of ``finest`` once per level, with the cell (level, y, x) that holds its finest cell."""
     levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.expr(f"_y div {8 ** (LEVELS - i)}").alias("y"),
                                           F.expr(f"_x div {8 ** (LEVELS - i)}").alias("x")) for i in range(LEVELS + 1)]))
-    return (finest.select(*groups, "n", levels.alias("c")).groupBy("c.level", "c.y", "c.x", *groups)
-            .agg(F.sum("n").alias("n")))
+    return finest.select("*", levels.alias("c")).select("*", "c.*").drop("c")
+
+
+def _cell_counts(points: DataFrame, groups: list[str]) -> DataFrame:
+    """level, y, x, group, n, leaf: points per cell of every level, from one partial aggregation."""
+    finest = points.groupBy(*groups, "_y", "_x").agg(F.count(F.lit(1)).alias("n"))
+    return (_ancestors(finest).groupBy("level", "y", "x", *groups).agg(F.sum("n").alias("n"))
+            .withColumn("leaf", F.expr(f"n <= {LEAF} OR level = {LEVELS}")))
+
+
+def _leaf_points(placed: DataFrame, cells: DataFrame, groups: list[str]) -> DataFrame:
+    """``placed`` with the leaf (level, y, x) of every point, looked up once per finest cell."""
+    finest = placed.select(*groups, "_y", "_x").distinct()
+    first = F.min(F.struct("level", "y", "x")).alias("c")
+    of_finest = (_ancestors(finest).join(cells.where("leaf").select("level", "y", "x", *groups), ["level", "y", "x", *groups])
+                 .groupBy(*groups, "_y", "_x").agg(first))
+    return placed.join(of_finest, [*groups, "_y", "_x"]).select("*", "c.*").drop("c", "_y", "_x")
 
 
-def _pruned(frontier: DataFrame, part: list[str], lat: str, lon: str, level: int, k: int, radius: float) -> DataFrame:
+def _pruned(frontier: DataFrame, part: list[str], lat: str, lon: str, k: int, radius: float) -> DataFrame:
     """The frontier's cells that may hold one of the k nearest points of their center."""
-    size = 180.0 / 8 ** level
+    size = F.lit(180.0) / F.pow(F.lit(8.0), F.col("level"))
     mid_lat, mid_lon = F.col("y") * size + (size / 2 - 90.0), F.col("x") * size + (size / 2 - 180.0)
     widest = F.cos(F.radians(F.greatest(F.abs(mid_lat) - size / 2, F.lit(0.0))))
-    reach = radius * F.radians(F.lit(size / 2)) * (1 + widest) * (1 + 1e-9) + 1e-3  # from the middle to any point of the cell
+    reach = radius * F.radians(size / 2) * (1 + widest) * (1 + 1e-9) + 1e-3  # from the middle to any point of the cell
     d = haversine_km(F.col(lat), F.col(lon), mid_lat, mid_lon, radius)
     near = frontier.withColumn("_d", d).withColumn("_r", reach).withColumn("_far", F.col("_d") + F.col("_r"))
     by_far = Window.partitionBy(*part).orderBy("_far").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = near.withColumn("_held", F.sum("n").over(by_far))
     enough = F.min(F.when(F.col("_held") >= k, F.col("_far"))).over(Window.partitionBy(*part))
     return (near.withColumn("_bound", enough).where("_bound IS NULL OR _d - _r <= _bound")
-            .drop("_d", "_r", "_far", "_held", "_bound", "n"))
+            .drop("_d", "_r", "_far", "_held", "_bound"))
 
 
 def knn_join(centers: DataFrame, center_keys: list[str], center_lat: str, center_lon: str,
@@ -69,7 +86,7 @@ def knn_join(centers: DataFrame, center_keys: list[str], center_lat: str, center
     Returns center keys, group, rank (1..k), all point columns and the distance. Ties are broken by ``tie_break``. Rows
     without finite coordinates in range take no part; a group of fewer than k points gives them all.
 
-    Eager: writes the placed points, the cell counts, one frontier half-way and the result to the shared folder.
+    Eager: writes the placed points, the cell counts, every third frontier and the result to the shared folder.
     """
     groups = [group_col] if group_col else []
     part = center_keys + groups
@@ -82,24 +99,32 @@ def knn_join(centers: DataFrame, center_keys: list[str], center_lat: str, center
               .withColumn("_x", _cell(F.pmod(F.col(point_lon) + 180.0, F.lit(360.0)) - 180.0, 180.0, 2 * 8 ** LEVELS)))
     placed = _checkpoint(placed)
     cells = _checkpoint(_cell_counts(placed, groups))
-    roots = F.explode(F.array(*[F.struct(F.lit(0).cast("long").alias("y"), F.lit(x).cast("long").alias("x")) for x in (0, 1)]))
-    frontier = ctr.withColumn("_c", roots).select(*part, "_clat", "_clon", "_c.y", "_c.x")
-    frontier = frontier.join(cells.where("level = 0").drop("level"), ["y", "x", *groups])
-    for level in range(LEVELS + 1):
-        frontier = _pruned(frontier, part, "_clat", "_clon", level, k, earth_radius_km)
-        if level == LEVELS // 2:
-            frontier = _checkpoint(frontier)
-        if level < LEVELS:
-            children = cells.where(F.col("level") == level + 1).select(
-                F.expr("y div 8").alias("_py"), F.expr("x div 8").alias("_px"), F.col("y").alias("_ny"), F.col("x").alias("_nx"),
-                "n", *groups)
-            frontier = (frontier.withColumnsRenamed({"y": "_py", "x": "_px"}).join(children, ["_py", "_px", *groups])
-                        .withColumnsRenamed({"_ny": "y", "_nx": "x"}).drop("_py", "_px"))
-    found = frontier.withColumnsRenamed({"y": "_y", "x": "_x"}).join(placed, ["_y", "_x", *groups])
+    deepest = cells.where("NOT leaf").agg(F.max("level")).first()[0]
+    roots = F.explode(F.array(*[F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("y"),
+                                         F.lit(x).cast("long").alias("x")) for x in (0, 1)]))
+    # A center's frontier is many times its row: by number, so that few small rows are not put into one task.
+    tasks = int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frontier = (ctr.repartition(tasks, *part).withColumn("_c", roots).select(*part, "_clat", "_clon", "_c.*")
+                .join(cells.where("level = 0"), ["level", "y", "x", *groups]))
+    frontier = _pruned(frontier, part, "_clat", "_clon", k, earth_radius_km)
+    names = [*part, "_clat", "_clon", "level", "y", "x", "n", "leaf"]
+    for level in range(0 if deepest is None else deepest + 1):
+        if level % 3 == 2:
+            frontier = _checkpoint(frontier).repartition(tasks, *part)
+        children = cells.where(F.col("level") == level + 1).select(
+            F.expr("y div 8").alias("_py"), F.expr("x div 8").alias("_px"), *groups,
+            F.struct("level", "y", "x", "n", "leaf").alias("_child"))
+        # A leaf stays as it is; its number of an undivided parent is null and finds no children.
+        up = frontier.withColumn("_py", F.expr("CASE WHEN NOT leaf THEN y END")).withColumn("_px", F.col("x"))
+        down = up.join(children, ["_py", "_px", *groups], "left").where("leaf OR _child IS NOT NULL")
+        cell = F.coalesce("_child", F.struct("level", "y", "x", "n", "leaf"))
+        frontier = down.select(*part, "_clat", "_clon", cell.alias("_c")).select(*part, "_clat", "_clon", "_c.*").select(*names)
+        frontier = _pruned(frontier, part, "_clat", "_clon", k, earth_radius_km)
+    found = frontier.drop("n", "leaf").join(_leaf_points(placed, cells, groups), ["level", "y", "x", *groups])
     d = haversine_km(F.col(point_lat), F.col(point_lon), F.col("_clat"), F.col("_clon"), earth_radius_km)
     nearest = Window.partitionBy(*part).orderBy(F.col(distance_col).asc(), F.col(tie_break).asc())
     ranked = found.withColumn(distance_col, d).withColumn(rank_col, F.row_number().over(nearest)).where(F.col(rank_col) <= k)
-    return _checkpoint(ranked.drop("_clat", "_clon", "_y", "_x"))
+    return _checkpoint(ranked.drop("_clat", "_clon", "level", "y", "x"))
 
 
 def ordered_topk(knn: DataFrame, keys: list[str], fields: list[str], rank_col: str = "rank",
