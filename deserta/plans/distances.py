@@ -16,6 +16,9 @@ DISTANCE_COLUMNS = ("unique_id", "name", "address_city", "address_stateOrRegion"
                     "facility_longitude", "district", "statename", "center_latitude", "center_longitude",
                     "distance_kilometers", "office_count")
 
+#: Facilities of a grid cell beyond which the distance join divides the cell.
+DENSE_CELL = 50_000
+
 
 def valid_coordinates(df: DataFrame, lat: str = "latitude", lon: str = "longitude",
                       lat_out: str = "latitude_num", lon_out: str = "longitude_num") -> DataFrame:
@@ -74,11 +77,12 @@ def facility_points(facilities: DataFrame) -> DataFrame:
 
 def facility_district_distances(facilities: DataFrame, centers: DataFrame, radius_km: float = DISTANCE_CAP_KM,
                                 earth_radius_km: float = ETL_RADIUS_KM, cell_deg: float | None = None,
-                                ordered: bool = False) -> DataFrame:
-    """Every (facility, district) pair within ``radius_km``; optionally sorted by (unique_id, distance)."""
+                                ordered: bool = False, dense_cell: int = DENSE_CELL) -> DataFrame:
+    """Every (facility, district) pair within ``radius_km``; optionally sorted by (unique_id, distance). Grid cells of
+    more than ``dense_cell`` facilities are split by their counts."""
     out = within_distance_join(
         facility_points(facilities), "facility_latitude", "facility_longitude",
         centers, "center_latitude", "center_longitude",
-        radius_km=radius_km, earth_radius_km=earth_radius_km, cell_deg=cell_deg,
+        radius_km=radius_km, earth_radius_km=earth_radius_km, cell_deg=cell_deg, dense_cell=dense_cell,
     ).select(*DISTANCE_COLUMNS)
     return out.orderBy("unique_id", "distance_kilometers") if ordered else out

@@ -125,6 +125,13 @@ def q_facility_district_distances(spark, sf):
     return distance_table(spark, sf)
 
 
+@register("facility_district_distances_split", _DIST_SQL, doubles=(
+    "facility_latitude", "facility_longitude", "center_latitude", "center_longitude", "distance_kilometers"))
+def q_facility_district_distances_split(spark, sf):
+    """J1 with cells split from 20 facilities on, as the test facilities have no dense city."""
+    return DS.facility_district_distances(FX.facilities(spark, sf), centers(spark, sf), dense_cell=20)
+
+
 # ---- step 3: capability assessment --------------------------------------------------------------------------------
 
 from deserta.functions import capability as CAP  # noqa: E402
