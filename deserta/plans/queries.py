@@ -419,6 +419,24 @@ def _w(c):
     return f"CASE {c} WHEN 'High Risk' THEN 3 WHEN 'Medium Risk' THEN 2 WHEN 'Low Risk' THEN 1 ELSE 0 END"
 
 
+_SEARCHES = """SELECT s_suppkey AS search_id, CASE s_suppkey % 3 WHEN 0 THEN upper(substr(s_name, 5)) WHEN 1 THEN
+  concat(' ', substr(s_name, length(s_name) - 2), ' ') ELSE substr(s_name, length(s_name) - 1) END AS search_text FROM supplier WHERE s_suppkey % 5 = 0"""
+
+
+@register("district_search", f"""SELECT s.search_id, s.search_text, i.state_ut, i.district_name FROM ({S.indicators_sql("supplier")}) i
+JOIN ({_SEARCHES}) s ON contains(lower(i.district_name), lower(trim(s.search_text)))""")
+def q_district_search(spark, sf):
+    """F2's text search, for many searches at once, by gram index."""
+    from deserta.operators.substring_search import rows_found
+    from deserta.sources.tables import scan_parquet
+
+    searches = scan_parquet(spark, sf, "supplier").where("s_suppkey % 5 = 0").selectExpr(
+        "s_suppkey AS search_id", "CASE s_suppkey % 3 WHEN 0 THEN upper(substr(s_name, 5)) WHEN 1 THEN "
+        "concat(' ', substr(s_name, length(s_name) - 2), ' ') ELSE substr(s_name, length(s_name) - 1) END AS search_text")
+    return rows_found(indicators(spark, sf, "supplier").select("state_ut", "district_name"), "district_name", searches,
+                      "search_text").select("search_id", "search_text", "state_ut", "district_name")
+
+
 _TIER_RANK_SQL = ("CASE planning_priority_tier WHEN 'Urgent' THEN 4 WHEN 'High' THEN 3 WHEN 'Watch' THEN 2 "
                   "WHEN 'Monitor' THEN 1 ELSE 0 END")
 
