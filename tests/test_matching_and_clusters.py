@@ -40,6 +40,18 @@ def test_a_chain_of_overlaps_settles(spark):
     assert {r["b"]: r["p"] for r in ordered_matches(df, "b", "p", "r").collect()} == walk(pairs)
 
 
+def test_takers_that_all_want_the_same_items_go_in_blocks(spark):
+    """60 takers with one ranking of 60 items would be 60 rounds; blocks of 25 and 1,000 takers need far fewer jobs."""
+    pairs = [(t, i, (i * 37 % 60) // 2) for t in range(60) for i in range(60) if (t * 7 + i) % 11]
+    df = spark.createDataFrame(pairs, "b long, p long, r int")
+    for block in (25, 1000):
+        spark.sparkContext.setJobGroup(f"block {block}", "")
+        assert {r["b"]: r["p"] for r in ordered_matches(df, "b", "p", "r", block).collect()} == walk(pairs)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"block {block}")
+        assert len(jobs) < 60
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_a_later_boundary_gets_the_point_that_an_earlier_one_did_not_need(spark):
     squares = [(i, float(x), float(y), h) for i, (x, y, h) in enumerate(
         (x, y, h) for x in range(0, 6, 2) for y in range(0, 6, 2) for h in (2.5, 1.6))]
