@@ -10,7 +10,7 @@ decide everywhere at once:
 The nearest live place of every group is kept in each round, so the rounds end, and they end in the result of the walk. The
 number of rounds is that of the longest chain of ever nearer neighbouring cells: a few where places are sparse, and at
 most about the radius of a group over a cell where they cover it whole. No pairs of places are made and no list is gathered: a
-round joins cells with cells and places with kept ones, and is written to the shared folder.
+round joins cells with cells and places with kept ones, by shuffles only, and is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from deserta.functions.geo import SERVING_RADIUS_KM, haversine_km
 from deserta.operators.distance_join import cap_cells, point_cell
-from deserta.sources.tables import checkpoint_table
+from deserta.sources.tables import checkpoint_table, shuffled
 
 CELLS_ACROSS = 3
 MIN_CELL_DEG = 0.002
@@ -57,13 +57,13 @@ def thin_links(links: DataFrame, group: list[str], rank: list[str], lat: str, lo
 
     while not live.isEmpty():
         best = live.groupBy(*cells).agg(F.min("_r").alias("_best"))
-        around = (touched(best.select("_g", F.col("_best").alias("_r"))).join(best, cells)
+        around = (touched(best.select("_g", F.col("_best").alias("_r"))).join(shuffled(best), cells)
                   .groupBy("_g", "_r").agg(F.min("_best").alias("_nearest")))
         kept.append(checkpoint_table(around.where("_r = _nearest").select("_g", "_r"), "kept"))
-        near = touched(kept[-1]).withColumnRenamed("_r", "_k").alias("k")
+        near = touched(kept[-1]).withColumnRenamed("_r", "_k")
         close = haversine_km(F.col(f"k._k.{lat}"), F.col(f"k._k.{lon}"), F.col(f"l._r.{lat}"), F.col(f"l._r.{lon}"),
                              earth_radius_km) < min_km
         same = [F.col(f"l.{c}") == F.col(f"k.{c}") for c in cells]
-        live = checkpoint_table(live.alias("l").join(near, functools.reduce(lambda a, b: a & b, [*same, close]), "left_anti"), "places")
+        live = checkpoint_table(live.alias("l").join(shuffled(near).alias("k"), functools.reduce(lambda a, b: a & b, [*same, close]), "left_anti"), "places")
     unplaced = links.where(~placed)
     return functools.reduce(DataFrame.unionByName, [k.select("_r.*").select(*links.columns) for k in kept], unplaced)

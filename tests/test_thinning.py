@@ -50,3 +50,19 @@ def test_one_crowded_place_makes_no_pairs(spark):
     rows = around(rng, "town", 5_000, 20.0, 78.0, 0.004)
     df = thin_links(spark.createDataFrame(rows, SCHEMA), ["grp"], ["km", "id"], "lat", "lon", 3.0)
     assert [r["id"] for r in df.collect()] == [min(rows, key=lambda r: (r[1], r[2]))[2]]
+
+
+def test_kept_places_are_not_broadcast(spark, monkeypatch):
+    """A kept place stands in dozens of cells: its file is small and its rows are not."""
+    from deserta.operators import thinning
+
+    plans, write = [], thinning.checkpoint_table
+
+    def seen(df, name="table"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(thinning, "checkpoint_table", seen)
+    rows = around(random.Random(5), "a", 60, 20.0, 78.0, 0.05)
+    assert thinned(spark, rows, 3.0) == walk(rows, 3.0)
+    assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
