@@ -69,3 +69,17 @@ def test_nothing_dense_keeps_the_plain_plan_and_empty_inputs_work(spark):
     assert sorted(plain.columns) == sorted(same.columns) and plain.count() == same.count()
     assert J.within_distance_join(p.where("false"), "lat", "lon", c, "clat", "clon", 160.0, dense_cell=50).count() == 0
     assert J.within_distance_join(p, "lat", "lon", c.where("false"), "clat", "clon", 160.0, dense_cell=50).count() == 0
+
+
+def test_a_low_bound_makes_no_salts(spark, monkeypatch):
+    """Each salt is a copy of every center within reach."""
+    r = random.Random(11)
+    points = [(i, "a", 19.0 + r.random() * 0.4, 72.8 + r.random() * 0.4) for i in range(4000)]
+    seen, split = [], J.split_centers
+    monkeypatch.setattr(J, "split_centers", lambda *a, **k: seen.append(split(*a, **k)) or seen[-1])
+    p = spark.createDataFrame(points, POINT)
+    c = spark.createDataFrame([(i, "a", 19.2, 73.0 + i / 100) for i in range(20)], CENTER).drop("svc")
+    got = J.within_distance_join(p, "lat", "lon", c, "clat", "clon", 30.0, dense_cell=20)
+    want = sum(haversine_py(a, b, 19.2, 73.0 + i / 100) <= 30.0 for _, _, a, b in points for i in range(20))
+    assert got.count() == want > 10000
+    assert seen[0].agg(F.max("_salt")).first()[0] == 0
