@@ -35,3 +35,11 @@ def test_boundary_features_matches_once(spark, monkeypatch):
     calls, match = [], CO.boundary_matches
     monkeypatch.setattr(CO, "boundary_matches", lambda *a, **k: calls.append(1) or match(*a, **k))
     assert Q.q_boundary_features(spark, SF001).count() > 0 and len(calls) == 1
+
+
+def test_boundary_joins_read_the_directory_once(spark, monkeypatch):
+    read, table = [], Q.CO.boundary_matches
+    monkeypatch.setattr(CO, "boundary_matches", lambda b, *a, **k: read.extend(b.inputFiles()) or table(b, *a, **k))
+    Q.q_point_in_polygon_join(spark, SF001)
+    Q.q_unreported_boundaries(spark, SF001)
+    assert read and not [f for f in read if "lineitem" in f]
