@@ -66,3 +66,62 @@ def test_kept_places_are_not_broadcast(spark, monkeypatch):
     rows = around(random.Random(5), "a", 60, 20.0, 78.0, 0.05)
     assert thinned(spark, rows, 3.0) == walk(rows, 3.0)
     assert len(plans) > 2 and not [p for p in plans if "Broadcast" in p]
+
+
+def within(spark, points, centers, radius, min_km):
+    from deserta.operators.thinning import thin_within
+
+    return thin_within(spark.createDataFrame(points, "id long, name string, lat double, lon double"), ["id"], "lat", "lon",
+                       spark.createDataFrame(centers, "grp string, clat double, clon double"), "clat", "clon", radius, min_km, distance_col="km")
+
+
+def walk_within(points, centers, radius, min_km):
+    out = []
+    for g, a, b in centers:
+        if a is None:
+            continue
+        near = sorted({(haversine_py(p[2], p[3], a, b), p[0] if p[0] is not None else -1, p[2], p[3], p[1]) for p in points if p[2] is not None and p[3] is not None})
+        kept = []
+        for r in near:
+            if r[0] <= radius and all(haversine_py(k[2], k[3], r[2], r[3]) >= min_km for k in kept):
+                kept.append(r)
+        out += [(g, r[1], r[4]) for r in kept]
+    return sorted(out, key=str)
+
+
+def test_links_thinned_where_they_are_made_equal_the_walk(spark, monkeypatch):
+    """Dense and sparse places, the date line, a pole, equal coordinates, equal distances, null coordinates and keys, repeated rows."""
+    from deserta.operators import thinning
+
+    monkeypatch.setattr(thinning, "SALTED", 40)
+    rng = random.Random(11)
+    at = ([(20 + rng.gauss(0, .8), 78 + rng.gauss(0, .8)) for _ in range(900)] + [(20.1 + rng.gauss(0, .01), 78.1 + rng.gauss(0, .01)) for _ in range(400)]
+          + [(-17 + rng.gauss(0, .5), (179.9 + rng.gauss(0, .9) + 180) % 360 - 180) for _ in range(200)] + [(88 + rng.random() * 2, rng.uniform(-180, 180)) for _ in range(150)]
+          + [(50.0 + x * .25, 10.0 + y * .5) for x in range(-4, 5) for y in range(-4, 5)] + [(90.0, 5.0), (-90.0, 7.0), (20.0, 78.0)])
+    points = [(i, f"n{i % 7}", a, b) for i, (a, b) in enumerate(at)]
+    points += [(5000 - i, "m", 20.0, 78.0) for i in range(9)] + [(3, "x", None, 1.0), (4, "x", 1.0, None), (None, "y", 50.0, 10.0), points[5], points[5]]
+    centers = [("a", 20.0, 78.0), ("b", 20.5, 78.4), ("c", -17.0, 179.99), ("d", -17.2, -179.6), ("e", 89.5, 0.0), ("f", 50.0, 10.0), (None, 50.25, 10.5),
+               ("g", None, 1.0), ("h", 0.0, 0.0), ("i", -90.0, 0.0)]
+    for radius, min_km in ((160.0, 45.0),):
+        got = sorted(((r["grp"], r["id"] if r["id"] is not None else -1, r["name"]) for r in within(spark, points, centers, radius, min_km).collect()), key=str)
+        assert got == walk_within(points, centers, radius, min_km) and len(got) > 20
+    assert within(spark, [], centers, 160.0, 60.0).count() == within(spark, points, [], 160.0, 60.0).count() == 0
+
+
+def test_links_are_not_written_for_thinning(spark, monkeypatch):
+    """2,000 places within reach of 40 districts are 80,000 links; what is written grows with the districts' cells."""
+    from deserta.operators import thinning
+
+    sizes, write = [], thinning.checkpoint_table
+
+    def seen(df, name="table"):
+        out = write(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(thinning, "checkpoint_table", seen)
+    rng = random.Random(2)
+    points = [(i, "n", 20 + rng.gauss(0, .3), 78 + rng.gauss(0, .3)) for i in range(2000)]
+    centers = [(f"d{i}", 20 + rng.gauss(0, .1), 78 + rng.gauss(0, .1)) for i in range(40)]
+    assert within(spark, points, centers, 160.0, 60.0).count() > 40
+    assert max(sizes) < 8_000
