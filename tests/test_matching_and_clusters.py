@@ -170,3 +170,41 @@ def test_numbers_equal_the_global_window_without_one_task(spark):
     assert numbered(df.limit(0), [F.col("k")]).count() == 0
     few = spark.createDataFrame([(None, 1), ("b", 2), ("a", 3)], "k string, v int")
     assert {r["v"]: r["row_number"] for r in numbered(few, [F.col("k").asc_nulls_last()]).collect()} == {3: 1, 2: 2, 1: 3}
+
+
+def test_large_boundaries_meet_the_points_in_layers(spark, monkeypatch):
+    """Overlapping boundaries over many points: the pairs that are made are a part of all, and the match is the walk's."""
+    import random
+
+    from deserta.operators import polygon
+
+    monkeypatch.setattr(polygon, "PAIRS", 0)
+    monkeypatch.setattr(polygon, "LAYER", 25)
+    rng = random.Random(4)
+    squares = [(rng.randrange(10_000), rng.uniform(0, 12), rng.uniform(0, 12), rng.choice([.2, 2.5, 2.5, 2.5])) for _ in range(40)]
+    squares += [(squares[0][0], 3.0, 9.0, 2.0), (None, 5.0, 5.0, 3.0), (20_000, 50.0, 50.0, 1.0), (20_001, None, 1.0, 1.0)]  # an index twice, none, far off
+    points = [(f"p{i % 190}", rng.uniform(0, 12), rng.uniform(0, 12), rng.randrange(9)) for i in range(200)]  # ten keys come twice
+    points += [(None, 5.0, 5.0, 0), ("q", None, 5.0, 0), ("q", 5.0, None, 0)]
+    b = spark.createDataFrame(squares, "feature_index long, x double, y double, h double").select(
+        "feature_index", F.array(F.array(F.array(*[F.array(F.col("x") + F.col("h") * a, F.col("y") + F.col("h") * c)
+                                                   for a, c in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]))).alias("geometry"))
+    b = b.withColumn("geometry", F.when(F.expr("geometry[0][0][0][0] IS NOT NULL"), F.col("geometry")))
+    p = spark.createDataFrame(points, "key string, longitude double, latitude double, r int")
+    made, candidates = [], polygon.polygon_candidates
+    monkeypatch.setattr(polygon, "polygon_candidates", lambda *a: made.append(candidates(*a)) or made[-1])
+    got = [(r["feature_index"], r["key"]) for r in point_in_polygon_join(b, p, "key", F.struct("r", "key")).collect()]
+    inside = [(i, k, (r, k)) for i, x, y, h in squares for k, px, py, r in points
+              if None not in (i, k, x, px, py) and abs(px - x) < h and abs(py - y) < h]
+    assert dict(got) == walk(inside) and len(got) == len(dict(got)) > 30
+    assert len(made) > 2
+    assert point_in_polygon_join(b, p.limit(0), "key", F.struct("r", "key")).count() == point_in_polygon_join(b.limit(0), p, "key", F.struct("r", "key")).count() == 0
+
+
+def test_the_estimate_of_pairs_follows_the_boxes(spark):
+    from deserta.operators.polygon import estimated_pairs, square
+
+    b = spark.range(40).select((F.col("id") % 7).alias("feature_index"), F.array(F.array(square(F.col("id") / 9 + 2, F.lit(5.0), 2.0))).alias("geometry"))
+    p = spark.range(900).selectExpr("id % 30 / 3D + 0.1 AS longitude", "id div 30 / 3D + 0.1 AS latitude")
+    true = sum(abs(i % 30 / 3 + .1 - j / 9 - 2) < 2 and abs(i // 30 / 3 + .1 - 5) < 2 for i in range(900) for j in range(40))
+    assert 0.8 * true < estimated_pairs(b, p, 1.0) < 1.2 * true
+    assert estimated_pairs(b.limit(0), p, 1.0) == 0
