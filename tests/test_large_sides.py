@@ -43,3 +43,12 @@ def test_boundary_joins_read_the_directory_once(spark, monkeypatch):
     Q.q_point_in_polygon_join(spark, SF001)
     Q.q_unreported_boundaries(spark, SF001)
     assert read and not [f for f in read if "lineitem" in f]
+
+
+def test_clusters_make_no_links(spark, monkeypatch):
+    """The centers of the points come from sums of the links, and the points are written once; they are those of the link table."""
+    monkeypatch.setattr(Q.DS, "facility_district_distances", None)
+    points = Q.proximity_points(spark, SF001)
+    assert points.inputFiles() and all("/tables/legacy_points-" in f for f in points.inputFiles())
+    monkeypatch.undo()
+    assert_same(points.drop("scores"), Q.legacy_points(spark, SF001).drop("scores").toPandas())
